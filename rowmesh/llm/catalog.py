@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import licenses, line_dedup, mixing, quality, simhash, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
+    "op2_line_dedup": line_dedup.query,
+    "op3_quality_rules": quality.query,
+    "op7_mixing": mixing.query,
+    "op9_license_scan": licenses.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.SQL,
+    "op2_line_dedup": line_dedup.SQL,
+    "op3_quality_rules": quality.SQL,
+    "op7_mixing": mixing.SQL,
+    "op9_license_scan": licenses.SQL,
+}
