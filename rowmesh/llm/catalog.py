@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, mixing, quality, simhash, url_filter
+from . import decontaminate, licenses, line_dedup, mixing, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_line_dedup": line_dedup.query,
     "op3_quality_rules": quality.query,
+    "op5_toxicity": toxicity.query,
+    "op6_warc": warc.query,
     "op7_mixing": mixing.query,
+    "op8_decontamination": decontaminate.query,
     "op9_license_scan": licenses.query,
     "op10_simhash_near_dedup": simhash.query,
 }
@@ -17,6 +20,7 @@ SQL: dict[str, str] = {
     "op1_url_filter": url_filter.SQL,
     "op2_line_dedup": line_dedup.SQL,
     "op3_quality_rules": quality.SQL,
+    "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
     "op9_license_scan": licenses.SQL,
 }
