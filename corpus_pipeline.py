@@ -1,10 +1,64 @@
-"""The corpus pipeline: STAGES in order, and run() over documents."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicates, decontamination and the mix, one stage after the other.
+
+Each stage takes all rows that its predecessor kept and returns the columns of ``documents``; the last one returns them
+with ``copy``, the number of the repetition. ``run`` writes each stage to shared storage and reads it again, so a lost
+executor costs at most the stage in hand.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowmesh.llm import common, decontaminate, line_dedup, mixing, quality, simhash
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are depleted of lines go; the others stay as they are."""
+    return quality.judge(docs, carry_text=True).where("kept").select("row.*")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Crowded lines go, but for the document that keeps them; n_chars follows. A document left without words goes."""
+    found = line_dedup.dedup_lines(docs)
+    rows = found.withColumn("row", F.when(F.col("n_dropped") > 0, F.col("row").withField("text", F.col("kept")).withField("n_chars", F.char_length("kept").cast("long"))).otherwise(F.col("row")))
+    return rows.where((F.col("n_dropped") == 0) | (F.btrim("row.text", F.lit(common.BLANKS)) != "")).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that of the smallest id."""
+    groups = simhash.near_duplicates(docs)
+    gone = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    found = mixing.mix(docs).where("copies > 0")
+    return found.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontaminated),
+    ("mixing", mixed),
+]
+
+#: SimHash components and windows are beyond SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, quality, simhash, toxicity, url_filter, warc
+from . import decontaminate, licenses, line_dedup, mixing, pii, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_line_dedup": line_dedup.query,
     "op3_quality_rules": quality.query,
+    "op4_pii": pii.query,
     "op5_toxicity": toxicity.query,
     "op6_warc": warc.query,
     "op7_mixing": mixing.query,

@@ -1,0 +1,97 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from rowmesh.llm import pii
+
+SF = "/root/testdata/sf0.01"
+FOUND = re.compile(r"[\w.%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\w)[0-9a-f]{32,}(?!\w)|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w.+-])\d{13,19}(?!\w)")
+
+
+def luhn(number):
+    digits = [int(c) for c in reversed(re.sub(r"\D", "", number))]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10
+
+
+@pytest.fixture(scope="module")
+def masked(spark):
+    texts = [
+        "Mail Ann.B7@Mail3.Example.com or ann.b7@mail3.example.com; call +1 (017) 555-7713, +1 017 555 7713!",
+        "card 4111 1111 1111 1111 and 4111111111111111, host 10.0.0.7, ssn 123-45-6789",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" TOKEN 04DBEBAB91AB85687D33EEAAF9AC699E1188F962.',
+        "Mrs. Anna Schmidt met Mr Bond. HERR said: Frau Müller; г-жа? Г-жа Анна Петрова came. Mrs. Anna Schmidt left.",
+        "version 2.0. nothing 555 here, 1.2.3, 12345678",
+        None,
+        "",
+        "x " * 60_000 + "a.b@c.example.org " + "y " * 60_000,
+        "a@b.co" * 1 + " " + "a@b.co a@b.co",
+    ]
+    rows = [(i, t, "k", "m") for i, t in enumerate(texts)] + [(0, texts[0], "k", "m"), (None, texts[1], "k", "m"), (0, "Other a@b.co", "k", "m")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kinds string, row string")
+    return texts, [(r["row"]["doc_id"], r["text"], r["n_entities"], r["kinds"], r["row"]["kinds"]) for r in pii.replace(df).collect()]
+
+
+def text_of(masked, i):
+    return next(t for d, t, *_ in masked[1] if d == i)
+
+
+def test_layout_case_and_coreference(masked):
+    out = text_of(masked, 0)
+    m = re.fullmatch(r"Mail (\S+) or (\S+); call \+1 \((\d{3})\) (\d{3})-(\d{4}), \+1 (\d{3}) (\d{3}) (\d{4})!", out)
+    assert m and m[1].lower() == m[2] and m.groups()[2:5] == m.groups()[5:8]
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z]\d@[A-Z][a-z]{3}\d\.[A-Z][a-z]{6}\.com", m[1]) and m[1] != "Ann.B7@Mail3.Example.com"
+    m = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16}), host (\S+), ssn (\d{3}-\d\d-\d{4})", text_of(masked, 1))
+    assert m[1].replace(" ", "") == m[2] != "4111111111111111" and luhn(m[1]) == 0
+    assert all(1 <= int(x) <= 254 for x in m[3].split(".")) and m[3] != "10.0.0.7" and m[4] != "123-45-6789"
+    m = re.fullmatch(r'token = "([0-9a-f]{40})" TOKEN ([0-9A-F]{40})\.', text_of(masked, 2))
+    assert m[1] == m[2].lower() and not m[1].startswith("04dbebab")
+
+
+def test_names_keep_title_gender_and_script(masked):
+    out = text_of(masked, 3)
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr (\w+)\. HERR said: Frau (\w+); г-жа\? Г-жа (\w+) (\w+) came\. Mrs\. (\w+) (\w+) left\.", out)
+    assert m and m[1] in pii.GIVEN["f", "latin"] and m.group(1, 2) == m.group(7, 8)
+    assert m[5] in pii.GIVEN["f", "cyrillic"] and re.fullmatch("[А-Я][а-я]+", m[6])
+    assert not {"Anna Schmidt", "Bond", "Müller"} & {f"{m[1]} {m[2]}", m[3], m[4]}
+
+
+def test_texts_without_entities_stay(masked):
+    texts, out = masked
+    for i in (4, 5, 6):
+        assert text_of(masked, i) == texts[i]
+    assert sorted((d, n) for d, _, n, *_ in out if d is not None) == [(0, 1), (0, 4), (0, 4), (1, 4), (2, 2), (3, 5), (4, 0), (5, 0), (6, 0), (7, 1), (8, 3)]
+    assert all(k == "k" for *_, k in out)
+    assert {t for d, t, *_ in out if d is None} == {text_of(masked, 1)}
+    new = re.findall(r"\S+@\S+", text_of(masked, 7))
+    assert len(new) == 1 and new[0] != "a.b@c.example.org" and len(text_of(masked, 7)) == len(texts[7])
+    assert len(set(text_of(masked, 8).split(" "))) == 1
+
+
+def test_collisions_are_resolved(spark):
+    """Two-letter addresses: 676 surrogates for 300 entities; every one is distinct and none is a real one."""
+    names = [f"{a}{b}@x.de" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmno"]
+    entities = spark.createDataFrame([("email", n) for n in names] + [("email", names[0])], "kind string, canon string")
+    got = pii.surrogates(entities).collect()
+    assert sorted(r.canon for r in got) == sorted(names)
+    assert len({r.made for r in got}) == len(names) and not {r.made for r in got} & set(names)
+    assert {r.canon: r.made for r in got} == {r.canon: r.made for r in pii.surrogates(entities).collect()}
+    assert {r.made for r in got} != {r.made for r in pii.surrogates(entities, "another key").collect()}
+
+
+def test_empty_table(spark):
+    assert pii.replace(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_query_leaves_no_entity_and_changes_nothing_else(spark):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    after = {r.doc_id: r for r in pii.query(spark, SF).collect()}
+    assert before.keys() == after.keys()
+    names, back = {}, {}
+    for d, text in before.items():
+        old, new = FOUND.findall(text or ""), FOUND.findall(after[d].text or "")
+        assert len(old) == len(new) == after[d].n_entities
+        for a, b in zip(old, new, strict=True):
+            assert a != b and names.setdefault(a, b) == b and back.setdefault(b, a) == a
+        assert FOUND.split(text or "") == FOUND.split(after[d].text or "")
+    assert not names.keys() & back.keys() and len(names) > 20
