@@ -85,7 +85,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     losses = line_losses(docs, id_col, text_col, host_col).hint("shuffle_hash")
     joined = counted.join(losses, F.col("q_id").eqNullSafe(F.col("id")) & (F.col("q_t") == F.col("t")), "left").withColumn("words_lost", F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    kept = ~failed & (F.col("n_words") - F.col("words_lost") >= least_kept * F.col("n_words"))
+    enough = F.col("n_words") - F.col("words_lost") >= least_kept * F.col("n_words")
+    # one comparison instead of a conjunction: a filter on it stays above the join, where the counts are made already
+    kept = F.least((~failed).cast("int"), enough.cast("int")) == 1
     return joined.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_lost", failed.alias("base_failed"), kept.alias("kept"))
 
 
