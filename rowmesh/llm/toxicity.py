@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_TRAIN = 8_000
-#: A feature must occur in so many documents of the sample.
+#: A feature must occur in so many documents of label 1 in the sample.
 LEAST_DOCS = 5
 #: Weights are not negative, so a feature is of use only where label 1 is this much more frequent than overall.
 LEAST_LIFT = 1.5
 PREFIXES = (4, 5, 6, 7, 8)
 STEPS = 300
 RATE = 0.3
-PULL = 0.2
+PULL = 0.4
 THRESHOLD = 0.7
 #: Words beyond this many are forgotten and looked up anew.
 CACHE = 500_000
@@ -104,71 +104,91 @@ class Model:
         return -expm1(clean), found
 
 
-def fit(texts: list[str | None], labels: np.ndarray, least_docs: int = LEAST_DOCS, steps: int = STEPS) -> Model:
-    """Fit bias and weights to (text, label) pairs; both classes must occur, else the score is the share of label 1."""
+def evidence(text: str | None, kept: frozenset[str]) -> tuple[list[list[str]], int]:
+    """The distinct words of each sentence that have a kept feature, and the number of sentences without any."""
+    found, plain = [], 0
+    for start, end in sentences(text):
+        some = sorted(w for w in words((text or "")[start:end]) if not kept.isdisjoint(features(w)))
+        if some:
+            found.append(some)
+        else:
+            plain += 1
+    return found, plain
+
+
+def fit(documents: list[tuple[list[list[str]], int]], labels: np.ndarray, kept: list[str], steps: int = STEPS) -> Model:
+    """Fit bias and weights of the ``kept`` features to the evidence and label of each document.
+
+    Both labels must occur, else there are no weights and each sentence has the share of label 1."""
     share = float(np.mean(labels)) if len(labels) else 0.0
-    vocabulary: dict[str, int] = {}
-    token_word, token_sentence, sentence_doc, seen = [], [], [], 0
-    for d, text in enumerate(texts):
-        for start, end in sentences(text):
-            for w in words(text[start:end]):
-                token_word.append(vocabulary.setdefault(w, len(vocabulary)))
-                token_sentence.append(seen)
-            sentence_doc.append(d)
-            seen += 1
+    seen = sum(len(x) for x, _ in documents)
     if not 0 < share < 1 or not seen:
-        return Model(float(np.log(max(share, 1e-4) / max(1 - share, 1e-4))), {})
-    tw, ts, sd = (np.array(x, np.int64) for x in (token_word, token_sentence, sentence_doc))
-    names: dict[str, int] = {}
-    pairs = [(i, names.setdefault(f, len(names))) for w, i in vocabulary.items() for f in features(w)]
-    pw, pf = np.array(pairs, np.int64).T
-    # documents that hold a feature: over distinct (word, document), then distinct (feature, document)
-    wd = np.unique(tw * len(texts) + sd[ts])
-    order = np.argsort(pw, kind="stable")
-    pw, pf = pw[order], pf[order]
-    first, count = np.searchsorted(pw, np.arange(len(vocabulary))), np.bincount(pw, minlength=len(vocabulary))
-    w, d = wd // len(texts), wd % len(texts)
-    at = np.repeat(first[w] - np.r_[0, np.cumsum(count[w])[:-1]], count[w]) + np.arange(count[w].sum())
-    fd = np.unique(pf[at] * len(texts) + np.repeat(d, count[w]))
-    docs_of = np.bincount(fd // len(texts), minlength=len(names))
-    toxic = labels == 1
-    toxic_of = np.bincount(fd[toxic[fd % len(texts)]] // len(texts), minlength=len(names))
-    keep = (docs_of >= least_docs) & (toxic_of >= LEAST_LIFT * share * docs_of)
-    new = np.cumsum(keep) - 1
-    pw, pf = pw[keep[pf]], new[pf[keep[pf]]]
-    used = np.bincount(pw, minlength=len(vocabulary))[tw] > 0  # words without a feature left are all alike
-    tw, ts = tw[used], ts[used]
-    n = int(keep.sum())
+        share = min(max(share, 1e-4), 1 - 1e-4)
+        return Model(float(np.log(share / (1 - share))), {})
+    place = {f: i for i, f in enumerate(kept)}
+    vocabulary: dict[str, int] = {}
+    tw, ts, sd = [], [], []
+    for d, (found, _) in enumerate(documents):
+        for sentence in found:
+            tw += [vocabulary.setdefault(w, len(vocabulary)) for w in sentence]
+            ts += [len(sd)] * len(sentence)
+            sd.append(d)
+    tw, ts, sd = (np.array(x, np.int64) for x in (tw, ts, sd))
+    pw, pf = np.array([(i, place[f]) for w, i in vocabulary.items() for f in features(w) if f in place], np.int64).T
+    plain = np.array([n for _, n in documents], float)
+    n, m, docs = len(kept), len(vocabulary), len(documents)
     theta, bias, g_theta, g_bias = np.zeros(n), -6.0, np.full(n, 1e-6), 1e-6
     y = labels.astype(float)
     for _ in range(steps):
-        word = np.bincount(pw, theta[pf], minlength=len(vocabulary))
-        z = bias + np.bincount(ts, word[tw], minlength=seen)
-        p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(sd, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))
+        z = bias + np.bincount(ts, np.bincount(pw, theta[pf], minlength=m)[tw], minlength=seen)
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
+        clean = np.bincount(sd, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=docs) + plain * np.log1p(-p0)
         whole = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-12)
-        pull = np.where(y == 1, -(1 - whole) / whole, 1.0)[sd] * p
-        step = np.bincount(pf, np.bincount(tw, pull[ts], minlength=len(vocabulary))[pw], minlength=n)
+        by_doc = np.where(y == 1, -(1 - whole) / whole, 1.0)  # slope of the loss by each log of one minus p
+        pull = by_doc[sd] * p
+        step = np.bincount(pf, np.bincount(tw, pull[ts], minlength=m)[pw], minlength=n)
         g_theta += step**2
         theta = np.maximum(0, theta - RATE * (step + PULL) / np.sqrt(g_theta))
-        g_bias += pull.sum() ** 2
-        bias -= RATE * pull.sum() / np.sqrt(g_bias)
-    kept = np.flatnonzero(keep)
-    by_index = {i: f for f, i in names.items()}
-    return Model(float(bias), {by_index[kept[i]]: float(theta[i]) for i in np.flatnonzero(theta > 1e-3)})
+        down = pull.sum() + (by_doc * plain).sum() * p0
+        g_bias += down**2
+        bias -= RATE * down / np.sqrt(g_bias)
+    return Model(float(bias), {kept[i]: float(theta[i]) for i in np.flatnonzero(theta > 1e-3)})
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_train`` labelled documents outside the held-out third; the sample's size is the bound."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [sorted({f for w in words(t.as_py() or "") for f in features(w)}) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "features"])
+
+
+def _evidence(kept: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [evidence(t.as_py(), kept) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.list_(pa.list_(pa.string()))), pa.array([n for _, n in found], pa.int32())], ["toxic", "found", "plain"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least_docs: int = LEAST_DOCS) -> Model:
+    """Fit on at most ``max_train`` labelled documents outside the held-out third.
+
+    Spark counts in how many documents of the sample each feature stands and reduces every document to the words that
+    have a useful one; only that reaches the driver, and its size is bounded by the sample's."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted(sample.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_train).toLocalIterator(), key=lambda r: (r.doc_id, r.text or ""))
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], float))
+    sample = common.stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("at")).orderBy("at").limit(max_train).repartition(16, "at"), "toxicity-sample")
+    size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    least = LEAST_LIFT * size["toxic"] / max(1, size["n"])
+    counts = sample.select("toxic", "text").mapInArrow(_features, "toxic int, features array<string>").select("toxic", F.explode("features").alias("feature"))
+    counts = counts.groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= least_docs) & (F.col("toxic") >= least * F.col("n")))
+    kept = sorted(r["feature"] for r in counts.select("feature").toLocalIterator())
+    rows = sample.orderBy("at").select("toxic", "text").mapInArrow(_evidence(frozenset(kept)), "toxic int, found array<array<string>>, plain int").collect()
+    return fit([(r["found"], r["plain"]) for r in rows], np.array([r["toxic"] for r in rows], float), kept)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
