@@ -18,7 +18,7 @@ from . import common
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 4
-#: Diagonals this close together belong to one span.
+#: Diagonals this close together, and no further apart than a quarter of the template, belong to one span.
 DRIFT = 8
 LEAST_COVERAGE = 0.6
 #: A span may be this many times as long as its template.
@@ -130,7 +130,7 @@ def template_spans(rows: DataFrame, templates=TEMPLATES, k: int = GRAM, drift: i
         F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places")
     )
     one = Window.partitionBy("id", "t", "template").orderBy("diagonal")
-    breaks = F.when(F.col("diagonal") - F.lag("diagonal").over(one) > drift, 1).otherwise(0)
+    breaks = F.when(F.col("diagonal") - F.lag("diagonal").over(one) > F.least(F.lit(drift), F.floor(F.col("grams") / 4)), 1).otherwise(0)
     spans = lines.withColumn("breaks", breaks).withColumn("span", F.sum("breaks").over(one.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy("id", "t", "template", "label", "grams", "span").agg(
         F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held")
@@ -192,12 +192,12 @@ votes AS (
   SELECT doc_id, template, label, grams, i - 1 AS spot, place, i - 1 - place AS diagonal
   FROM (SELECT doc_id, i, array_to_string(w[i : i + {GRAM - 1}], ' ') AS gram FROM p WHERE i + {GRAM - 1} <= len(w)) JOIN known USING (gram)),
 breaks AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {DRIFT} THEN 1 ELSE 0 END AS b
-  FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes)),
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > least({DRIFT}, grams // 4) THEN 1 ELSE 0 END AS b
+  FROM (SELECT DISTINCT doc_id, template, grams, diagonal FROM votes)),
 spans AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM breaks),
 held AS (
   SELECT doc_id, template, label, grams, span, min(spot) AS first, max(spot) + {GRAM - 1} AS last, count(DISTINCT place) / grams AS coverage
-  FROM votes JOIN spans USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, grams, span),
+  FROM votes JOIN (SELECT doc_id, template, diagonal, span FROM spans) USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, grams, span),
 fit AS (
   SELECT doc_id, list(DISTINCT label) AS more, max(coverage) AS best FROM held
   WHERE coverage >= {LEAST_COVERAGE}::DOUBLE AND last - first + 1 <= {MOST_STRETCH}::DOUBLE * (grams + {GRAM - 1}) GROUP BY doc_id)
