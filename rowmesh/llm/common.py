@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_path
+
 #: The six ASCII blanks, as a regular-expression class and as characters.
 BLANK = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,16 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is missing (local tests) is a temporary folder taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "rowmesh-shared")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage and read it again: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
