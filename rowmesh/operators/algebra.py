@@ -58,7 +58,7 @@ def multiply(a: DataFrame, b: DataFrame, kind: Kind, salt: int = 1, ordered: boo
     from the lowest inner index to the highest, for the same floating-point result on any cluster; it gathers the
     products of a cell, at most as many as there are inner indexes."""
     pairs = _pairs(a, b, salt).select(F.col("i").alias("row"), F.col("j").alias("col"), "k", kind.product(F.col("x"), F.col("y")).alias("p"))
-    if not ordered:
+    if not ordered or kind.name not in ("double", "complex"):  # whole numbers come out the same in any order
         total = pairs.groupBy("row", "col").agg(kind.total(F.col("p")).alias("val"))
         return total.select("row", "col", kind.settle(F.col("val")).alias("val"))
     lists = pairs.groupBy("row", "col").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("terms"))
