@@ -177,11 +177,12 @@ def _evidence(kept: frozenset[str]):
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, least_docs: int = LEAST_DOCS) -> Model:
     """Fit on at most ``max_train`` labelled documents outside the held-out third.
 
-    Spark counts in how many documents of the sample each feature stands and reduces every document to the words that
+    Of rows that repeat an id one counts. Spark counts in how many documents of the sample each feature stands and reduces every document to the words that
     have a useful one; only that reaches the driver, and its size is bounded by the sample's."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = common.stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("at")).orderBy("at").limit(max_train).repartition(16, "at"), "toxicity-sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    sample = common.stored(sample.select("toxic", "text", F.xxhash64("doc_id").alias("at")), "toxicity-sample")
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     least = LEAST_LIFT * size["toxic"] / max(1, size["n"])
     counts = sample.select("toxic", "text").mapInArrow(_features, "toxic int, features array<string>").select("toxic", F.explode("features").alias("feature"))
