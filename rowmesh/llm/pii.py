@@ -47,7 +47,7 @@ _TITLE = "(?:" + "|".join(sorted((t for group in TITLES.values() for t in group)
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 #: Type and pattern, in order of precedence.
 PATTERNS = (
-    ("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,9}\.[A-Za-z]{2,}"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)"),
     ("secret", r"(?<![\w])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"),
