@@ -21,14 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Crowded lines go, but for the document that keeps them; n_chars follows. A document left without words goes."""
+    """Crowded lines go, but for the document that keeps them; n_chars follows. Documents left empty stay; the next stage
+    leaves one of them."""
     found = line_dedup.dedup_lines(docs)
-    rows = found.withColumn("row", F.when(F.col("n_dropped") > 0, F.col("row").withField("text", F.col("kept")).withField("n_chars", F.char_length("kept").cast("long"))).otherwise(F.col("row")))
-    return rows.where((F.col("n_dropped") == 0) | (F.btrim("row.text", F.lit(common.BLANKS)) != "")).select("row.*")
+    new = F.col("row").withField("text", F.col("kept")).withField("n_chars", F.char_length("kept").cast("long"))
+    return found.select(F.when(F.col("n_dropped") > 0, new).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest id."""
+    """One document of each group stays: that of the smallest id. Rows without an id have none to go by and stay."""
     groups = simhash.near_duplicates(docs)
     gone = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

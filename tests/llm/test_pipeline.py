@@ -39,7 +39,6 @@ def test_run_like_the_stages_in_memory(spark):
     for i, _, dropped, kept in test_line_dedup.plain([(i, d["text"]) for i, d in docs.items()]):
         if dropped:
             docs[i] |= {"text": kept, "n_chars": len(kept)}
-    docs = {i: d for i, d in docs.items() if d["text"].strip(" \t\n\x0b\x0c\r")}
     first = {i: c for i, _, c in test_simhash.plain_components([(i, test_simhash.plain_fingerprint(d["text"])) for i, d in docs.items()])}
     docs = {i: d for i, d in docs.items() if first[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
