@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = prints.join(groups, prints.fp == groups.node).select("fp", "component", "smallest")
     least = linked.groupBy("component").agg(F.min("smallest").alias("least"))
     moved = linked.join(least, "component").select("fp", "least")
-    labels = prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "smallest").alias("component"))
+    # stored, so that both sides of the last join are plain shuffles and the partition of a much-copied text can be split
+    labels = common.stored(prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "smallest").alias("component")), "labels")
     return marked.join(labels, "fp").select("id", "fp", "component")
 
 
