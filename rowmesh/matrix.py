@@ -135,12 +135,16 @@ class SparseMatrix:
         self._same_shape(other)
         return self.like(algebra.combine(self.df, other.df, self.kind, f, left_alone))
 
-    def multiply(self, other: SparseMatrix, salt: int | str = 1, ordered: bool = False) -> SparseMatrix:
-        """The product. ``salt="auto"`` first measures how much work the busiest inner index holds."""
+    def multiply(self, other: SparseMatrix, salt: int | str = 1, ordered: bool = False, broadcast_entries: int = 0) -> SparseMatrix:
+        """The product. ``salt="auto"`` first measures how much work the busiest inner index holds.
+
+        With ``broadcast_entries``, the right side's entries are counted; up to so many they are broadcast and the rows of
+        this matrix are dealt out once, unless one row would outweigh a task."""
         if self._cols != other._rows:
             raise ProductMismatch
-        factor = work.estimate(self.df, other.df).salt if salt == "auto" else int(salt)
-        return self.like(algebra.multiply(self.df, other.df, self.kind, factor, ordered), self._rows, other._cols)
+        by_rows = broadcast_entries > 0 and work.fits_by_rows(self.df, other.df, broadcast_entries)
+        factor = work.estimate(self.df, other.df).salt if salt == "auto" and not by_rows else 1 if by_rows else int(salt)
+        return self.like(algebra.multiply(self.df, other.df, self.kind, factor, ordered, by_rows), self._rows, other._cols)
 
     def __matmul__(self, other: SparseMatrix) -> SparseMatrix:
         return self.multiply(other)

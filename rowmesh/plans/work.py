@@ -12,6 +12,8 @@ from ..functions.scans import prefix_sums
 #: An inner index with more than this share of all scalar products is dealt over several tasks.
 HOT_SHARE = 0.02
 MOST_SALT = 64
+#: A row with more than this share of all entries is not left to one task.
+MOST_ROW_SHARE = 1 / 16
 
 
 def flops_by_row(a: DataFrame, b: DataFrame, rows: int) -> DataFrame:
@@ -68,6 +70,14 @@ def estimate(a: DataFrame, b: DataFrame) -> Estimate:
     return Estimate(products, hottest, 1 if share <= HOT_SHARE else min(MOST_SALT, max(2, round(share / HOT_SHARE))))
 
 
+def fits_by_rows(a: DataFrame, b: DataFrame, most: int) -> bool:
+    """Whether ``b`` has at most ``most`` entries, so that it can be broadcast, and no row of ``a`` would outweigh a task."""
+    if b.limit(most + 1).count() > most:
+        return False
+    got = a.groupBy("row").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("m")).first()
+    return not got["n"] or got["m"] <= MOST_ROW_SHARE * got["n"]
+
+
 def chain_order(shapes: list[tuple[int, int]], sizes: list[int]) -> list[tuple[int, int]]:
     """Order in which to multiply a chain, as (position, position + 1) merges, least estimated scalar products first.
 

@@ -67,6 +67,12 @@ def spgemm_supplier_gram(spark, d):
     return cells((m @ m.transpose()).df)
 
 
+@_query(_gram("sp"))
+def spgemm_by_rows(spark, d):
+    m = tables.supplier_part(spark, d)
+    return cells(m.multiply(m.transpose(), broadcast_entries=2_000_000).df)
+
+
 @_query(_gram("sp"))
 def spgemm_salted(spark, d):
     m = tables.supplier_part(spark, d)

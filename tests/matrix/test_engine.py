@@ -36,7 +36,7 @@ def test_operators_against_dense(spark, kind):
     x, y, z = dense(a), dense(b), dense(c)
     ring = {"wrap8": lambda v: wrapped(v, 8), "wrap64": lambda v: wrapped(v, 64)}.get(kind.name, lambda v: v)
     fix = np.vectorize(ring, otypes=[x.dtype])
-    for got, want in [(a @ b, fix(x.dot(y))), (a.multiply(b, salt=3), fix(x.dot(y))), (a.multiply(b, ordered=True), fix(x.dot(y))), (a.multiply(b, salt="auto"), fix(x.dot(y))), (a + c, fix(x + z)), (a - c, fix(x - z)), (a.transpose(), x.T), (a * b, fix(x.dot(y)))]:
+    for got, want in [(a @ b, fix(x.dot(y))), (a.multiply(b, salt=3), fix(x.dot(y))), (a.multiply(b, ordered=True), fix(x.dot(y))), (a.multiply(b, salt="auto"), fix(x.dot(y))), (a.multiply(b, broadcast_entries=1000), fix(x.dot(y))), (a.multiply(b, broadcast_entries=1), fix(x.dot(y))), (a + c, fix(x + z)), (a - c, fix(x - z)), (a.transpose(), x.T), (a * b, fix(x.dot(y)))]:
         assert got.shape == want.shape and np.array_equal(dense(got), want)
         assert all(got.invariants().values())
     assert (SparseMatrix.identity(spark, 7, kind) @ a).equals(a) and a.transpose().transpose().same_structure(a)
@@ -161,6 +161,16 @@ def test_work_analysis(spark):
     assert work.estimate(a.df.where("false"), b.df) == work.Estimate(0, 0, 1)
 
 
+def test_by_rows_only_where_it_fits(spark):
+    a = generate.random_matrix(spark, 100, 40, 900, seed=1)
+    b = generate.random_matrix(spark, 40, 30, 200, seed=2)
+    assert work.fits_by_rows(a.df, b.df, 200) and not work.fits_by_rows(a.df, b.df, b.nnz() - 1)
+    assert not work.fits_by_rows(a.df.where("row < 3"), b.df, 200) and work.fits_by_rows(a.df.where("false"), b.df, 200)
+    assert np.array_equal(dense(a.multiply(b, broadcast_entries=200)), dense(a).dot(dense(b)))
+    plan = algebra.multiply(a.df, b.df, INT64, by_rows=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(i" not in plan
+
+
 def test_chain(spark):
     assert work.chain_order([(10, 1000), (1000, 10), (10, 1000)], [5000, 5000, 5000]) == [(0, 1), (0, 2)]
     assert work.chain_order([(1000, 10), (10, 1000), (1000, 2)], [5000, 5000, 1000]) == [(1, 2), (0, 1)]
