@@ -275,7 +275,7 @@ def set_elements_bulk(spark, d):
     return cells(a.set_many(b.df).df)
 
 
-@_query(_with("nn") + "SELECT 1 AS row_id, 2 AS col_id, v AS previous FROM nn WHERE r = 1 AND c = 2")
+@_query(_with("nn") + "SELECT 1 AS row_id, 2 AS col_id, (SELECT v FROM nn WHERE r = 1 AND c = 2) AS previous")
 def set_element_previous(spark, d):
     before = tables.nation_nation(spark, d).set(1, 2, 77)[1]
     return spark.createDataFrame([(1, 2, before)], "row_id int, col_id int, previous bigint")
