@@ -88,7 +88,8 @@ def dedup_lines(
     for i in range(batches):
         batch = keys.where(F.col("batch") == i).select("id", "a", "b").distinct()
         runs.add(batch.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("last")))
-    crowded = runs.totals().where(F.col("n") >= min_docs).select("a", "b", "last")
+    # stored, so that both sides of the next join are plain shuffles and the partition of a very common line can be split
+    crowded = common.stored(runs.totals().where(F.col("n") >= min_docs).select("a", "b", "last"), "crowded-lines")
     drops = keys.join(crowded, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
     drops = drops.select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "gone").hint("shuffle_hash")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
