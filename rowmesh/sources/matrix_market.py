@@ -9,6 +9,7 @@ line that is none, and complex files are never mirrored; otherwise such lines ra
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,12 @@ def read(spark: SparkSession, path: str, compat: bool = False, strict: bool = Fa
     return SparseMatrix(kept.groupBy("row", "col").agg(F.max_by("val", "at").alias("val")), rows, cols, kind)
 
 
+def read_folder(spark: SparkSession, folder: str, compat: bool = False) -> Iterator[tuple[str, SparseMatrix]]:
+    """(path, matrix) of each file right below ``folder``, in order of paths; subfolders are passed over."""
+    files = spark.read.format("binaryFile").load(folder).select("path").orderBy("path")
+    return ((r["path"], read(spark, r["path"], compat)) for r in files.toLocalIterator())
+
+
 def number_text(c: Column, kind) -> Column:
     """Whole numbers without a point or exponent, others as Spark shows them."""
     if kind is not DOUBLE:

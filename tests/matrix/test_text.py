@@ -81,3 +81,12 @@ def test_tuple_text(spark, tmp_path):
         (tmp_path / "t").write_text(bad)
         with pytest.raises(TupleTextError):
             tuples.read(spark, str(tmp_path / "t"))
+
+
+def test_folder_of_files(spark, tmp_path):
+    """Each file is read by its own header and squared, as a benchmark over a corpus does."""
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "b.mtx").write_text(TOP + "integer general\n2 2 2\n1 2 3\n2 1 4\n")
+    (tmp_path / "a.mtx").write_text(TOP + "real symmetric\n2 2 2\n1 1 .5\n2 1 2\n")
+    found = [(p.rsplit("/", 1)[1], m.kind, list(m.squared())) for p, m in matrix_market.read_folder(spark, str(tmp_path))]
+    assert found == [("a.mtx", DOUBLE, [(0, 0, 4.25), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 4.0)]), ("b.mtx", INT64, [(0, 0, 12), (1, 1, 12)])]
