@@ -122,7 +122,8 @@ def template_spans(rows: DataFrame, templates=TEMPLATES, k: int = GRAM, drift: i
     spark = rows.sparkSession
     if sum(len(text.split()) for _, text in templates) > MOST_TEMPLATE_WORDS:
         raise ValueError("too many template words to broadcast")
-    known = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
+    rows_of = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)))
+    known = spark.range(1).select(F.inline(rows_of))
     known = _grams(known.select("template", "label", words_of(F.col("text")).alias("words")), k)
     known = known.select("template", "label", F.col("at").alias("place"), "gram", F.count("*").over(Window.partitionBy("template")).alias("grams"))
     votes = _grams(rows.select("id", "t", "words"), k).join(F.broadcast(known), "gram").withColumn("diagonal", F.col("at") - F.col("place"))
