@@ -69,6 +69,7 @@ def line_losses(docs: DataFrame, id_col: str, text_col: str, host_col: str, line
     held = lines.groupBy("host", "a", "b", "t").agg(F.max("id").alias("last")).groupBy("host", "a", "b").agg(F.count("*").alias("n"), F.max("last").alias("last"))
     hosts = rows.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     common_lines = held.where(F.col("n") > line_docs).join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "a", "b", "last")
+    common_lines = common.stored(common_lines, "common-lines")  # so that the partition of a very common line can be split
     lost = lines.join(common_lines, ["host", "a", "b"]).where(~F.col("id").eqNullSafe(F.col("last")))
     return lost.groupBy("id", "t").agg(F.sum("words").alias("lost"))
 
