@@ -72,6 +72,7 @@ def roles(pages: DataFrame, id_col: str, html_col: str, min_bytes: int = 0) -> D
     payload = F.coalesce(F.col(html_col), F.lit(""))
     ids = common.stored(pages.select(F.col(id_col).alias("id"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("bytes")), "payload-digests")
     shared = ids.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max("id").alias("refers_to")).where("n > 1 and refers_to is not null")
+    shared = common.stored(shared, "shared-payloads")  # so that the partition of a very common payload can be split
     again = ids.join(shared, "sha").where(~F.col("id").eqNullSafe(F.col("refers_to")))
     return common.stored(again.select(F.col("id").alias("revisit_id"), F.col("sha").alias("revisit_sha"), "refers_to").distinct(), "revisits")
 
