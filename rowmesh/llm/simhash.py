@@ -211,12 +211,11 @@ def fingerprint_links(distinct_fp: DataFrame, radius: int = RADIUS, bucket_limit
     dense = common.stored(keys.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "dense-keys")
     if dense.isEmpty():
         return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius), "a bigint, b bigint").distinct()
-    links = keys.join(dense, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius), "a bigint, b bigint")
-    members = keys.join(dense, "key", "left_semi").select("fp").distinct()
-    near = dense_links(members)
     if radius < RADIUS:  # the points connect at three bits; below that only real neighbours count
         raise ValueError("buckets beyond the limit need a radius of three")
-    return links.union(near).distinct()
+    links = keys.join(dense, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius), "a bigint, b bigint")
+    members = keys.join(dense, "key", "left_semi").select("fp").distinct()
+    return links.union(dense_links(members)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
