@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from .sources import matrix_market, storage, tables, tuples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The SQL of the matrix ``op`` holds only orders below this; every such query has a twin over all orders.
+FIRST_ORDERS = 2000
 
 _SUM = "CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)"
 #: Common table expressions of the matrices, by name.
@@ -99,8 +102,8 @@ def spgemm_chain(spark, d):
     + """, p AS (SELECT a.r AS r, b.r AS c, sum(a.v * b.v) AS v FROM op a JOIN op b ON a.c = b.c GROUP BY 1, 2)
     SELECT r AS row_id, string_agg(c || ':' || v, ' ' ORDER BY c) AS line FROM p GROUP BY 1"""
 )
-def spgemm_sorted_rows(spark, d):
-    m = tables.order_part(spark, d)
+def spgemm_sorted_rows(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     g = (m @ m.transpose()).grouped(ordered=True)
     shown = F.zip_with("indices", "vals", lambda c, v: F.concat(c.cast("string"), F.lit(":"), v.cast("string")))
     return g.select(F.col("row").alias("row_id"), F.array_join(shown, " ").alias("line"))
@@ -119,8 +122,8 @@ def spgemm_canonical(spark, d):
 
 
 @_query(_gram("op"))
-def spgemm_order_cooccurrence(spark, d):
-    m = tables.order_part(spark, d)
+def spgemm_order_cooccurrence(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     return cells((m @ m.transpose()).df)
 
 
@@ -146,8 +149,8 @@ def spgemm_ordered_floats(spark, d):
     + """, w AS (SELECT r, c, (((v + 128) % 256) + 256) % 256 - 128 AS v FROM op)
     SELECT a.r AS row_id, b.r AS col_id, CAST((((sum(a.v * b.v) + 128) % 256) + 256) % 256 - 128 AS TINYINT) AS val FROM w a JOIN w b ON a.c = b.c GROUP BY 1, 2"""
 )
-def wrapping_i8_mul(spark, d):
-    m = tables.as_wrap8(tables.order_part(spark, d))
+def wrapping_i8_mul(spark, d, below=FIRST_ORDERS):
+    m = tables.as_wrap8(tables.order_part(spark, d, below))
     return cells((m @ m.transpose()).df)
 
 
@@ -157,8 +160,8 @@ def wrapping_i8_mul(spark, d):
     s AS (SELECT a.r AS row_id, b.r AS col_id, ((sum(a.v * b.v) % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS u FROM w a JOIN w b ON a.c = b.c GROUP BY 1, 2)
     SELECT row_id, col_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS val FROM s"""
 )
-def wrapping_i64_mul(spark, d):
-    m = tables.as_wrap64(tables.order_part(spark, d))
+def wrapping_i64_mul(spark, d, below=FIRST_ORDERS):
+    m = tables.as_wrap64(tables.order_part(spark, d, below))
     return cells((m @ m.transpose()).df)
 
 
@@ -168,8 +171,8 @@ def wrapping_i64_mul(spark, d):
     SELECT a.r AS row_id, b.r AS col_id, CAST(sum(a.re * b.re - a.im * b.im) AS BIGINT) AS re, CAST(sum(a.re * b.im + a.im * b.re) AS BIGINT) AS im
     FROM z a JOIN z b ON a.c = b.c GROUP BY 1, 2"""
 )
-def complex_mul(spark, d):
-    m = tables.as_complex(tables.order_part(spark, d))
+def complex_mul(spark, d, below=FIRST_ORDERS):
+    m = tables.as_complex(tables.order_part(spark, d, below))
     return (m @ m.transpose()).df.select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), F.col("val.re").cast("long").alias("re"), F.col("val.im").cast("long").alias("im"))
 
 
@@ -239,8 +242,8 @@ def get_element_hit(spark, d):
 
 
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val FROM op WHERE r = 0 AND c = (SELECT min(i) FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS i) WHERE i NOT IN (SELECT c FROM op WHERE r = 0))")
-def get_element_absent(spark, d):
-    m = tables.order_part(spark, d)
+def get_element_absent(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     free = spark.range(m.cols()).join(m.df.where("row = 0"), F.col("id") == F.col("col"), "left_anti").agg(F.min("id")).first()[0]
     assert m.get(0, free) is None
     return cells(access.element(m.df, 0, free))
@@ -255,8 +258,8 @@ def set_element_replace(spark, d):
 
 
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val FROM op WHERE NOT (r = 5 AND c = 0) UNION ALL SELECT 5, 0, -9")
-def set_element_insert(spark, d):
-    return cells(tables.order_part(spark, d).set(5, 0, -9)[0].df)
+def set_element_insert(spark, d, below=FIRST_ORDERS):
+    return cells(tables.order_part(spark, d, below).set(5, 0, -9)[0].df)
 
 
 @_query(_UPSERT.format(i=1, j=2, more=""))
@@ -287,14 +290,14 @@ def iter_order(spark, d):
 
 
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val, row_number() OVER (ORDER BY r DESC, c DESC) - 1 AS pos FROM op")
-def iter_reverse(spark, d):
-    m = tables.order_part(spark, d)
+def iter_reverse(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     return m.ranked().select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), "val", (F.lit(m.nnz() - 1) - F.col("pos")).alias("pos"))
 
 
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val FROM (SELECT *, row_number() OVER (ORDER BY r, c) - 1 AS pos FROM op) WHERE pos = 100")
-def iter_nth(spark, d):
-    return spark.createDataFrame([tables.order_part(spark, d).nth(100)], "row_id bigint, col_id bigint, val bigint")
+def iter_nth(spark, d, below=FIRST_ORDERS):
+    return spark.createDataFrame([tables.order_part(spark, d, below).nth(100)], "row_id bigint, col_id bigint, val bigint")
 
 
 @_query(_with("sp") + "SELECT (SELECT count(*) FROM supplier) AS n_rows, (SELECT count(*) FROM part) AS n_cols, (SELECT count(*) FROM sp) AS nnz")
@@ -319,14 +322,14 @@ def equality_false(spark, d):
 
 
 @_query(_with("op") + "SELECT r AS row_id, string_agg(c, ' ' ORDER BY c) AS cols, string_agg(v, ' ' ORDER BY c) AS vals FROM op GROUP BY 1")
-def row_grouped(spark, d):
+def row_grouped(spark, d, below=FIRST_ORDERS):
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    return tables.order_part(spark, d).grouped().select(F.col("row").alias("row_id"), text("indices").alias("cols"), text("vals").alias("vals"))
+    return tables.order_part(spark, d, below).grouped().select(F.col("row").alias("row_id"), text("indices").alias("cols"), text("vals").alias("vals"))
 
 
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val, row_number() OVER (PARTITION BY r ORDER BY c) - 1 AS pos FROM op WHERE v <> 0")
-def row_ungrouped(spark, d):
-    m = tables.order_part(spark, d)
+def row_ungrouped(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     return access.ungrouped(m.grouped()).where(~INT64.is_zero(F.col("val"))).select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), "val", F.col("pos").cast("long").alias("pos"))
 
 
@@ -335,16 +338,16 @@ def row_ungrouped(spark, d):
     + """, n AS (SELECT op_rows.r, count(op.c) AS n FROM op_rows LEFT JOIN op ON op_rows.r = op.r GROUP BY 1)
     SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS "offset" UNION ALL SELECT r + 1, CAST(sum(n) OVER (ORDER BY r) AS BIGINT) FROM n"""
 )
-def csr_offsets(spark, d):
-    return tables.order_part(spark, d).offsets()
+def csr_offsets(spark, d, below=FIRST_ORDERS):
+    return tables.order_part(spark, d, below).offsets()
 
 
 _FLOPS = ", n AS (SELECT c AS k, count(*) AS n FROM {m} GROUP BY 1), f AS (SELECT {m}.r, sum(n) AS f FROM {m} JOIN n ON {m}.c = n.k GROUP BY 1), g AS (SELECT x.r, CAST(coalesce(f, 0) AS BIGINT) AS flops FROM {m}_rows x LEFT JOIN f ON x.r = f.r)"
 
 
 @_query(_with("op", "op_rows") + _FLOPS.format(m="op") + " SELECT r AS row_id, flops FROM g")
-def flops_per_row(spark, d):
-    m = tables.order_part(spark, d)
+def flops_per_row(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     return m.flops_by_row(m.transpose()).select(F.col("row").alias("row_id"), "flops")
 
 
@@ -365,14 +368,14 @@ def work_partition_4(spark, d):
     + """, f AS (SELECT a.r, count(DISTINCT b.r) AS n FROM op a JOIN op b ON a.c = b.c GROUP BY 1)
     SELECT x.r AS row_id, coalesce(n, 0) AS nnz FROM op_rows x LEFT JOIN f ON x.r = f.r"""
 )
-def symbolic_nnz(spark, d):
-    m = tables.order_part(spark, d)
+def symbolic_nnz(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     return m.fill_by_row(m.transpose()).select(F.col("row").alias("row_id"), "nnz")
 
 
 @_query(_with("op") + ", f AS (SELECT a.r, count(DISTINCT b.r) AS n FROM op a JOIN op b ON a.c = b.c GROUP BY 1) SELECT max(n) AS most FROM f")
-def largest_row(spark, d):
-    m = tables.order_part(spark, d)
+def largest_row(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     return work.largest_row(m.df, m.transpose().df, m.rows())
 
 
@@ -407,14 +410,14 @@ def invariants(spark, d):
 
 
 @_query(_with("op") + "SELECT count(*) > 0 AS same_lengths, count(*) > 0 AS cols_in_bounds, count(*) > 0 AS row_order, count(*) > 0 AS rows_in_bounds, count(*) > 0 AS unique_rows FROM op")
-def invariants_grouped(spark, d):
-    m = tables.order_part(spark, d)
+def invariants_grouped(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     return checks.grouped_invariants(m.grouped(), m.rows(), m.cols(), ordered=True)
 
 
 @_query(_with("op") + "SELECT count(*) > 0 AS complete, count(*) > 0 AS starts_at_zero, count(*) > 0 AS non_decreasing, count(*) > 0 AS ends_at_nnz FROM op")
-def invariants_offsets(spark, d):
-    m = tables.order_part(spark, d)
+def invariants_offsets(spark, d, below=FIRST_ORDERS):
+    m = tables.order_part(spark, d, below)
     return checks.offset_invariants(m.offsets(), m.rows(), m.nnz())
 
 
@@ -422,26 +425,26 @@ def invariants_offsets(spark, d):
 
 
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, (r + 1) || ' ' || (c + 1) || ' ' || v AS line FROM op")
-def mm_lines(spark, d):
-    return matrix_market.entry_lines(tables.order_part(spark, d)).select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), "line")
+def mm_lines(spark, d, below=FIRST_ORDERS):
+    return matrix_market.entry_lines(tables.order_part(spark, d, below)).select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), "line")
 
 
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val FROM op")
-def mm_roundtrip(spark, d):
+def mm_roundtrip(spark, d, below=FIRST_ORDERS):
     path = shared_path(spark, "matrix-market")
-    matrix_market.write(tables.order_part(spark, d), path)
+    matrix_market.write(tables.order_part(spark, d, below), path)
     return cells(matrix_market.read(spark, path, strict=True).df)
 
 
 @_query(_with("op") + "SELECT r AS row_id, string_agg('(' || r || ',' || c || ',' || v || ')', ' ' ORDER BY c) AS line FROM op GROUP BY 1")
-def tuple_lines(spark, d):
-    return tuples.row_lines(tables.order_part(spark, d)).select(F.col("row").alias("row_id"), "line")
+def tuple_lines(spark, d, below=FIRST_ORDERS):
+    return tuples.row_lines(tables.order_part(spark, d, below)).select(F.col("row").alias("row_id"), "line")
 
 
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val FROM op")
-def tuple_roundtrip(spark, d):
+def tuple_roundtrip(spark, d, below=FIRST_ORDERS):
     path = shared_path(spark, "tuples")
-    tuples.write(tables.order_part(spark, d), path)
+    tuples.write(tables.order_part(spark, d, below), path)
     return cells(tuples.read(spark, path).df)
 
 
@@ -452,6 +455,20 @@ def parquet_roundtrip(spark, d):
     return cells(storage.load(spark, path).df)
 
 
+def _all_orders() -> None:
+    """NAME_all_orders beside each query NAME on the first orders: the same on the whole matrix, and its SQL without the bound."""
+    short = {n: MATRICES[n] for n in ("op", "op_rows")}
+    whole = {n: m.replace(f" WHERE l_orderkey < {FIRST_ORDERS}", "").replace(f" WHERE o_orderkey < {FIRST_ORDERS}", "") for n, m in short.items()}
+    for name in [n for n, sql in SQL.items() if short["op"] in sql]:
+        sql = SQL[name]
+        for n, m in short.items():
+            sql = sql.replace(m, whole[n])
+        _query(sql, f"{name}_all_orders")(partial(QUERIES[name], below=None))
+
+
+_all_orders()
+
+
 @_query()
 def scientific_dump(spark, d):
     """One string for the nation matrix; SQL has no shortest scientific notation."""
