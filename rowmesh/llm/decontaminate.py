@@ -8,6 +8,7 @@ over united shingles, weighted by how often each occurs.
 
 Windows that cannot reach the similarity are left out first, without loss: a window and an item of n shingles each
 that are similar by s share 2 n s / (1 + s) shingles, so a window in which fewer stand in any item needs no fingerprint.
+A text shorter than an item is one window as a whole, held by the bound for unequal sizes and the exact check alone.
 
 Items are dealt with in blocks of bounded size, each broadcast; a larger benchmark takes more passes.
 """
@@ -96,9 +97,9 @@ class Items:
             self.groups.append((size, k, [key for key, _ in group], [Counter(h.tolist()) for h in hashes], prints, tables))
             self.known[k] = np.unique(np.concatenate([self.known.get(k, np.zeros(0, np.uint64)), *hashes]))
 
-    def shared(self, n: int) -> int:
-        """Shingles that a window and an item of ``n`` each share at least if they are similar."""
-        return ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9)
+    def shared(self, m: int, n: int) -> int:
+        """Shingles that a window of ``m`` and an item of ``n`` share at least if they are similar."""
+        return ceil((m + n) * self.similarity / (1 + self.similarity) - 1e-9)
 
     def find(self, ids: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """(item, first word, words, similarity, differing bits): the best window of each item in a text of word numbers."""
@@ -120,10 +121,23 @@ class Items:
                     hashes[k], inside[k] = None, np.r_[0, np.cumsum(hit)]
         for size, k, keys, bags, prints, tables in self.groups:
             n = size - k + 1
-            if k not in inside or len(ids) < size:
+            if k not in inside:
+                continue
+            if len(ids) < size:  # the whole text is the one window, which the bound leaves to few items: no fingerprint needed
+                m = len(ids) - k + 1
+                if inside[k][-1] < self.shared(m, n):
+                    continue
+                if hashes[k] is None:
+                    hashes[k] = shingles(ids, k)
+                bag, print_ = Counter(hashes[k].tolist()), simhashes(hashes[k], np.array([0]), m)[0]
+                for i, key in enumerate(keys):
+                    both = sum((bag & bags[i]).values())
+                    similar = both / (m + n - both)
+                    if similar >= self.similarity and (key not in best or similar > best[key][3]):
+                        best[key] = (key, 0, len(ids), similar, int(np.bitwise_count(print_ ^ prints[i])))
                 continue
             held = inside[k][n:] - inside[k][:-n]
-            starts = np.flatnonzero(held >= self.shared(n))
+            starts = np.flatnonzero(held >= self.shared(n, n))
             if not len(starts):
                 continue
             if hashes[k] is None:

@@ -59,6 +59,30 @@ def test_like_all_windows(spark, case):
     assert {r.doc_id for r in left} == {i for i in range(len(docs)) if i not in hit} and all(r.item_id == 3 for r in left)
 
 
+def test_texts_shorter_than_the_item(spark):
+    rng = random.Random(23)
+    items = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(n))) for i, n in enumerate([59, 59, 40, 30, 7, 6, 4])]
+    docs = []
+    for _, text in items:
+        w = text.split()
+        docs += [" ".join(w[:-j]) for j in (1, 2, 6, 12) if j < len(w)] + [" ".join(w[2:]), " ".join(w[: len(w) // 2] + w[len(w) // 2 + 1 :])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    want = []
+    for i, text in enumerate(docs):
+        words = D.words_of(text)
+        for key, item in items:
+            w = item.split()
+            if len(words) < len(w):  # the others are the windows of the tests above
+                k = min(5, len(w))
+                a, b = (Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1)) for x in (words, w))
+                similar = sum((a & b).values()) / sum((a | b).values())
+                want += [(i, key, 0, len(words), round(similar, 9))] if similar >= 0.8 else []
+    got = [(r.id, r.item_id, r.first_word, r.words, round(r.similarity, 9)) for r in D.matches(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()]
+    assert sorted(got) == want and (1, 0, 0, 57, round(53 / 55, 9)) in want
+    left = {r.doc_id for r in D.clean(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert left == set(range(len(docs))) - {x[0] for x in want}
+
+
 def test_blocks_miss_no_fingerprint_within_the_radius():
     rng = np.random.default_rng(3)
     items = D.Items([(i, " ".join(f"u{rng.integers(900)}" for _ in range(30))) for i in range(40)])
