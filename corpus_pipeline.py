@@ -16,8 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted of lines go; the others stay as they are."""
-    return quality.judge(docs, carry_text=True).where("kept").select("row.*")
+    """Documents that fail the base rules or are depleted of lines go; the others lose the lines that are too frequent on
+    their host, and n_chars follows."""
+    found = quality.judge(docs, carry_text=True).where("kept")
+    new = F.col("row").withField("text", F.col("cleaned")).withField("n_chars", F.char_length("cleaned").cast("long"))
+    return found.select(F.when(F.col("words_lost") > 0, new).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

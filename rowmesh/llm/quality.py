@@ -60,24 +60,26 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def line_losses(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(id, t, lost): words that each document loses to lines above its host's limit; none lost, no row."""
+    """(id, t, lost, gone): words that each document loses to lines above its host's limit, and the places of those lines,
+    counted from 0; none lost, no row."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
-    lines = rows.select("id", "host", "t", F.explode(F.split("text", "\n")).alias("line")).select("id", "host", "t", F.btrim("line", F.lit(common.BLANKS)).alias("line")).where("line <> ''")
+    lines = rows.select("id", "host", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "host", "t", "pos", F.btrim("line", F.lit(common.BLANKS)).alias("line")).where("line <> ''")
     key = common.ascii_lower(F.col("line"))
-    lines = lines.select("id", "host", "t", F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"), F.size(F.split("line", common.BLANK + "+")).alias("words"))
+    lines = lines.select("id", "host", "t", "pos", F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"), F.size(F.split("line", common.BLANK + "+")).alias("words"))
     lines = common.stored(lines, "quality-lines")
     held = lines.groupBy("host", "a", "b", "t").agg(F.max("id").alias("last")).groupBy("host", "a", "b").agg(F.count("*").alias("n"), F.max("last").alias("last"))
     hosts = rows.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     common_lines = held.where(F.col("n") > line_docs).join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "a", "b", "last")
     common_lines = common.stored(common_lines, "common-lines")  # so that the partition of a very common line can be split
     lost = lines.join(common_lines, ["host", "a", "b"]).where(~F.col("id").eqNullSafe(F.col("last")))
-    return lost.groupBy("id", "t").agg(F.sum("words").alias("lost"))
+    return lost.groupBy("id", "t").agg(F.sum("words").alias("lost"), F.collect_set("pos").alias("gone"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_kept: float = LEAST_KEPT, carry_text: bool = False) -> DataFrame:
     """Each row of ``docs`` as (row, the counts, words_lost, base_failed, kept); row is a struct of its columns.
 
-    row holds the text only with ``carry_text``, so that plain verdicts never shuffle texts. Null and empty texts have
+    With ``carry_text`` row holds the text, and cleaned is the text without the lines that it loses; without it there is
+    neither, so that plain verdicts never shuffle texts. Null and empty texts have
     no words and fail the base rules. Null and empty hosts are one host. Rows that repeat an id are judged each by
     its own text. An empty table gives an empty result."""
     carried = [c for c in docs.columns if carry_text or c != text_col]
@@ -89,7 +91,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     enough = F.col("n_words") - F.col("words_lost") >= least_kept * F.col("n_words")
     # one comparison instead of a conjunction: a filter on it stays above the join, where the counts are made already
     kept = F.least((~failed).cast("int"), enough.cast("int")) == 1
-    return joined.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_lost", failed.alias("base_failed"), kept.alias("kept"))
+    found = joined.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_lost", failed.alias("base_failed"), kept.alias("kept"), *(["gone"] if carry_text else []))
+    return found.withColumn("cleaned", F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(without(F.col("row")[text_col], F.col("gone")))).drop("gone") if carry_text else found
+
+
+def without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines at the places ``gone``."""
+    return common.let(F.split(text, "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: ls[i]), "\n"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

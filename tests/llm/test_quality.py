@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 from rowmesh.llm import quality
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +60,21 @@ def test_like_counting_in_memory(spark):
     assert {r[-1] for r in want if r[0] is not None and r[0] < 39} == {False} and all(r[-1] for r in want if r[0] is not None and 39 <= r[0] < 260)
 
 
+def test_lines_above_the_limit_leave_the_text(spark):
+    body = lambda i: "\n".join(" ".join(f"d{i}x{j}w{k}" for k in range(30)) for j in range(2))
+    rows = [(i, "hot", f"  Home | Login \n{body(i)}\n\nhome | login\nShare this") for i in range(30)]
+    rows += [(100, "cold", f"Home | Login\n{body(100)}"), (101, None, None), (102, "hot", ""), (None, "hot", f"share this\n{body(102)}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r.doc_id: r for r in quality.judge(df, carry_text=True).select("row.*", "cleaned", "words_lost").collect()}
+    for i, _, text in rows:
+        want = f"{body(i)}\n" if i is not None and i < 29 else body(102) if i is None else text
+        assert (got[i].text, got[i].cleaned) == (text, want)
+    assert got[3].words_lost == 8 and got[29].words_lost == 0
+    stage = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, df.selectExpr("doc_id", "text", "'en' lang", "source", "bigint(length(text)) n_chars"), SF).collect()}
+    assert stage.keys() == got.keys() - {101, 102} and all(r.text == got[i].cleaned and r.n_chars == len(r.text) for i, r in stage.items())
+    assert "cleaned" not in quality.judge(df).columns
+
+
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
 
