@@ -17,15 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to shared storage and read it again: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    writer = df.write
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int, tag: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` as a table in shared storage, bucketed and sorted by ``keys``: joins on them with another table of as many
+    buckets have no exchange. A frame that is dealt out so already stays as it is; else it is dealt out first, so that
+    each bucket is one file."""
+    spark = df.sparkSession
+    path = shared_path(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    writer = df.repartition(buckets, *keys).coalesce(buckets).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path)
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer.saveAsTable(name)
+    return spark.table(name)
 
 
 def ascii_lower(c: Column) -> Column:

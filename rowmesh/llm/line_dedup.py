@@ -1,15 +1,19 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Lines become 128-bit hashes once. The hashes arrive in batches of whole documents. Each batch is condensed to one row for
-each key (documents, largest id), merge-anti-joined against the runs to find the keys that are new, and adds what it
-found as a run of its own: new keys, and further sightings of known ones. Runs leave the merge join sorted by key. When
-a level holds ``fanout`` runs they are merged into one of the next level, so a key is read from few files however many
-batches came before. The totals of all runs name the crowded keys and the document that keeps each.
+Lines become 128-bit hashes once. The hashes arrive in batches of whole documents, each condensed to one row for each key
+(documents, largest id). A batch is merge-anti-joined against the runs: keys that no run holds become a run of their
+own, the others are later sightings. So a key is in one run only, that of the batch which brought it. When a level holds
+``fanout`` runs they are merged into one of the next level, and a batch meets few runs however many came before.
+
+Batches and runs are tables bucketed and sorted by key, with as many buckets: the joins and the merges have no exchange.
+The anti-join decides what is crowded. A run's count holds but for the keys with later sightings, which add theirs; all
+keys seen in one batch alone are never summed again.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,44 +24,50 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 3
+#: Rows of a bucket: about so many, and at least so many where there are more tasks than work.
+BUCKET_ROWS = 16_000_000
+LEAST_BUCKET_ROWS = 50_000
 
 
 class LineRuns:
-    """Levelled runs of (a, b, n, last, fresh): key, documents that hold it, the largest of their ids, first sighting."""
+    """Levelled runs of (a, b, n, last): key, documents of the batch that brought it and the largest of their ids.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    ``buckets`` is that of the batches too, else every join deals them out anew."""
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int = 8):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets
         self.levels: list[list[DataFrame]] = []
+        self.again: list[DataFrame] = []
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
-    def rows(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return reduce(DataFrame.union, runs) if runs else None
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """The rows of ``batch`` whose key no run holds: one merge-anti-join for each run."""
+        return reduce(lambda left, run: left.join(run.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), self.runs(), batch)
 
     def add(self, batch: DataFrame) -> None:
         """``batch(a, b, n, last)``, one row for each key."""
-        known = self.rows()
-        if known is None:
-            self._put(0, batch.withColumn("fresh", F.lit(True)))
-            return
-        known = known.where("fresh").select("a", "b")
-        new = batch.join(known, ["a", "b"], "left_anti").withColumn("fresh", F.lit(True))
-        seen = batch.join(known, ["a", "b"], "left_semi").withColumn("fresh", F.lit(False))
-        self._put(0, new.union(seen))
+        batch = batch.select("a", "b", "n", "last")
+        self.again += [batch.join(run.select("a", "b").hint("merge"), ["a", "b"], "left_semi") for run in self.runs()]
+        self._put(0, self.unseen(batch))
 
     def _put(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(common.stored(rows.select("a", "b", "n", "last", "fresh").sortWithinPartitions("a", "b"), f"run-{level}"))
+        self.levels[level].append(common.bucketed(rows, ["a", "b"], self.buckets, f"run_{level}"))
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            self._put(level + 1, merged(reduce(DataFrame.union, runs)).withColumn("fresh", F.col("fresh_rows") > 0))
-
-    def totals(self) -> DataFrame:
-        return merged(self.rows())
-
+            self._put(level + 1, reduce(DataFrame.union, runs))  # no key is in two of them
 
-def merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.count_if("fresh").alias("fresh_rows"))
+    def crowded(self, min_docs: int) -> DataFrame:
+        """(a, b, n, last) of the keys that ``min_docs`` documents hold."""
+        first = reduce(DataFrame.union, self.runs())
+        if not self.again:
+            return first.where(F.col("n") >= min_docs)
+        later = reduce(DataFrame.union, self.again).groupBy("a", "b").agg(F.sum("n").alias("more"), F.max("last").alias("later"))
+        both = first.join(later, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("last", "later").alias("last"))
+        return both.where(F.col("n") >= min_docs)
 
 
 def _lines(text):
@@ -82,14 +92,16 @@ def dedup_lines(
     Null and empty texts are one empty line. Rows that repeat an id are one document for counting, each keeps its own
     text; rows with a null id are together one document below all others. An empty table gives an empty result."""
     spark = docs.sparkSession
-    keys = line_keys(docs, id_col, text_col, min_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
-    keys = common.stored(keys, "line-keys", partition_by="batch")
-    runs = LineRuns(spark, fanout)
+    keys = common.stored(line_keys(docs, id_col, text_col, min_chars), "line-keys")
+    rows = keys.count()
+    buckets = min(100_000, max(1, min(spark.sparkContext.defaultParallelism, ceil(rows / LEAST_BUCKET_ROWS)), ceil(rows / BUCKET_ROWS)))
+    dealt = keys.select("id", "a", "b").distinct().withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    dealt = common.bucketed(dealt.groupBy("a", "b", "batch").agg(F.count("*").alias("n"), F.max("id").alias("last")), ["a", "b"], buckets, "line_batches", partition_by="batch")
+    runs = LineRuns(spark, fanout, buckets)
     for i in range(batches):
-        batch = keys.where(F.col("batch") == i).select("id", "a", "b").distinct()
-        runs.add(batch.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("last")))
+        runs.add(dealt.where(F.col("batch") == i))
     # stored, so that both sides of the next join are plain shuffles and the partition of a very common line can be split
-    crowded = common.stored(runs.totals().where(F.col("n") >= min_docs).select("a", "b", "last"), "crowded-lines")
+    crowded = common.stored(runs.crowded(min_docs).select("a", "b", "last"), "crowded-lines")
     drops = keys.join(crowded, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
     drops = drops.select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "gone").hint("shuffle_hash")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
