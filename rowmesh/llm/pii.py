@@ -1,13 +1,19 @@
 """Personal data replaced by surrogates.
 
 Entities are found by patterns. Each distinct entity (type and canonical form, so that one number in two layouts is one
-entity) gets a surrogate from a keyed digest: digits for digits, letters for letters, hexadecimal for hexadecimal, a
-number with the same Luhn remainder, an address with four octets, a name of the same gender and script with the title
-kept. Collision checks then see to it that distinct entities of a type keep distinct surrogates and that no surrogate is
-itself an entity of the corpus; losers try again with the next digest. One entity has one surrogate everywhere, so
-coreference lives on. A surrogate is laid out like the text it replaces.
-
-Texts without entities never leave their task; only entities, and texts that hold some, are shuffled.
+entity) gets a surrogate from a keyed digest: digits for digits, letters for letters, hexadecimal for hexadecimal; a card
+keeps its issuer and its Luhn remainder, an IBAN its country and its check, an address its octets. Collision checks then
+see to it that distinct entities of a type keep distinct surrogates and that no surrogate is itself an entity of the
+corpus; losers try again with the next digest, which after a few attempts grows longer, so that none is left without one
+however densely its type is filled. One entity has one surrogate everywhere, and is laid out like the text it replaces.
+
+A person is found by a title. Its name is replaced word by word, each word being an entity, so that ``Mr John Smith``,
+``Dr Smith`` and ``John Smith`` stay one person. Words known from a titled mention are replaced wherever they stand in
+the same text. Words that lead names oftener than not get given names of the gender that their titles tell, others
+made-up family names, of the same script; titles stay.
+
+One scan finds what each text holds and stores it beside the text; all further steps read the few columns they need of
+that table. Only entities, and texts that hold some, are shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KEY = "surrogates-1"
-MOST_ATTEMPTS = 12
+#: Attempts at the entity's own length; each further one is a character longer.
+SAME_LENGTH = 4
 
 #: Titles by gender (m, f, or n where they do not tell).
 TITLES = {
@@ -44,38 +51,49 @@ SYLLABLES = {
 }
 
 _TITLE = "(?:" + "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True)) + ")"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-#: Type and pattern, in order of precedence.
+_NAME = rf"(?!{_TITLE}(?!\w))\p{{Lu}}(?:\p{{L}}+|['’]\p{{Lu}}\p{{L}}+)(?:['’-]\p{{L}}{{2,}})*+"
+#: Type and pattern, in order of precedence. What repeats without bound is a class of characters, on which no stack grows.
 PATTERNS = (
-    ("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,9}\.[A-Za-z]{2,}"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)"),
+    ("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"),
+    ("key", r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[opsu]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|[prs]k[_-](?:live_|test_|proj-)?[0-9A-Za-z]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![\w-])"),
+    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<![\w+.-])(?:\(\d{3}\) ?\d{3}[ .-]|\d{3}-\d{3}-|\d{3}\.\d{3}\.)\d{4}(?![\w-]|\.\d)"),
     ("secret", r"(?<![\w])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"),
+    ("ip6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)"),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("person", rf"(?<!\w){_TITLE}\.? {_NAME}(?: {_NAME})?"),
 )
-ANY = "|".join(p for _, p in PATTERNS)
+NUMBERS = "|".join(p for _, p in PATTERNS)
+TITLED = rf"(?<!\w){_TITLE}\.? {_NAME}(?: {_NAME})?"
+ANY = f"{NUMBERS}|{TITLED}"
 #: A text without any of this holds no entity; one quick look.
-HINT = rf"[0-9@]|{_TITLE}\.? "
+HINT = rf"[0-9@]|(?:[prs]k|gh[opsu])[_-]|xox|eyJ|AKIA|AIza|{_TITLE}\.? "
+#: What a key starts with, which its surrogate keeps.
+KEY_START = r"^(AKIA|AIza|gh[opsu]_|xox[abprs]-|[prs]k[_-](?:live_|test_|proj-)?|eyJ)"
 
 
 def type_of(raw: Column) -> Column:
+    """The type of a place; what is none of the others is a person."""
     return reduce(lambda rest, x: F.when(raw.rlike(f"^(?:{x[1]})$"), F.lit(x[0])).otherwise(rest), reversed(PATTERNS), F.lit("person"))
 
 
 def canonical(kind: Column, raw: Column) -> Column:
-    """Equal for texts that mean the same entity. A bar ends the country code, title or script that a surrogate keeps."""
-    title = F.regexp_extract(raw, f"^({_TITLE})", 1)
-    gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
-    name = F.regexp_replace(raw, rf"^{_TITLE}\.? ", "")
-    script = F.when(name.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    code = F.regexp_extract(raw, r"^\+(\d{1,3}?)(?=[ .(-]|\d{8,})", 1)
+    """Equal for texts that mean the same entity. A bar ends what a surrogate keeps: country code, issuer, start or script."""
+    script = F.when(raw.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    code = F.when(raw.startswith("+"), F.regexp_extract(raw, r"^\+(\d{1,3}?)(?=[ .(-]|\d{8,})", 1)).otherwise("1")
     digits = F.regexp_replace(raw, "[^0-9]", "")
+    issuer = F.when(F.length(digits) >= 15, 6).otherwise(4)
+    plain = F.upper(F.regexp_replace(raw, " ", ""))
+    start = F.regexp_extract(raw, KEY_START, 1)
+    rest = lambda c, n: F.substring(c, n + 1, F.length(c))
     return (
-        F.when(kind == "phone", F.concat(code, F.lit("|"), F.substring(digits, F.length(code) + 1, F.length(digits))))
-        .when(kind.isin("card", "ssn"), digits)
-        .when(kind == "person", F.concat(gender, F.lit("/"), script, F.lit("|"), F.lower(name)))
+        F.when(kind == "phone", F.concat(code, F.lit("|"), F.when(raw.startswith("+"), rest(digits, F.length(code))).otherwise(digits)))
+        .when(kind == "card", F.concat(F.substring(digits, F.lit(1), issuer), F.lit("|"), rest(digits, issuer)))
+        .when(kind == "iban", F.concat(F.substring(plain, 1, 2), F.lit("|"), F.substring(plain, 3, 40)))
+        .when(kind == "key", F.concat(start, F.lit("|"), rest(raw, F.length(start))))
+        .when(kind == "ssn", digits)
+        .when(kind == "person", F.concat(script, F.lit("|"), F.lower(raw)))
         .otherwise(F.lower(raw))
     )
 
@@ -95,50 +113,82 @@ def _luhn(chars: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(kind: Column, canon: Column, attempt: int, key: str = KEY) -> Column:
+def _mod_97(chars: Column) -> Column:
+    """The remainder by 97 of digits and letters, the latter read as 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.pmod(a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)).cast("int"))
+
+
+def surrogate(kind: Column, canon: Column, style: Column, attempt: int, key: str = KEY) -> Column:
     """The surrogate of a canonical entity, in canonical form and without the part before a bar."""
     seed = F.concat(F.lit(f"{key}:{attempt}:"), kind, F.lit(":"), canon)
     stream = F.concat(*(F.sha2(F.concat(seed, F.lit(f":{i}")), 256) for i in range(8)))
-    body = F.when(kind.isin("phone", "person"), F.substring_index(canon, "|", -1)).otherwise(canon)
-
-    def letters(s: Column) -> Column:
-        def one(c, i):
-            number = _bytes(s, i)
-            latin, cyrillic = F.char(number % 26 + 97), F.substring(F.lit("абвгдежзиклмнопрстуфхцчшэюя"), number % 27 + 1, F.lit(1))
-            hexadecimal = F.substring(F.lit("0123456789abcdef"), number % 16 + 1, F.lit(1))
-            return (
-                F.when((kind == "secret"), hexadecimal)
-                .when(c.rlike("[0-9]"), (number % 10).cast("string"))
-                .when(c.rlike(r"\p{IsCyrillic}"), cyrillic)
-                .when(c.rlike(r"\p{L}"), latin)
-                .otherwise(c)
-            )
-
-        domain = F.when(kind == "email", F.length(F.substring_index(body, ".", -1))).otherwise(0)
-        head = F.substring(body, F.lit(1), F.length(body) - domain)
-        return F.concat(F.array_join(F.transform(F.split(head, ""), one), ""), F.right(body, domain))
+    kept, body = F.substring_index(canon, "|", 1), F.substring_index(canon, "|", -1)
+    more = max(0, attempt - SAME_LENGTH + 1)
+    chars = F.split(body, "")
+
+    def one(s: Column, c: Column, i: Column) -> Column:
+        """A character of the class of ``c``."""
+        number = _bytes(s, i)
+        cyrillic = F.substring(F.lit("абвгдежзиклмнопрстуфхцчшэюя"), number % 27 + 1, F.lit(1))
+        letter = F.char(number % 26 + F.when(c.rlike(r"\p{Lu}"), 65).otherwise(97))
+        hexadecimal = F.substring(F.lit("0123456789abcdef"), number % 16 + 1, F.lit(1))
+        return (
+            F.when(kind.isin("secret", "ip6") & c.rlike("[0-9a-f]"), hexadecimal)
+            .when(c.rlike("[0-9]"), (number % 10).cast("string"))
+            .when(c.rlike(r"\p{IsCyrillic}"), cyrillic)
+            .when(c.rlike(r"\p{L}"), letter)
+            .otherwise(c)
+        )
+
+    def extra(s: Column, like: str) -> Column:
+        return F.concat(*(one(s, F.lit(like), F.lit(120 - j)) for j in range(more))) if more else F.lit("")
+
+    def email(s: Column) -> Column:
+        end = F.length(F.substring_index(body, ".", -1))
+        head = F.substring(body, F.lit(1), F.length(body) - end)
+        return F.concat(extra(s, "a"), F.array_join(F.transform(F.split(head, ""), lambda c, i: one(s, c, i)), ""), F.right(body, end))
+
+    def digits(s: Column) -> Column:
+        return F.concat(F.array_join(F.transform(chars, lambda c, i: one(s, c, i)), ""), extra(s, "1"))
 
     def card(s: Column) -> Column:
-        start = F.transform(F.slice(F.split(body, ""), F.lit(1), F.length(body) - 1), lambda c, i: (_bytes(s, i) % 10).cast("string"))
-        last = F.pmod(_luhn(F.split(body, "")) - _luhn(F.concat(start, F.array(F.lit("0")))), F.lit(10))
-        return F.concat(F.array_join(start, ""), last.cast("string"))
+        """The last digit makes the Luhn remainder of the whole number what it was."""
+        start = F.concat(F.array_join(F.transform(F.slice(chars, F.lit(1), F.length(body) - 1), lambda c, i: one(s, c, i)), ""), extra(s, "1"))
+        last = F.pmod(_luhn(F.split(F.concat(kept, body), "")) - _luhn(F.split(F.concat(kept, start, F.lit("0")), "")), F.lit(10))
+        return F.concat(start, last.cast("string"))
+
+    def iban(s: Column) -> Column:
+        account = F.concat(F.array_join(F.transform(F.slice(chars, F.lit(3), F.length(body)), lambda c, i: one(s, c, i)), ""), extra(s, "1"))
+        check = 98 - _mod_97(F.split(F.concat(account, kept, F.lit("00")), ""))
+        return F.concat(F.lpad(check.cast("string"), 2, "0"), account)
 
     def address(s: Column) -> Column:
-        return F.concat_ws(".", *((_bytes(s, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
+        """Further attempts leave the octets' range, where no real address is."""
+        octet = lambda i: _bytes(s, F.lit(i)) % (10 ** (2 + more) if more else 254) + (256 if more else 1)
+        return F.concat_ws(".", *(octet(i).cast("string") for i in range(4)))
 
-    def person(s: Column) -> Column:
-        gender, script = F.substring(canon, 1, 1), F.substring_index(F.substring_index(canon, "|", 1), "/", -1)
-        given = reduce(lambda rest, x: F.when((gender == x[0][0]) & (script == x[0][1]), _pick(x[1], _bytes(s, F.lit(0)))).otherwise(rest), GIVEN.items(), F.lit(""))
-        family = [F.concat(*(_pick(SYLLABLES[sc], _bytes(s, F.lit(i))) for i in range(1, 4 + attempt))) for sc in ("latin", "cyrillic")]
-        family = F.when(script == "cyrillic", family[1]).otherwise(family[0])
-        return F.lower(F.when(body.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
+    def hextets(s: Column) -> Column:
+        """The first group stays."""
+        first = F.length(F.substring_index(body, ":", 1))
+        return F.concat(F.substring(body, F.lit(1), first), F.array_join(F.transform(F.slice(chars, first + 1, F.length(body)), lambda c, i: one(s, c, i)), ""), extra(s, "1"))
 
-    made = lambda s: F.when(kind == "card", card(s)).when(kind == "ip", address(s)).when(kind == "person", person(s)).otherwise(letters(s))
-    return common.let(stream, made)
+    def word(s: Column) -> Column:
+        """A given name of the list at first, then made-up ones with an ending of the gender; else a made-up family name."""
+        made = []
+        for script, endings in (("latin", {"m": "n", "f": "a", "n": "e"}), ("cyrillic", {"m": "н", "f": "а", "n": "е"})):
+            family = F.concat(*(_pick(SYLLABLES[script], _bytes(s, F.lit(i))) for i in range(1, 4 + attempt)))
+            given = reduce(lambda rest, g: F.when(style == f"given-{g}", F.concat(family, F.lit(endings[g])) if attempt else F.lower(_pick(GIVEN[g, script], _bytes(s, F.lit(0))))).otherwise(rest), "mfn", family)
+            made.append(given)
+        return F.when(kept == "cyrillic", made[1]).otherwise(made[0])
+
+    makers = {"email": email, "card": card, "iban": iban, "ip": address, "ip6": hextets, "person": word}
+    return common.let(stream, lambda s: reduce(lambda rest, x: F.when(kind == x[0], x[1](s)).otherwise(rest), makers.items(), digits(s)))
 
 
 def laid_out(kind: Column, raw: Column, made: Column) -> Column:
-    """``made`` in the layout of ``raw``: its marks, its case, its title."""
+    """``made`` in the layout of ``raw``: its marks and its case. What ``made`` is longer goes before an e-mail address and
+    after all else."""
 
     def refill(raw: Column, made: Column) -> Column:
         step = lambda acc, c: F.when(
@@ -146,31 +196,43 @@ def laid_out(kind: Column, raw: Column, made: Column) -> Column:
             F.struct(F.concat(acc["out"], F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(made, acc["n"], F.lit(1)))).otherwise(F.substring(made, acc["n"], F.lit(1)))).alias("out"), (acc["n"] + 1).alias("n")),
         ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["n"].alias("n")))
         start = F.struct(F.lit("").alias("out"), F.lit(1).alias("n"))
-        return F.aggregate(F.split(raw, ""), start, step)["out"]
+        filled = F.aggregate(F.split(raw, ""), start, step)
+        return F.concat(filled["out"], F.substring(made, filled["n"], F.length(made)))
 
-    digits = F.regexp_replace(made, r"[^0-9\p{L}]", "")
-    code = F.regexp_extract(raw, r"^\+\d{1,3}?(?=[ .(-]|\d{8,})", 0)
-    title = F.regexp_extract(raw, rf"^{_TITLE}\.? ", 0)
-    name = F.regexp_replace(raw, rf"^{_TITLE}\.? ", "")
-    titled = F.when(name == F.upper(name), F.upper(made)).otherwise(F.initcap(made))
+    bare = F.regexp_replace(made, r"[^0-9\p{L}]", "")
+    after = lambda n: F.substring(raw, n + 1, F.length(raw))
+    kept = F.when(kind == "phone", F.length(F.regexp_extract(raw, r"^\+\d{1,3}?(?=[ .(-]|\d{8,})", 0))).when(kind == "iban", 2)
+    kept = kept.when(kind == "key", F.length(F.regexp_extract(raw, KEY_START, 1)))
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    issuer = F.when(F.length(digits) >= 15, 6).otherwise(4)
+    longer = F.greatest(F.length(bare) - F.length(F.regexp_replace(raw, r"[^0-9\p{L}]", "")), F.lit(0))
+    upper = (F.length(raw) > 1) & (raw == F.upper(raw))
     return (
         F.when(kind == "ip", made)
-        .when(kind == "person", F.concat(title, titled))
-        .when(kind == "phone", F.concat(code, refill(F.substring(raw, F.length(code) + 1, F.length(raw)), digits)))
-        .when((kind == "secret") & (raw == F.upper(raw)), F.upper(digits))
-        .when(kind == "secret", digits)
-        .otherwise(refill(raw, digits))
+        .when(kind == "person", F.when(upper, F.upper(made)).otherwise(F.initcap(made)))
+        .when(kind == "key", F.concat(F.substring(raw, F.lit(1), kept), made))
+        .when(kind.isin("phone", "iban"), F.concat(F.substring(raw, F.lit(1), kept), refill(after(kept), bare)))
+        .when(kind == "card", refill(raw, F.concat(F.substring(digits, F.lit(1), issuer), bare)))
+        .when(kind == "email", F.concat(F.substring(bare, F.lit(1), longer), refill(raw, F.substring(bare, longer + 1, F.length(bare)))))
+        .when((kind == "secret") & upper, F.upper(bare))
+        .when(kind == "secret", bare)
+        .otherwise(refill(raw, bare))
     )
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, made) for ``entities(kind, canon)``, distinct: no two entities of a kind share ``made``, and none has
-    the canonical form of another entity of its kind."""
-    entities = common.stored(entities.select("kind", "canon").distinct(), "entities")
-    real = entities.select("kind", F.regexp_replace(F.substring_index("canon", "|", -1), "^$", "-").alias("made"))
-    pending, fixed = entities, None
-    for attempt in range(MOST_ATTEMPTS):
-        tried = pending.withColumn("made", surrogate(F.col("kind"), F.col("canon"), attempt, key))
+    the canonical form of another entity of its kind. A third column style says what words of names are: given-m,
+    given-f, given-n or family; without it all are family names.
+
+    Every attempt takes at least one entity of those that want the same surrogate, unless it is a real one; from
+    ``SAME_LENGTH`` on each is a character longer, where ever fewer are taken or real, so the attempts come to an end."""
+    style = F.col("style") if "style" in entities.columns else F.lit("family")
+    entities = common.stored(entities.select("kind", "canon", style.alias("style")).distinct(), "entities")
+    real = entities.select("kind", F.substring_index("canon", "|", -1).alias("made"))
+    pending, fixed, attempt = entities, None, 0
+    while True:
+        tried = pending.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("style"), attempt, key))
         first = tried.groupBy("kind", "made").agg(F.min("canon").alias("canon")).join(real, ["kind", "made"], "left_anti")
         if fixed is not None:
             first = first.join(fixed, ["kind", "made"], "left_anti")
@@ -179,28 +241,64 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         pending = common.stored(pending.join(done, ["kind", "canon"], "left_anti"), "entities-left")
         if pending.isEmpty():
             return fixed
-    raise RuntimeError(f"entities without a distinct surrogate after {MOST_ATTEMPTS} attempts")
+        attempt += 1
+
+
+def _names(raws: Column) -> Column:
+    """The titled mentions among ``raws`` as structs: gender of the title and the words of the name."""
+    title = lambda r: F.regexp_extract(r, f"^({_TITLE})", 1)
+    gender = lambda r: F.when(title(r).isin(*TITLES["m"]), "m").when(title(r).isin(*TITLES["f"]), "f").otherwise("n")
+    titled = F.filter(raws, lambda r: r.rlike(rf"^{_TITLE}\.? \p{{Lu}}"))
+    return F.transform(titled, lambda r: F.struct(gender(r).alias("gender"), F.split(F.regexp_replace(r, rf"^{_TITLE}\.? ", ""), " ").alias("words")))
+
+
+def _pattern(names: Column) -> Column:
+    """The pattern of a text: numbers of all kinds, and runs of the words known from its titled mentions."""
+    words = F.array_distinct(F.flatten(F.transform(names, lambda n: n["words"])))
+    words = F.array_distinct(F.flatten(F.array(words, F.transform(words, F.upper), F.transform(words, F.initcap))))
+    known = F.concat(F.lit("(?:"), F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\d_])(?!['’-]\p{L}{2})"))
+    runs = F.concat(F.lit(NUMBERS + r"|(?<![\p{L}\d_'’-])(?=\p{Lu})"), known, F.lit("(?: "), known, F.lit(")*+"))
+    return F.when(F.size(words) > 0, runs).otherwise(F.lit(NUMBERS))
+
+
+def _entities(words: DataFrame, found: DataFrame) -> DataFrame:
+    """(kind, canon, style) of ``found(kind, canon)``; ``words(gender, at, n, word)`` are those of the titled mentions."""
+    counts = words.groupBy(canonical(F.lit("person"), F.col("word")).alias("canon")).agg(
+        F.count_if((F.col("n") > 1) & (F.col("at") == 0)).alias("first"), F.count("*").alias("all"), F.count_if(F.col("gender") == "m").alias("m"), F.count_if(F.col("gender") == "f").alias("f")
+    )
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
+    style = F.when(2 * F.col("first") > F.col("all"), F.concat(F.lit("given-"), gender)).otherwise("family")
+    styles = counts.select(F.lit("person").alias("kind"), "canon", style.alias("style"))
+    return found.select("kind", "canon").distinct().join(styles, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("style", F.lit("family")).alias("style"))
 
 
 def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """Each row of ``docs`` as (row, text, n_entities, kinds); row is a struct of its other columns.
 
-    Texts without entities, null and empty ones come back as they are, with no entities. Rows that repeat id and text
-    get the same text; the key alone decides, so reruns agree. An empty table gives an empty result."""
+    Texts without entities, null and empty ones come back as they are, with no entities. A run of words of a name counts
+    as one entity. Rows that repeat id and text get the same text; key and corpus alone decide, so reruns agree. Types
+    that the corpus fills densely get longer surrogates. An empty table gives an empty result."""
     text = F.col("text")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns if c != text_col) or F.lit(0).alias("none")).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    holds = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
-    nothing = F.array().cast("array<string>")
-    clean = rows.where(~holds).select("row", "text", F.lit(0).cast("long").alias("n_entities"), nothing.alias("kinds"))
-    dirty = rows.where(holds).select("row", "text", *common.row_key(F.col("id"), text))
-    found = dirty.select("row_a", "row_b", "text").select("row_a", "row_b", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "raw"))
-    found = found.withColumn("kind", type_of(F.col("raw"))).withColumn("canon", canonical(F.col("kind"), F.col("raw")))
-    found = common.stored(found, "entity-places")
-    placed = found.join(surrogates(found, key), ["kind", "canon"]).select("row_a", "row_b", "at", "kind", laid_out(F.col("kind"), F.col("raw"), F.col("made")).alias("new"))
-    placed = placed.groupBy("row_a", "row_b").agg(F.sort_array(F.collect_set(F.struct("at", "new", "kind"))).alias("places"))
-    pieces = F.split(text, ANY)
-    joined = F.array_join(F.zip_with(pieces, F.concat(F.col("places.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = dirty.join(placed, ["row_a", "row_b"]).select("row", joined.alias("text"), F.size("places").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("places.kind")).alias("kinds"))
+    none = F.array().cast("array<string>")
+    rows = common.stored(rows.withColumn("raws", F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), none)), "scanned")
+    clean = rows.where("size(raws) = 0").select("row", "text", F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
+    dirty = rows.where("size(raws) > 0").select("row", "text", *common.row_key(F.col("id"), text), _pattern(_names(F.col("raws"))).alias("pattern"))
+    words = rows.where("size(raws) > 0").select(F.explode(_names(F.col("raws"))).alias("x")).select("x.gender", F.size("x.words").alias("n"), F.posexplode("x.words").alias("at", "word"))
+    found = dirty.select("row_a", "row_b", F.posexplode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("at", "raw")).withColumn("kind", type_of(F.col("raw")))
+    found = found.select("row_a", "row_b", "at", "kind", F.posexplode(F.when(F.col("kind") == "person", F.split("raw", " ")).otherwise(F.array("raw"))).alias("word", "raw"))
+    found = common.stored(found.withColumn("canon", canonical(F.col("kind"), F.col("raw"))), "entity-places")
+    placed = found.join(surrogates(_entities(words, found), key), ["kind", "canon"]).select("row_a", "row_b", "at", "word", "kind", laid_out(F.col("kind"), F.col("raw"), F.col("made")).alias("new"))
+    placed = placed.groupBy("row_a", "row_b").agg(F.sort_array(F.collect_set(F.struct("at", "word", "new", "kind"))).alias("places"))
+    new = common.let(
+        F.split(text, F.col("pattern")),
+        lambda gaps: F.concat(
+            F.array_join(F.transform("places", lambda p: F.concat(F.when(p["word"] == 0, F.get(gaps, p["at"])).otherwise(" "), p["new"])), ""), F.element_at(gaps, -1)
+        ),
+    )
+    changed = dirty.join(placed, ["row_a", "row_b"]).select(
+        "row", new.alias("text"), (F.element_at("places", -1)["at"] + 1).cast("long").alias("n_entities"), F.array_sort(F.array_distinct("places.kind")).alias("kinds")
+    )
     return clean.union(changed)
 
 
