@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from ..shared import shared_path
 #: The six ASCII blanks, as a regular-expression class and as characters.
 BLANK = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows of a file of a small table: at least so many where there are more tasks than work, and at most.
+LEAST_FILE_ROWS = 50_000
+FILE_ROWS = 1_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it again: lineage ends here and lost executors cost nothing."""
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to shared storage and read it again: lineage ends here and lost executors cost nothing.
+
+    ``rows``, where they are known (or a bound of them), make no more tasks and files than such a table is worth."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(1, min(spark.sparkContext.defaultParallelism, ceil(rows / LEAST_FILE_ROWS)), ceil(rows / FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,17 +68,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``links(a, b)``: (node, component), component being the smallest node of each.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014) until the edges no longer change.
-    Every step is a keyed minimum and a join; edges go to shared storage between rounds, so the plan stays short.
-    Nodes without a link are not returned; loops and repeated links do no harm."""
+    Every step is a keyed minimum and a join with it; the minima are stored, so that both sides of the join are plain
+    shuffles and the partition of a group's hub can be split. Edges go to shared storage between rounds, so the plan
+    stays short. Nodes without a link are not returned; loops and repeated links do no harm."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(edges)
     for _ in range(rounds):
+        n = mark[0]  # a step moves edges and merges some, but makes none
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", 2 * n)
+        large = stored(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", n)
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least", n)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "links")
+        edges = stored(small, "links", n)
         now = _mark(edges)
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

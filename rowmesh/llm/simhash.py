@@ -7,9 +7,11 @@ that pair of segments, let x emit (an index of its first segment, the own index
 its first, an index of its second): then x and y share a key. So every pair within the radius meets in some bucket;
 each bucket verifies the real distance and returns links that span its groups, never all pairs.
 
-A bucket beyond ``bucket_limit`` members is not compared pair by pair. Its members go to an exact way whose work is
-linear in their number: each emits all points within two bits of it. All that emit a point within two bits are within
-three bits of any member within one bit of that point, so one link to the smallest such member keeps every connection.
+A bucket beyond ``bucket_limit`` members is dealt out by its third segment, which holds three errors at most: one of its
+four parts is free of them. What is dense even then is not compared pair by pair. Its members go to an exact way whose
+work is linear in their number. For a radius of r each emits all points within b = ceil(r / 2) bits of it: two members
+within r share a point within a = floor(r / 2) bits of one and b of the other, and all that share a point are within r of
+any member within a bits of it, so one link to the smallest such member keeps every connection.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -179,8 +181,20 @@ def _verify(radius: int):
     return run
 
 
-def _points(radius_one_and_two: list[int], near: int):
-    flips = np.array(radius_one_and_two, np.uint64)
+def _sub_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Four keys in place of each: the key, and one part of the segment that it leaves out."""
+    left_out = np.array([SEGMENTS[3 - a - b] for a, b in PAIRS], np.uint64)
+    for batch in batches:
+        key, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        low, bits = left_out[key >> 24].T
+        parts = [(bits * np.uint64(i)) // np.uint64(4) for i in range(5)]
+        value = [(fp.view(np.uint64) >> (low + start)) & ((np.uint64(1) << (end - start)) - np.uint64(1)) for start, end in zip(parts, parts[1:], strict=False)]
+        sub = np.concatenate([(key << 8) | (i << 6) | v.astype(np.int64) for i, v in enumerate(value)])
+        yield pa.RecordBatch.from_arrays([pa.array(sub), pa.array(np.tile(fp, 4))], ["key", "fp"])
+
+
+def _points(flips: list[int], near: int):
+    flips = np.array(flips, np.uint64)
     close = np.arange(len(flips)) < near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,28 +208,50 @@ def _points(radius_one_and_two: list[int], near: int):
     return run
 
 
-def dense_links(members: DataFrame) -> DataFrame:
-    """Links that keep all connections within three bits among ``members(fp)``, through shared points instead of pairs."""
-    one = [0, *(1 << i for i in range(64))]
-    two = [1 << i | 1 << j for i, j in combinations(range(64), 2)]
-    points = members.mapInArrow(_points(one + two, len(one)), "point bigint, fp bigint, close boolean")
-    centre = points.where("close").groupBy("point").agg(F.min("fp").alias("a"))
-    return points.join(centre, "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+def dense_links(members: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links that keep all connections within ``radius`` bits among ``members(fp)``, through shared points instead of pairs.
+
+    Fingerprints are distinct, so no more than 2,081 share a point, and a window over them stays small."""
+    if radius == 0:
+        return members.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("a <> b")
+    rings = [[0], [1 << i for i in range(64)], [1 << i | 1 << j for i, j in combinations(range(64), 2)]]
+    near, far = radius // 2, radius - radius // 2
+    points = members.mapInArrow(_points([x for ring in rings[: far + 1] for x in ring], sum(map(len, rings[: near + 1]))), "point bigint, fp bigint, close boolean")
+    centre = F.min(F.when(F.col("close"), F.col("fp"))).over(Window.partitionBy("point"))
+    return points.select(centre.alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
+
+
+def _crowded(keys: DataFrame, bucket_limit: int) -> DataFrame:
+    return common.stored(keys.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "dense-keys")
 
 
 def fingerprint_links(distinct_fp: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all within ``radius`` (3 at most) bits."""
     if not 0 <= radius <= RADIUS:
         raise ValueError("the keys guarantee three differing bits at most")
+    verified = lambda keys: keys.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius), "a bigint, b bigint")
     keys = distinct_fp.select("fp").mapInArrow(_emit_keys, "key bigint, fp bigint")
-    dense = common.stored(keys.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "dense-keys")
+    dense = _crowded(keys, bucket_limit)
     if dense.isEmpty():
-        return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius), "a bigint, b bigint").distinct()
-    if radius < RADIUS:  # the points connect at three bits; below that only real neighbours count
-        raise ValueError("buckets beyond the limit need a radius of three")
-    links = keys.join(dense, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius), "a bigint, b bigint")
-    members = keys.join(dense, "key", "left_semi").select("fp").distinct()
-    return links.union(dense_links(members)).distinct()
+        return verified(keys).distinct()
+    links = verified(keys.join(dense, "key", "left_anti"))
+    keys = common.stored(keys.join(dense, "key", "left_semi").mapInArrow(_sub_keys, "key bigint, fp bigint"), "sub-keys")
+    dense = _crowded(keys, bucket_limit)
+    links = links.union(verified(keys.join(dense, "key", "left_anti")))
+    return links.union(dense_links(keys.join(dense, "key", "left_semi").select("fp").distinct(), radius)).distinct()
+
+
+def labels(marked: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(fp, node, component) of the distinct fingerprints of ``marked(id, fp)``: node is the smallest fingerprint that is
+    reachable, component the smallest id that has one of those."""
+    prints = common.stored(marked.groupBy("fp").agg(F.min("id").alias("smallest")), "distinct-fingerprints")
+    groups = common.components(fingerprint_links(prints, radius, bucket_limit)).select(F.col("node").alias("fp"), F.col("component").alias("node"))
+    linked = common.stored(prints.join(groups, "fp"), "linked-fingerprints")
+    least = common.stored(linked.groupBy("node").agg(F.min("smallest").alias("component")), "least-ids")
+    moved = linked.join(least, "node").select("fp", "node", "component")
+    found = prints.join(moved, "fp", "left").select("fp", F.coalesce("node", "fp").alias("node"), F.when(F.col("node").isNull(), F.col("smallest")).otherwise(F.col("component")).alias("component"))
+    # stored, so that both sides of the next join are plain shuffles and the partition of a much-copied text can be split
+    return common.stored(found, "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -226,14 +262,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned as often as they came. A null id is never the smallest; a group of null ids only has a null component.
     An empty table gives an empty result; further columns are ignored."""
     marked = common.stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = common.stored(marked.groupBy("fp").agg(F.min("id").alias("smallest")), "distinct-fingerprints")
-    groups = common.components(fingerprint_links(prints, radius, bucket_limit))
-    linked = prints.join(groups, prints.fp == groups.node).select("fp", "component", "smallest")
-    least = linked.groupBy("component").agg(F.min("smallest").alias("least"))
-    moved = linked.join(least, "component").select("fp", "least")
-    # stored, so that both sides of the last join are plain shuffles and the partition of a much-copied text can be split
-    labels = common.stored(prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "smallest").alias("component")), "labels")
-    return marked.join(labels, "fp").select("id", "fp", "component")
+    return marked.join(labels(marked, radius, bucket_limit).select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: that of the smallest id, null being the largest of all.
+
+    Rows that share an id belong each to the group of its own text; of several rows of a group's smallest id one is left,
+    and of equal rows one is. Null and empty texts are one group. An empty table gives an empty result."""
+    key = common.row_key(*(docs[c] for c in docs.columns))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*key).alias("key"))
+    marked = common.stored(fingerprints(rows.select(F.struct("id", "key").alias("id"), "text"), "id", "text").select("id.id", "id.key", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key")))["key"]
+    kept = marked.join(labels(marked, radius, bucket_limit).select("fp", "node"), "fp").groupBy("node").agg(first.alias("key")).select("key.row_a", "key.row_b")
+    # equal rows meet in an aggregate, which leaves one of each task's before the shuffle
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *key).groupBy("row_a", "row_b").agg(F.first("row").alias("row"))
+    return whole.join(kept, ["row_a", "row_b"], "left_semi").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

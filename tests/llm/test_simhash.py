@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(rows):
+def plain_components(rows, radius=3):
     """rows: (id, fingerprint); by all pairs."""
     label = {f: f for _, f in rows}
 
@@ -31,7 +32,7 @@ def plain_components(rows):
     prints = sorted(label)
     for i, x in enumerate(prints):
         for y in prints[i + 1 :]:
-            if (x ^ y).bit_count() <= 3:
+            if (x ^ y).bit_count() <= radius:
                 label[find(y)] = find(x)
     least = {}
     for i, f in rows:
@@ -84,9 +85,9 @@ def test_any_pair_within_three_bits_shares_a_key():
         assert len(set(kx.tolist())) == len(kx)
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
-def test_links_connect_like_all_pairs(spark, limit):
-    """With a limit of three, the dense way takes the large groups."""
+@pytest.mark.parametrize(("limit", "radius"), [(4096, 3), (3, 3), (3, 2), (3, 1), (3, 0), (12, 3), (4096, 1)])
+def test_links_connect_like_all_pairs(spark, limit, radius):
+    """With a limit of three, the dense way takes the large groups; with twelve, the third segment deals some of them out."""
     rng = random.Random(limit)
     prints = set()
     for size in [1] * 60 + [2] * 20 + [30, 45]:
@@ -103,9 +104,9 @@ def test_links_connect_like_all_pairs(spark, limit):
             chain ^= 1 << b
     prints = sorted(prints)
     want = {}
-    for i, f, c in plain_components([(k, f) for k, f in enumerate(prints)]):
+    for i, f, c in plain_components([(k, f) for k, f in enumerate(prints)], radius):
         want.setdefault(c, []).append(f)
-    assert components_of(spark, prints, bucket_limit=limit) == sorted(map(sorted, want.values()))
+    assert components_of(spark, prints, bucket_limit=limit, radius=radius) == sorted(map(sorted, want.values()))
 
 
 def test_table_with_every_odd_case(spark):
@@ -119,6 +120,32 @@ def test_table_with_every_odd_case(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_sub_keys_of_any_pair_within_three_bits_meet():
+    rng = random.Random(17)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), rng.randint(0, 3)):
+            y ^= 1 << b
+        sub = []
+        for v in (x, y):
+            rows, keys = simhash.bucket_keys(np.array([v], np.uint64))
+            batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array([v] * len(keys), np.uint64).view(np.int64))], ["key", "fp"])
+            sub.append({k for out in simhash._sub_keys([batch]) for k in out.column(0).to_pylist()})
+        assert sub[0] & sub[1]
+
+
+def test_one_row_of_each_group_is_left(spark):
+    long = {k: " ".join(f"{k}{i}" for i in range(200)) for k in "abcd"}
+    rows = [(1, long["a"], "x"), (2, long["a"], "x"), (2, long["b"], "x"), (3, long["c"], "x"), (3, long["c"], "x"), (3, long["c"], "y"), (None, long["d"], "x"), (None, long["d"], "z"), (None, long["a"], "x"), (9, None, "x"), (8, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row_a string")
+    got = simhash.representatives(df)
+    assert got.columns == df.columns
+    left = sorted((r.doc_id, (r.text or "")[:1]) for r in got.collect() if r.doc_id is not None)
+    assert left == [(1, "a"), (2, "b"), (3, "c"), (8, "")] and got.where("doc_id is null").select("text").collect() == [(long["d"],)]
+    assert simhash.representatives(df.where("false")).count() == 0
+
+
 def test_query_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in docs])
