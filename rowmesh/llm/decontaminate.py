@@ -2,15 +2,19 @@
 
 Every text is read in windows of as many words as a benchmark item has. A window's SimHash over its five-word shingles
 is looked up among the items of its size by multi-index blocks: 64 bits make eight blocks of eight, and fingerprints
-within ``radius`` bits agree in some block up to radius / 8 bits, so going through the table of that block for each
-block misses none of them. Candidates within the radius are verified by their exact weighted-shingle similarity: shared
-over united shingles, weighted by how often each occurs.
-
-Windows that cannot reach the similarity are left out first, without loss: a window and an item of n shingles each
-that are similar by s share 2 n s / (1 + s) shingles, so a window in which fewer stand in any item needs no fingerprint.
-A text shorter than an item is one window as a whole, held by the bound for unequal sizes and the exact check alone.
-
-Items are dealt with in blocks of bounded size, each broadcast; a larger benchmark takes more passes.
+within ``radius`` bits agree in some block up to radius / 8 bits. Each block has the items in the order of its value, so
+the values near the window's are ranges of that order, and no item within the radius is missed. Candidates within the
+radius are verified by their exact weighted-shingle similarity: shared over united shingles, weighted by how often each
+occurs.
+
+Windows that cannot reach the similarity are left out first, without loss. A window and an item of n shingles each that
+are similar by s share 2 n s / (1 + s) shingles, so a window in which fewer stand in any item needs no fingerprint. An
+item of n shingles shares at least s n of them with whatever is similar, so one of its n - s n + 1 rarest at least: items
+none of whose rarest stand in a stretch are no candidates there. A text shorter than an item is one window as a whole,
+held by the bounds for unequal sizes and the exact check alone.
+
+Items are dealt with in blocks of bounded size, each broadcast; a larger benchmark takes more passes. What a worker
+holds grows with the words of a block and not with the square of anything.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +39,9 @@ SIMILARITY = 0.8
 RADIUS = 24
 #: A block of items has at most so many words in all.
 BLOCK_WORDS = 2_000_000
-#: Windows fingerprinted at once.
+#: Windows fingerprinted at once, and pairs of window and item compared at once.
 CHUNK = 20_000
+PAIRS = 500_000
 CACHE = 500_000
 
 EDGES = re.compile(r"^\W+|\W+$")
@@ -73,36 +79,90 @@ def simhashes(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def word_number(word: str) -> int:
+    """A number above zero of the word alone, so that fingerprints do not depend on the order of the items."""
+    return (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1) or 1
+
+
+class Group:
+    """The items of one size."""
+
+    def __init__(self, size: int, k: int, items: list[tuple[int, np.ndarray]], counts: dict[int, int], similarity: float, radius: int):
+        self.size, self.k, self.n = size, k, size - k + 1
+        self.keys = [key for key, _ in items]
+        self.bags = [Counter(h.tolist()) for _, h in items]
+        self.prints = np.concatenate([simhashes(h, np.array([0]), len(h)) for _, h in items])
+        # rarest shingles: sorted, with the items that each is of
+        rare = self.n - ceil(similarity * self.n - 1e-9) + 1
+        pairs = [(x, i) for i, bag in enumerate(self.bags) for x in set(sorted(bag.elements(), key=lambda x: (counts[x], x))[:rare])]
+        pairs.sort()
+        shingle, self.rare_items = np.array([x for x, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
+        self.rare, first = np.unique(shingle, return_index=True)
+        self.rare_starts = np.r_[first, len(shingle)]
+        # blocks: the items in the order of each block's value, and where each value begins
+        self.values = self.prints.astype(">u8").view(np.uint8).reshape(-1, 8)
+        self.order = np.argsort(self.values, axis=0, kind="stable").astype(np.int32)
+        self.starts = np.stack([np.searchsorted(np.sort(self.values[:, b]), np.arange(257)) for b in range(8)])
+        self.radius, self.most = radius, radius // 8
+        self.masks = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= self.most).astype(np.uint8)
+
+    def with_rare(self, hashes: np.ndarray) -> np.ndarray:
+        """Which items have one of their rarest shingles among ``hashes``."""
+        at = np.minimum(np.searchsorted(self.rare, hashes), len(self.rare) - 1)
+        at = np.unique(at[self.rare[at] == hashes])
+        found = np.zeros(len(self.keys), bool)
+        found[self.rare_items[spread(self.rare_starts[at], self.rare_starts[at + 1])[1]]] = True
+        return found
+
+    def near(self, prints: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, item, differing bits) of all fingerprints within the radius of ``prints`` among the ``wanted`` items."""
+        values = prints.astype(">u8").view(np.uint8).reshape(-1, 8)
+        step = max(1, PAIRS // len(self.keys))
+        for low in range(0, len(prints), step):
+            for b in range(8):
+                value = (values[low : low + step, b, None] ^ self.masks[None, :]).ravel().astype(np.int64)
+                row, place = spread(self.starts[b][value], self.starts[b][value + 1])
+                w, i = low + row // len(self.masks), self.order[place, b]
+                w, i = w[wanted[i]], i[wanted[i]]
+                apart = np.bitwise_count(values[w] ^ self.values[i])
+                first = (apart[:, :b] > self.most).all(axis=1)  # an earlier block has given the pair already
+                total = apart.sum(axis=1)
+                hit = first & (total <= self.radius)
+                yield w[hit], i[hit], total[hit]
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges: the number of its range and the place, for each place in any of them."""
+    sizes = ends - starts
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
 class Items:
     """A block of benchmark items, laid out for look-up."""
 
     def __init__(self, items: list[tuple[int, str | None]], shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS):
-        self.similarity, self.radius = similarity, radius
+        self.similarity = similarity
         self.vocabulary: dict[str, int] = {}
         by_size: dict[int, list] = {}
         for key, text in items:
             words = words_of(text)
             if words:
-                ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-                by_size.setdefault(len(ids), []).append((key, ids))
-        self.groups = []  # words of a window, shingle length, sorted keys, bags, fingerprints, tables
-        self.known: dict[int, np.ndarray] = {}
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // 8
-        for size, group in sorted(by_size.items()):
-            k = min(shingle, size)
-            hashes = [shingles(ids, k) for _, ids in group]
-            prints = np.concatenate([simhashes(h, np.array([0]), len(h)) for h in hashes])
-            blocks = prints.astype(">u8").view(np.uint8).reshape(-1, 8)
-            tables = np.stack([near[:, blocks[:, b]] for b in range(8)])  # block, value, item
-            self.groups.append((size, k, [key for key, _ in group], [Counter(h.tolist()) for h in hashes], prints, tables))
-            self.known[k] = np.unique(np.concatenate([self.known.get(k, np.zeros(0, np.uint64)), *hashes]))
+                ids = np.array([self.vocabulary.setdefault(w, word_number(w)) for w in words], np.int64)
+                by_size.setdefault(len(ids), []).append((key, shingles(ids, min(shingle, len(ids)))))
+        counts: dict[int, Counter] = {}  # items that a shingle is in, by its length
+        for size, group in by_size.items():
+            counts.setdefault(min(shingle, size), Counter()).update(x for _, h in group for x in set(h.tolist()))
+        self.groups = [Group(size, min(shingle, size), group, counts[min(shingle, size)], similarity, radius) for size, group in sorted(by_size.items())]
+        self.known = {k: np.array(sorted(c), np.uint64) for k, c in counts.items()}
 
     def shared(self, m: int, n: int) -> int:
         """Shingles that a window of ``m`` and an item of ``n`` share at least if they are similar."""
         return ceil((m + n) * self.similarity / (1 + self.similarity) - 1e-9)
 
     def find(self, ids: np.ndarray) -> list[tuple[int, int, int, float, int]]:
-        """(item, first word, words, similarity, differing bits): the best window of each item in a text of word numbers."""
+        """(item, first word, words, similarity, differing bits): the best window of each item in a text of word numbers,
+        and the first of several."""
         best: dict[int, tuple] = {}
         hashes, inside = {}, {}
         for k, known in self.known.items():
@@ -119,22 +179,26 @@ class Items:
                     hit[whole] = known[at] == h
                 if hit.any():
                     hashes[k], inside[k] = None, np.r_[0, np.cumsum(hit)]
-        for size, k, keys, bags, prints, tables in self.groups:
-            n = size - k + 1
+
+        def verify(group: Group, i: int, start: int, m: int, apart: int) -> None:
+            both = sum((Counter(hashes[group.k][start : start + m].tolist()) & group.bags[i]).values())
+            key, similar = group.keys[i], both / (m + group.n - both)
+            if similar >= self.similarity and (key not in best or (-similar, start) < (-best[key][3], best[key][1])):
+                best[key] = (key, start, min(group.size, len(ids)), similar, apart)
+
+        for group in self.groups:
+            n, k = group.n, group.k
             if k not in inside:
                 continue
-            if len(ids) < size:  # the whole text is the one window, which the bound leaves to few items: no fingerprint needed
+            if len(ids) < group.size:  # the whole text is the one window
                 m = len(ids) - k + 1
                 if inside[k][-1] < self.shared(m, n):
                     continue
                 if hashes[k] is None:
                     hashes[k] = shingles(ids, k)
-                bag, print_ = Counter(hashes[k].tolist()), simhashes(hashes[k], np.array([0]), m)[0]
-                for i, key in enumerate(keys):
-                    both = sum((bag & bags[i]).values())
-                    similar = both / (m + n - both)
-                    if similar >= self.similarity and (key not in best or similar > best[key][3]):
-                        best[key] = (key, 0, len(ids), similar, int(np.bitwise_count(print_ ^ prints[i])))
+                print_ = simhashes(hashes[k], np.array([0]), m)[0]
+                for i in np.flatnonzero(group.with_rare(hashes[k])).tolist():
+                    verify(group, i, 0, m, int(np.bitwise_count(print_ ^ group.prints[i])))
                 continue
             held = inside[k][n:] - inside[k][:-n]
             starts = np.flatnonzero(held >= self.shared(n, n))
@@ -144,17 +208,11 @@ class Items:
                 hashes[k] = shingles(ids, k)
             cuts = np.flatnonzero((np.diff(starts) > n) | (np.arange(1, len(starts)) % CHUNK == 0)) + 1
             for run in np.split(starts, cuts):
-                found = simhashes(hashes[k], run, n)
-                value = found.astype(">u8").view(np.uint8).reshape(-1, 8)
-                maybe = reduce(np.logical_or, (tables[b][value[:, b]] for b in range(8)))
-                w, i = np.nonzero(maybe)
-                apart = np.bitwise_count(found[w] ^ prints[i])
-                for w, i, d in zip(w[apart <= self.radius].tolist(), i[apart <= self.radius].tolist(), apart[apart <= self.radius].tolist(), strict=True):
-                    start = int(run[w])
-                    both = sum((Counter(hashes[k][start : start + n].tolist()) & bags[i]).values())
-                    similar = both / (2 * n - both)
-                    if similar >= self.similarity and (keys[i] not in best or similar > best[keys[i]][3]):
-                        best[keys[i]] = (keys[i], start, size, similar, d)
+                wanted = group.with_rare(hashes[k][run[0] : run[-1] + n])
+                if wanted.any():
+                    for w, i, apart in group.near(simhashes(hashes[k], run, n), wanted):
+                        for pair in zip(i.tolist(), run[w].tolist(), apart.tolist(), strict=True):
+                            verify(group, pair[0], pair[1], n, pair[2])
         return sorted(best.values(), key=lambda x: x[0])
 
 
@@ -193,7 +251,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item_id, first_word, words, similarity, bits): the best window of every item in every row that has one.
 
     Positions count words that hold more than marks. Null and empty texts and items match nothing. Rows that repeat an id
-    are searched each by its own text; equal items are found each under its id. Without items the result is empty."""
+    are searched each by its own text; equal items are found each under its id. Of windows that tie, the first counts.
+    Without items the result is empty."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     item_kind = benchmark.select(item_col).schema[0].dataType.simpleString()
     schema = f"id {kind}, item_id {item_kind}, first_word bigint, words bigint, similarity double, bits int"

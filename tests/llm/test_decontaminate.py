@@ -86,14 +86,50 @@ def test_texts_shorter_than_the_item(spark):
 def test_blocks_miss_no_fingerprint_within_the_radius():
     rng = np.random.default_rng(3)
     items = D.Items([(i, " ".join(f"u{rng.integers(900)}" for _ in range(30))) for i in range(40)])
-    _, _, _, _, prints, tables = items.groups[0]
+    (group,) = items.groups
+    prints = []
     for _ in range(300):
-        i = int(rng.integers(len(prints)))
-        x = prints[i]
+        x = group.prints[int(rng.integers(40))]
         for b in rng.choice(64, int(rng.integers(0, D.RADIUS + 1)), replace=False):
             x ^= np.uint64(1) << np.uint64(b)
-        value = np.array([x]).astype(">u8").view(np.uint8)
-        assert any(tables[b][value[b], i] for b in range(8))
+        prints.append(x)
+    wanted = rng.random(40) < 0.7
+    got = sorted(x for w, i, d in group.near(np.array(prints), wanted) for x in zip(w.tolist(), i.tolist(), d.tolist(), strict=True))
+    apart = np.bitwise_count(np.array(prints)[:, None] ^ group.prints[None, :])
+    assert got == sorted((w, i, int(apart[w, i])) for w, i in np.argwhere((apart <= D.RADIUS) & wanted[None, :]).tolist()) and len(got) > 200
+
+
+def test_recall_of_edited_passages():
+    """Items of 40 to 60 words among others of their sizes, with words changed or left out, at similarities from 0.8 on."""
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcdefghijklmnopqrst") + str(rng.randint(0, 99)) for _ in range(rng.randint(40, 60)))) for i in range(400)]
+    block = D.Items(items)
+    numbers = D.Numbers(block.vocabulary)
+    seen: dict[int, list[bool]] = {}
+    for key, text in items:
+        for edits in (1, 1, 2, 2):
+            w = text.split()
+            for _ in range(edits):
+                at = rng.choice([0, 1, 2, 3, len(w) - 1, len(w) - 2, rng.randrange(len(w))])
+                w[at : at + 1] = rng.choice([["other"], [], ["two", "more"]])
+            doc = " ".join([*(f"x{rng.randint(0, 999)}" for _ in range(20)), *w, *(f"y{rng.randint(0, 999)}" for _ in range(20))])
+            want = {k: x for k, _, x in plain(doc, [(key, text)])}
+            got = {k: round(x, 9) for k, _, _, x, _ in block.find(D.numbered(doc, numbers))}
+            if want:
+                seen.setdefault(int(want[key] * 20 + 1e-9), []).append(got.get(key) == want[key])
+    assert all(len(seen[band]) >= 30 for band in (16, 17, 18)) and all(sum(x) >= 0.9 * len(x) for x in seen.values())
+    assert sum(map(sum, seen.values())) >= 0.99 * sum(map(len, seen.values()))
+
+
+def test_the_order_of_items_makes_no_difference():
+    rng = random.Random(8)
+    items = [(i, " ".join(f"v{rng.randint(0, 60)}" for _ in range(24))) for i in range(30)]
+    docs = [" ".join([items[i][1], items[i + 1][1].replace("v7 ", "v8 ")]) for i in range(29)]
+    results = []
+    for some in (items, items[::-1], rng.sample(items, 30)):
+        block = D.Items(some)
+        results.append([block.find(D.numbered(t, D.Numbers(block.vocabulary))) for t in docs])
+    assert results[0] == results[1] == results[2] and any(x[4] for found in results[0] for x in found) and all(results[0])
 
 
 def test_empty_tables(spark):
@@ -103,9 +139,20 @@ def test_empty_tables(spark):
     assert D.matches(docs.where("false"), none.union(spark.createDataFrame([(1, "a b c d e f")], none.schema))).count() == 0
 
 
-def test_query(spark):
+def test_query_in_memory(spark):
+    """All windows against all items that share a shingle with the document."""
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    bare = [(k, f" {' '.join(D.words_of(t))} ") for k, t in items]
-    got = {(r.doc_id, r.item_id) for r in D.query(spark, SF).collect()}
-    exact = {(r.doc_id, k) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for k, t in bare if t in f" {' '.join(D.words_of(r.text))} "}
-    assert exact and got >= exact
+    bags = [(k, t, set(bag(D.words_of(t)))) for k, t in items]
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        own, n = D.words_of(r.text), len(D.words_of(r.text))
+        grams = set(bag(own))
+        near = [(k, t) for k, t, g in bags if grams & g]
+        want += [(r.doc_id, *x) for x in plain(r.text, [(k, t) for k, t in near if len(D.words_of(t)) <= n])]
+        for k, t in near:
+            if len(D.words_of(t)) > n >= 5:
+                a, b = bag(own), bag(D.words_of(t))
+                similar = sum((a & b).values()) / sum((a | b).values())
+                want += [(r.doc_id, k, 0, round(similar, 9))] if similar >= 0.8 else []
+    got = sorted((r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in D.query(spark, SF).collect())
+    assert got == sorted(want) and got
