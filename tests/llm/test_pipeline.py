@@ -68,6 +68,14 @@ def test_stages_on_empty_and_odd_documents(spark):
         assert df.count() == 0
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(200)) for k in "ABC"}
+    rows = [(1, "A"), (2, "A"), (2, "B"), (3, "C"), (3, "C")]
+    docs = spark.createDataFrame([(i, text[k], "en", "s", len(text[k])) for i, k in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in got) == [(1, "A"), (2, "B"), (3, "C")]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (9, 9), (500, 100), (2, 800), (800, 900), (-5, 900)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
