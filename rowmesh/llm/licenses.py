@@ -4,14 +4,15 @@ All rolling word k-grams of all texts are joined on their hashes with the positi
 A match votes for the diagonal (text position minus template position); votes are summed for each text, template and
 diagonal, neighbouring diagonals (a few words inserted or left out) are merged, and a merged span is verified by the
 share of the template's k-grams that it holds and by its length. The templates are few and fixed, so their side of the
-join is broadcast; nothing but matches is ever shuffled.
+join is broadcast, and k-grams of no template are dropped before they become rows; nothing but matches is ever shuffled.
+Texts are split into words once; what the labels need of them is stored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -74,21 +75,34 @@ TEMPLATES = (
 
 def words_of(text: Column) -> Column:
     """Runs of other characters than ``NOT_WORD`` after A-Z are lower-cased."""
-    bare = F.trim(F.regexp_replace(common.ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
+    return F.array_remove(F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def grams_of(words: str, hashes: str, k: int) -> Column:
-    """Hash of each k-gram, from the hashes of the words."""
-    gram = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(k))))
-    return F.when(F.size(words) >= k, gram).otherwise(F.array().cast("array<bigint>"))
+def grams_of(words: Column, k: int) -> Column:
+    """Hash of each k-gram: the hashes of the words from each place on, folded side by side."""
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
 
+    def fold(h: Column) -> Column:
+        grams = reduce(lambda g, j: F.zip_with(g, F.slice(h, F.lit(j + 1), F.size(h)), lambda a, b: F.xxhash64(a, b)), range(1, k), h)
+        return F.slice(grams, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0)))
 
-def _grams(df: DataFrame, k: int) -> DataFrame:
-    """``df(..., words)`` with gram and at, one row for each k-gram."""
-    df = df.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
-    keep = [c for c in df.columns if c not in ("words", "hashes")]
-    return df.select(*keep, F.posexplode(grams_of("words", "hashes", k)).alias("at", "gram"))
+    return common.let(hashes, fold)
+
+
+def template_places(spark: SparkSession, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
+    """(template, label, place, gram, grams): each k-gram of each template, and how many the template has."""
+    if sum(len(text.split()) for _, text in templates) > MOST_TEMPLATE_WORDS:
+        raise ValueError("too many template words to broadcast")
+    rows_of = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)))
+    known = spark.range(1).select(F.inline(rows_of)).select("template", "label", grams_of(words_of(F.col("text")), k).alias("grams"))
+    return known.select("template", "label", F.size("grams").alias("grams"), F.posexplode("grams").alias("place", "gram"))
+
+
+def with_votes(rows: DataFrame, places: DataFrame, k: int = GRAM) -> DataFrame:
+    """``rows(..., words)`` with hits, the (at, gram) of the k-grams that some template has."""
+    known = [r.gram for r in places.select("gram").distinct().collect()]  # as bounded as what is broadcast
+    hits = F.filter(F.transform(grams_of(F.col("words"), k), lambda g, i: F.when(g.isin(known), F.struct(i.alias("at"), g.alias("gram")))), lambda x: x.isNotNull())
+    return rows.select("*", hits.alias("hits"))
 
 
 def _starts(parts: list[str]):
@@ -117,16 +131,9 @@ def with_phrases(rows: DataFrame, phrases=PHRASES) -> DataFrame:
     )
 
 
-def template_spans(rows: DataFrame, templates=TEMPLATES, k: int = GRAM, drift: int = DRIFT, least: float = LEAST_COVERAGE, stretch: float = MOST_STRETCH) -> DataFrame:
-    """(id, t, label, first, last, coverage) of the verified spans in ``rows(id, t, words)``; positions count words."""
-    spark = rows.sparkSession
-    if sum(len(text.split()) for _, text in templates) > MOST_TEMPLATE_WORDS:
-        raise ValueError("too many template words to broadcast")
-    rows_of = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)))
-    known = spark.range(1).select(F.inline(rows_of))
-    known = _grams(known.select("template", "label", words_of(F.col("text")).alias("words")), k)
-    known = known.select("template", "label", F.col("at").alias("place"), "gram", F.count("*").over(Window.partitionBy("template")).alias("grams"))
-    votes = _grams(rows.select("id", "t", "words"), k).join(F.broadcast(known), "gram").withColumn("diagonal", F.col("at") - F.col("place"))
+def template_spans(rows: DataFrame, places: DataFrame, k: int = GRAM, drift: int = DRIFT, least: float = LEAST_COVERAGE, stretch: float = MOST_STRETCH) -> DataFrame:
+    """(id, t, label, first, last, coverage) of the verified spans in ``rows(id, t, hits)``; positions count words."""
+    votes = rows.where(F.size("hits") > 0).select("id", "t", F.inline("hits")).join(F.broadcast(places), "gram").withColumn("diagonal", F.col("at") - F.col("place"))
     lines = votes.groupBy("id", "t", "template", "label", "grams", "diagonal").agg(
         F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places")
     )
@@ -147,13 +154,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Labels are those of the base phrases and of the verified template spans; spans lists the latter. The score is the
     best coverage of a template, or 1 where a base phrase stands. Null and empty texts have no words, no labels and the
     score 0. Rows that repeat an id are scanned each by its own text; further columns are ignored."""
+    places = template_places(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), words_of(F.col(text_col)).alias("words"))
-    spans = template_spans(rows)
+    based = common.stored(with_phrases(with_votes(rows, places)).drop("words"), "license-votes")
+    spans = template_spans(based, places)
     spans = spans.groupBy("id", "t").agg(
         F.collect_set("label").alias("more"), F.max("coverage").alias("best"), F.sort_array(F.collect_set(F.struct("first", "last", "label", "coverage"))).alias("spans")
     )
     spans = spans.select(F.col("id").alias("span_id"), F.col("t").alias("span_t"), "more", "best", "spans")
-    based = with_phrases(rows).drop("words")
     joined = based.join(spans, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("t") == F.col("span_t")), "left")
     joined = joined.withColumn("more", F.coalesce("more", F.array().cast("array<string>")))
     text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
