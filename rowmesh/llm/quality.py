@@ -32,8 +32,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
     To find three-word windows that occur twice, each window's hash is packed with its position into one integer, high
-    bits first; in sorted order equal windows are neighbours. Positions take as few bits as the text needs, so the hash
-    keeps over 50 bits on all but enormous texts."""
+    bits first; in sorted order equal windows are neighbours. Positions take as few bits as the text needs. What the
+    hashes leave is sorted once more by its words, so that only equal windows count."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(common.BLANKS)) != "")
     df = docs.withColumn("q_words", words_of(F.col(text_col))).withColumn("q_lines", lines)
@@ -47,7 +47,11 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     head = lambda x: F.call_function("shiftrightunsigned", x, F.col("q_bits"))
     again = F.filter("q_packed", lambda x, j: (head(x) == head(F.get("q_packed", j - 1))) | (head(x) == head(F.get("q_packed", j + 1))))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q_bits")) - 1
-    df = df.withColumn("q_at", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask))))
+    word = lambda i, j: F.get("q_words", i.cast("int") + j)
+    df = df.withColumn("q_same", F.sort_array(F.transform(F.transform(again, lambda x: x.bitwiseAND(mask)), lambda i: F.struct(word(i, 0).alias("a"), word(i, 1).alias("b"), word(i, 2).alias("c"), i.alias("i")))))
+    same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+    exact = F.filter("q_same", lambda x, j: F.coalesce(same(x, F.get("q_same", j - 1)), F.lit(False)) | F.coalesce(same(x, F.get("q_same", j + 1)), F.lit(False)))
+    df = df.withColumn("q_at", F.sort_array(F.transform(exact, lambda x: x["i"])))
     covered = F.transform("q_at", lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get("q_at", j + 1) - x, F.lit(3).cast("long"))))
     return df.select(
         *(docs[c] for c in docs.columns),
