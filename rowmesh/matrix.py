@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import DimensionError, MatrixIndexError, ProductMismatch, ShapeMismatch
+from .errors import DimensionError, MatrixIndexError, NanNormError, ProductMismatch, ShapeMismatch
 from .functions.kinds import COMPLEX, DOUBLE, INT64, Kind, entry_schema
 from .operators import access, algebra, checks
 from .plans import work
@@ -136,15 +136,19 @@ class SparseMatrix:
         return self.like(algebra.combine(self.df, other.df, self.kind, f, left_alone))
 
     def multiply(self, other: SparseMatrix, salt: int | str = 1, ordered: bool = False, broadcast_entries: int = 0) -> SparseMatrix:
-        """The product. ``salt="auto"`` first measures how much work the busiest inner index holds.
+        """The product. With ``salt`` the work of each inner index is measured first; those that hold too much of it are
+        dealt to ``salt`` tasks each, or to as many as it takes with ``"auto"``.
 
         With ``broadcast_entries``, the right side's entries are counted; up to so many they are broadcast and the rows of
         this matrix are dealt out once, unless one row would outweigh a task."""
         if self._cols != other._rows:
             raise ProductMismatch
         by_rows = broadcast_entries > 0 and work.fits_by_rows(self.df, other.df, broadcast_entries)
-        factor = work.estimate(self.df, other.df).salt if salt == "auto" and not by_rows else 1 if by_rows else int(salt)
-        return self.like(algebra.multiply(self.df, other.df, self.kind, factor, ordered, by_rows), self._rows, other._cols)
+        factor, hot = 1, ()
+        if salt != 1 and not by_rows:
+            measured = work.estimate(self.df, other.df)
+            factor, hot = (measured.salt if salt == "auto" else int(salt)), measured.hot
+        return self.like(algebra.multiply(self.df, other.df, self.kind, factor, hot, ordered, by_rows), self._rows, other._cols)
 
     def __matmul__(self, other: SparseMatrix) -> SparseMatrix:
         return self.multiply(other)
@@ -164,6 +168,15 @@ class SparseMatrix:
         """Same shape and all elements equal, absence being zero."""
         return self.shape == other.shape and algebra.differences(self.df, other.df, self.kind).isEmpty()
 
+    def __eq__(self, other: object) -> bool:
+        """As ``equals``, by running a job; a matrix has no hash."""
+        return self.equals(other) if isinstance(other, SparseMatrix) else NotImplemented
+
+    def __ne__(self, other: object) -> bool:
+        return not self.equals(other) if isinstance(other, SparseMatrix) else NotImplemented
+
+    __hash__ = None
+
     def same_structure(self, other: SparseMatrix) -> bool:
         """Same shape and the same explicit entries."""
         return self.shape == other.shape and algebra.structure_differences(self.df, other.df).isEmpty()
@@ -189,13 +202,18 @@ class SparseMatrix:
         return checks.inf_norm(self.df, self.kind)
 
     def is_good_product_of(self, lhs: SparseMatrix, rhs: SparseMatrix, n: str = "cols") -> bool:
-        """Whether this is ``lhs @ rhs`` up to rounding. n is ``cols`` (columns of the result) or ``inner``."""
+        """Whether this is ``lhs @ rhs`` up to rounding. n is ``cols`` (columns of the result) or ``inner``.
+
+        NaN here is good only where the product has some as well; then and where the operands have NaN, there is no norm."""
         expected = lhs @ rhs
         self._same_shape(expected)
-        if checks.has_nan(self.df, self.kind) and not checks.has_nan(expected.df, self.kind):
+        got = checks.difference_norm(expected.df, self.df, self.kind).first()
+        if got["nan_y"] and not got["nan_x"]:
             return False
         bound = checks.error_bound(self._cols if n == "cols" else lhs._cols, lhs.inf_norm(), rhs.inf_norm())
-        return (expected - self).inf_norm() <= bound
+        if got["nan"]:
+            raise NanNormError
+        return got["norm"] <= bound
 
     def dump(self) -> str:
         return checks.scientific_dump(self.df).first()["dump"]

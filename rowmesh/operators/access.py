@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import Kind
@@ -46,6 +46,27 @@ def ranked(a: DataFrame) -> DataFrame:
     return a.select("row", "col", "val", within.alias("within")).join(shifted, "row").select("row", "col", "val", (F.col("before") + F.col("within") - 1).alias("pos"))
 
 
+def compare_positions(row, col, other_row, other_col) -> Column:
+    """-1, 0 or 1: positions compare by row, then by column; null where either is none."""
+    mine, other = F.struct(F.col(row).alias("r"), F.col(col).alias("c")), F.struct(F.col(other_row).alias("r"), F.col(other_col).alias("c"))
+    known = F.col(row).isNotNull() & F.col(other_row).isNotNull()
+    return F.when(known, F.when(mine < other, -1).when(mine == other, 0).otherwise(1))
+
+
+def steps(a: DataFrame) -> DataFrame:
+    """``a`` with next_row and next_col, the position one step on in (row, col) order; null at the end.
+
+    Within a row that is a window; a row's last entry goes on to the first of the next row that has any, found over one
+    line for each row."""
+    within = Window.partitionBy("row").orderBy("col")
+    heads = ranked(a.groupBy("row").agg(F.min("col").alias("val")).select("row", F.lit(0).cast("long").alias("col"), "val"))
+    following = heads.select((F.col("pos") - 1).alias("pos"), F.col("row").alias("head_row"), F.col("val").alias("head_col"))
+    rows = heads.select("row", "pos").join(following, "pos", "left").select("row", "head_row", "head_col")
+    found = a.select("row", "col", "val", F.lead("col").over(within).alias("lead")).join(rows, "row")
+    inside = F.col("lead").isNotNull()
+    return found.select("row", "col", "val", F.when(inside, F.col("row")).otherwise(F.col("head_row")).alias("next_row"), F.when(inside, F.col("lead")).otherwise(F.col("head_col")).alias("next_col"))
+
+
 def grouped(a: DataFrame, ordered: bool = True) -> DataFrame:
     """The row-grouped form (row, indices, vals) of the rows that have entries; columns ascend if ``ordered``."""
     pairs = F.collect_list(F.struct("col", "val"))

@@ -6,7 +6,7 @@ there, whatever the value comes to.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,37 +40,47 @@ def combine(a: DataFrame, b: DataFrame, kind: Kind, f: Callable[[Column, Column]
     return joined.select("row", "col", value.cast(kind.type).alias("val"))
 
 
-def _pairs(a: DataFrame, b: DataFrame, salt: int, by_rows: bool) -> DataFrame:
-    """(i, k, x, j, y) for all entries with a.col = b.row. With ``salt``, each inner index is dealt to so many tasks;
-    with ``by_rows``, rows of ``a`` are dealt out once and meet all of ``b``."""
+#: Products of so many neighbouring inner indexes are summed apart where the order of a sum is to be fixed.
+ORDER_BLOCK = 256
+
+
+def _pairs(a: DataFrame, b: DataFrame, salt: int, hot: Sequence[int], by_rows: bool) -> DataFrame:
+    """(i, k, x, j, y) for all entries with a.col = b.row. The ``hot`` inner indexes are dealt to ``salt`` tasks each, and
+    only entries of these are copied; with ``by_rows``, rows of ``a`` are dealt out once and meet all of ``b``."""
     if by_rows:
         a, b = a.repartition("row"), F.broadcast(b)
     left = a.select(F.col("row").alias("i"), F.col("col").alias("k"), F.col("val").alias("x"))
     right = b.select(F.col("row").alias("k"), F.col("col").alias("j"), F.col("val").alias("y"))
-    if salt > 1 and not by_rows:
-        left = left.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(salt)))
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    if salt > 1 and hot and not by_rows:
+        is_hot = F.col("k").isin(list(hot))
+        left = left.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("i"), F.lit(salt))).otherwise(0))
+        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, salt - 1).otherwise(0).cast("long"))))
         return left.join(right, ["k", "salt"]).drop("salt")
     return left.join(right, "k")
 
 
-def multiply(a: DataFrame, b: DataFrame, kind: Kind, salt: int = 1, ordered: bool = False, by_rows: bool = False) -> DataFrame:
+def multiply(a: DataFrame, b: DataFrame, kind: Kind, salt: int = 1, hot: Sequence[int] = (), ordered: bool = False, by_rows: bool = False) -> DataFrame:
     """The sparse product: join on the inner index, sum by cell.
 
     ``by_rows`` is for a right side of a checked size: it is broadcast, and as each task holds whole rows of the result,
     only the entries of ``a`` are shuffled and no partial sums.
 
-    Sums combine before the shuffle, which is by cell, so one heavy row spreads over tasks. ``ordered`` sums each cell
-    from the lowest inner index to the highest, for the same floating-point result on any cluster; it gathers the
-    products of a cell, at most as many as there are inner indexes."""
-    pairs = _pairs(a, b, salt, by_rows).select(F.col("i").alias("row"), F.col("j").alias("col"), "k", kind.product(F.col("x"), F.col("y")).alias("p"))
+    Sums combine before the shuffle, which is by cell, so one heavy row spreads over tasks. ``ordered`` gives the same
+    floating-point result on any cluster: products of ``ORDER_BLOCK`` neighbouring inner indexes are summed from the
+    lowest to the highest, then these sums in the order of their blocks. So no group is longer than a block, or than the
+    number of blocks."""
+    pairs = _pairs(a, b, salt, hot, by_rows).select(F.col("i").alias("row"), F.col("j").alias("col"), "k", kind.product(F.col("x"), F.col("y")).alias("p"))
     if not ordered or kind.name not in ("double", "complex"):  # whole numbers come out the same in any order
         total = pairs.groupBy("row", "col").agg(kind.total(F.col("p")).alias("val"))
         return total.select("row", "col", kind.settle(F.col("val")).alias("val"))
-    lists = pairs.groupBy("row", "col").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("terms"))
-    first = F.col("terms")[0]["p"]
-    rest = F.slice("terms", F.lit(2), F.size("terms"))
-    return lists.select("row", "col", kind.settle(F.aggregate(rest, first, lambda s, t: kind.plus(s, t["p"]))).alias("val"))
+
+    def in_order(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+        lists = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, "p"))).alias("terms"))
+        rest = F.slice("terms", F.lit(2), F.size("terms"))
+        return lists.select(*group, F.aggregate(rest, F.col("terms")[0]["p"], lambda s, t: kind.plus(s, t["p"])).alias("p"))
+
+    blocks = in_order(pairs.withColumn("block", F.floor(F.col("k") / ORDER_BLOCK)), ["row", "col", "block"], "k")
+    return in_order(blocks, ["row", "col"], "block").select("row", "col", kind.settle(F.col("p")).alias("val"))
 
 
 def transpose(a: DataFrame) -> DataFrame:

@@ -69,8 +69,18 @@ def inf_norm(a: DataFrame, kind: Kind):
     return got["norm"]
 
 
-def has_nan(a: DataFrame, kind: Kind) -> bool:
-    return not a.where(kind.is_nan(F.col("val"))).isEmpty()
+def difference_norm(x: DataFrame, y: DataFrame, kind: Kind) -> DataFrame:
+    """(norm, nan, nan_x, nan_y): the infinity norm of x - y and whether a row sum of it is NaN, and whether x and y hold
+    NaN. Each side is read once."""
+    left = x.select("row", "col", F.col("val").alias("x"), F.lit(None).cast(kind.type).alias("y"))
+    right = y.select("row", "col", F.lit(None).cast(kind.type).alias("x"), F.col("val").alias("y"))
+    cells = left.union(right).groupBy("row", "col").agg(*(F.max(c).alias(c) for c in ("x", "y")))
+    cells = cells.select("row", *(kind.work(F.coalesce(c, kind.lit(0))).alias(c) for c in ("x", "y")))
+    apart = kind.magnitude(kind.settle(kind.minus(F.col("x"), F.col("y"))))
+    rows = cells.groupBy("row").agg(F.sum(apart).alias("s"), F.bool_or(kind.is_nan(F.col("x"))).alias("nan_x"), F.bool_or(kind.is_nan(F.col("y"))).alias("nan_y"))
+    bad = F.isnan("s") if kind.name in ("double", "complex") else F.lit(False)
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return rows.agg(F.coalesce(F.max(F.when(~bad, F.col("s"))), F.lit(0)).alias("norm"), some(bad).alias("nan"), some(F.col("nan_x")).alias("nan_x"), some(F.col("nan_y")).alias("nan_y"))
 
 
 def error_bound(n: int, lhs_norm: float, rhs_norm: float) -> float:
@@ -79,12 +89,17 @@ def error_bound(n: int, lhs_norm: float, rhs_norm: float) -> float:
     return 0.0 if lhs_norm == 0 or rhs_norm == 0 else 2 * (n * u / (1 - n * u)) * lhs_norm * rhs_norm
 
 
-def scientific_dump(a: DataFrame) -> DataFrame:
-    """One string ``{(i, j, 1e0), ...}`` in (row, col) order; for small matrices, as it is one cell."""
+def dump_lines(a: DataFrame) -> DataFrame:
+    """(row, line) of the rows that have entries: ``(i, j, 1e0), ...`` in the order of columns."""
     from ..functions.scalar import scientific
 
     shown = a.select("row", "col", F.concat(F.lit("("), F.col("row"), F.lit(", "), F.col("col"), F.lit(", "), scientific(F.col("val")), F.lit(")")).alias("s"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("row", "col", "s"))), lambda e: e["s"])
-    return shown.agg(F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}")).alias("dump"))
+    lists = shown.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "s"))).alias("e"))
+    return lists.select("row", F.array_join(F.transform("e", lambda e: e["s"]), ", ").alias("line"))
 
 
+def scientific_dump(a: DataFrame) -> DataFrame:
+    """One string ``{(i, j, 1e0), ...}`` in (row, col) order; for small matrices, as it is one cell. ``dump_lines`` has no
+    such bound."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda e: e["line"])
+    return dump_lines(a).agg(F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}")).alias("dump"))

@@ -58,16 +58,21 @@ class Estimate:
     products: int
     hottest: int
     salt: int
+    hot: tuple[int, ...] = ()
 
 
-def estimate(a: DataFrame, b: DataFrame) -> Estimate:
-    """Scalar products in all and at the busiest inner index, and the salt that evens it out. Two aggregates and a join."""
+def estimate(a: DataFrame, b: DataFrame, most_salt: int = MOST_SALT) -> Estimate:
+    """Scalar products in all and at the busiest inner index, the hot indexes and the salt that evens them out. Two
+    aggregates and a join; no more than 1 / ``HOT_SHARE`` indexes can be hot."""
     left = a.groupBy(F.col("col").alias("k")).agg(F.count("*").alias("x"))
     right = b.groupBy(F.col("row").alias("k")).agg(F.count("*").alias("y"))
-    got = left.join(right, "k").agg(F.sum(F.col("x") * F.col("y")).alias("n"), F.max(F.col("x") * F.col("y")).alias("m")).first()
+    work = left.join(right, "k").select("k", (F.col("x") * F.col("y")).alias("n"))
+    got = work.agg(F.sum("n").alias("n"), F.max("n").alias("m")).first()
     products, hottest = got["n"] or 0, got["m"] or 0
-    share = hottest / products if products else 0
-    return Estimate(products, hottest, 1 if share <= HOT_SHARE else min(MOST_SALT, max(2, round(share / HOT_SHARE))))
+    if not products or hottest <= HOT_SHARE * products:
+        return Estimate(products, hottest, 1)
+    hot = tuple(sorted(r["k"] for r in work.where(F.col("n") > HOT_SHARE * products).collect()))
+    return Estimate(products, hottest, min(most_salt, max(2, round(hottest / products / HOT_SHARE))), hot)
 
 
 def fits_by_rows(a: DataFrame, b: DataFrame, most: int) -> bool:

@@ -89,6 +89,54 @@ def test_shapes_and_errors(spark):
     assert (a.rows(), a.cols(), a.nnz(), a.shape) == (2, 3, 0, (2, 3)) and SparseMatrix.empty(spark, 4).shape == (4, 4)
 
 
+def test_equality_operators(spark):
+    a = generate.random_matrix(spark, 5, 6, 20, seed=2, drop_zeros=False)
+    b, c = a.set(4, 4, 99)[0], SparseMatrix.empty(spark, 5, 7)
+    assert a == a.canonical() and not a != a.canonical() and a != b and not a == b and a != c
+    assert a != "a matrix" and not a == 5 and (a == b) is False
+    with pytest.raises(TypeError):
+        hash(a)
+
+
+def test_only_hot_indexes_are_salted(spark):
+    """One inner index holds nearly all products; no other entry of the right side is copied."""
+    a = SparseMatrix.of(spark, [(i, 7, i + 1) for i in range(300)] + [(i, i % 7, 1) for i in range(300)], 300, 10)
+    b = SparseMatrix.of(spark, [(7, j, j + 1) for j in range(40)] + [(k, k, 2) for k in range(7)], 10, 40)
+    found = work.estimate(a.df, b.df)
+    assert found.hot == (7,) and found.salt == min(work.MOST_SALT, round(12_000 / 12_300 / work.HOT_SHARE))
+    pairs = algebra._pairs(a.df, b.df, 8, found.hot, False)
+    assert pairs.count() == 300 * 40 + 300 and a.multiply(b, salt=8).equals(a @ b) and a.multiply(b, salt="auto").equals(a @ b)
+    even = SparseMatrix.identity(spark, 100)
+    assert work.estimate(even.df, even.df) == work.Estimate(100, 1, 1)
+
+
+def test_ordered_sums_run_block_by_block(spark):
+    """Sums over blocks of neighbouring inner indexes, then over the blocks, to the last bit and however the data lie."""
+    rng = random.Random(12)
+    n = 3 * algebra.ORDER_BLOCK + 5
+    x, y = [rng.gauss(0, 1) * 10 ** rng.randint(-9, 9) for _ in range(n)], [rng.gauss(0, 1) for _ in range(n)]
+    a, b = SparseMatrix.of(spark, [(0, k, v) for k, v in enumerate(x)], 1, n, DOUBLE), SparseMatrix.of(spark, [(k, 0, v) for k, v in enumerate(y)], n, 1, DOUBLE)
+    blocks = [0.0] * 4
+    for k in range(n):
+        blocks[k // algebra.ORDER_BLOCK] += x[k] * y[k]
+    want = 0.0
+    for s in blocks:
+        want += s
+    for parts in (1, 5):
+        shuffled = a.like(a.df.repartition(parts, F.rand(parts)))
+        assert shuffled.multiply(b, ordered=True).get(0, 0) == want
+
+
+def test_steps_and_comparison_of_positions(spark):
+    m = generate.random_matrix(spark, 12, 9, 40, seed=8)
+    entries = [(i, j) for i, j, _ in m]
+    steps = {(r.row, r.col): (r.next_row, r.next_col) for r in access.steps(m.df).collect()}
+    assert steps == dict(zip(entries, [*entries[1:], (None, None)], strict=True))
+    pairs = spark.createDataFrame([(*p, *q) for p in entries[:9] for q in entries[:9]], "a long, b long, c long, d long")
+    for r in pairs.select("*", access.compare_positions("a", "b", "c", "d").alias("o")).collect():
+        assert r.o == ((r.a, r.b) > (r.c, r.d)) - ((r.a, r.b) < (r.c, r.d))
+
+
 def test_get_and_set(spark):
     m = SparseMatrix.of(spark, [(0, 1, 5), (2, 2, 0)], 3, 3)
     assert (m.get(0, 1), m.get(2, 2), m.get(1, 1), m.value(1, 1)) == (5, 0, None, 0)
