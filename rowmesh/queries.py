@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import MatrixError
 from .functions import scalar as S
 from .functions.kinds import DOUBLE, INT64
 from .matrix import SparseMatrix, chain_product
@@ -218,6 +219,49 @@ def elementwise_greatest(spark, d):
 # construction, access, order
 
 
+@_query(_with("sp") + "SELECT r AS row_id, c AS col_id, v AS val FROM sp")
+def add_empty(spark, d):
+    """The empty matrix of the same shape changes nothing on either side of a sum."""
+    m = tables.supplier_part(spark, d)
+    nothing = SparseMatrix.empty(spark, *m.shape)
+    return cells((nothing + m + nothing).df)
+
+
+@_query(_with("nn") + "SELECT CAST(count(*) AS BIGINT) - (SELECT count(*) FROM nn) AS nnz, (SELECT count(*) FROM nation) AS n_rows, (SELECT count(*) FROM nation) AS n_cols FROM nn")
+def mul_empty(spark, d):
+    """No entry is left of a product with an empty square matrix."""
+    m = tables.nation_nation(spark, d)
+    none = m @ SparseMatrix.empty(spark, m.rows())
+    return none.df.agg(F.count("*").alias("nnz"), F.lit(none.rows()).cast("long").alias("n_rows"), F.lit(none.cols()).cast("long").alias("n_cols"))
+
+
+@_query(_with("nn") + "SELECT r AS row_id, list_sum(list(v)) AS total, count(*) AS n FROM nn GROUP BY 1")
+def row_unordered(spark, d):
+    """Rows whose columns come in any order hold the same entries."""
+    g = tables.nation_nation(spark, d).grouped(ordered=False)
+    return g.select(F.col("row").alias("row_id"), F.aggregate("vals", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("indices").cast("long").alias("n"))
+
+
+@_query(_with("nn") + "SELECT a.r AS row_id, a.c AS col_id, count(b.r) AS before FROM nn a LEFT JOIN nn b ON b.r < a.r OR (b.r = a.r AND b.c < a.c) GROUP BY 1, 2")
+def position_order(spark, d):
+    """Positions compare by row, then column: each comes after as many entries as are less."""
+    m = tables.nation_nation(spark, d)
+    return m.ranked().select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), F.col("pos").alias("before"))
+
+
+@_query(
+    _with("nn")
+    + """, p AS (SELECT r, c, row_number() OVER (ORDER BY r, c) AS n FROM nn)
+    SELECT a.r AS row_id, a.c AS col_id, b.r AS next_row, b.c AS next_col, CASE WHEN b.n IS NULL THEN 0 ELSE -1 END AS ordering FROM p a LEFT JOIN p b ON b.n = a.n + 1"""
+)
+def position_steps(spark, d):
+    """One step of an iterator from each entry, and how the position compares with that of the next."""
+    steps = access.steps(tables.nation_nation(spark, d).df)
+    return steps.select(
+        F.col("row").alias("row_id"), F.col("col").alias("col_id"), "next_row", "next_col", F.coalesce(access.compare_positions("row", "col", "next_row", "next_col"), F.lit(0)).alias("ordering")
+    )
+
+
 @_query(_with("sp") + "SELECT c AS row_id, r AS col_id, v AS val FROM sp")
 def transpose(spark, d):
     return cells(tables.supplier_part(spark, d).transpose().df)
@@ -306,7 +350,11 @@ def nnz_shape(spark, d):
     return m.df.agg(F.lit(m.rows()).cast("long").alias("n_rows"), F.lit(m.cols()).cast("long").alias("n_cols"), F.count("*").alias("nnz"))
 
 
-@_query(_with("sp") + "SELECT count(*) = 0 AS equal FROM sp WHERE v IS NULL")
+_SAME = "NOT EXISTS (SELECT * FROM (SELECT r, c, v FROM {a} WHERE v <> 0 EXCEPT SELECT r, c, v FROM {b}) UNION ALL (SELECT r, c, v FROM {b} WHERE v <> 0 EXCEPT SELECT r, c, v FROM {a}))"
+_TURNED = _with("sp") + ", once AS (SELECT c AS r, r AS c, v FROM sp), twice AS (SELECT c AS r, r AS c, v FROM once)"
+
+
+@_query(_TURNED + "SELECT " + _SAME.format(a="twice", b="sp") + " AS equal")
 def equality_true(spark, d):
     m = tables.supplier_part(spark, d)
     return spark.createDataFrame([(m.transpose().transpose().equals(m),)], "equal boolean")
@@ -318,6 +366,22 @@ def equality_false(spark, d):
     return spark.createDataFrame([(a.equals(b),)], "equal boolean")
 
 
+@_query(
+    _with("nn")
+    + """, off AS (SELECT r, c, v + CASE WHEN row_number() OVER (ORDER BY r, c) = 1 THEN 1 ELSE 0 END AS v FROM nn), turned AS (SELECT c AS r, r AS c, v FROM nn),
+    zeros AS (SELECT r, c, CASE WHEN (r + c) % 2 = 0 THEN 0 ELSE v END AS v FROM nn), few AS (SELECT * FROM zeros WHERE v <> 0) """
+    + " UNION ALL ".join(f"SELECT '{a} and {b}' AS sides, {_SAME.format(a=a, b=b)} AS equal, NOT {_SAME.format(a=a, b=b)} AS different" for a, b in (("nn", "nn"), ("nn", "off"), ("nn", "turned"), ("zeros", "few"), ("zeros", "nn")))
+)
+def equality_cases(spark, d):
+    """The operators == and != on equal and different matrices; absence is zero."""
+    m = tables.nation_nation(spark, d)
+    zeros = m.like(m.df.withColumn("val", F.when((F.col("row") + F.col("col")) % 2 == 0, 0).otherwise(F.col("val")).cast("long")))
+    i, j, v = m.nth(0)
+    sides = {"nn": m, "off": m.set(i, j, v + 1)[0], "turned": m.transpose(), "zeros": zeros, "few": zeros.canonical()}
+    pairs = (("nn", "nn"), ("nn", "off"), ("nn", "turned"), ("zeros", "few"), ("zeros", "nn"))
+    return spark.createDataFrame([(f"{a} and {b}", sides[a] == sides[b], sides[a] != sides[b]) for a, b in pairs], "sides string, equal boolean, different boolean")
+
+
 # forms, invariants and work
 
 
@@ -392,13 +456,40 @@ def inf_norm(spark, d):
     return checks.inf_norm_table(m.df, m.kind)
 
 
-@_query("SELECT count(*) > 0 AS good FROM embeddings")
+#: The gram of the vectors summed in two orders, and twice gamma_n times the norms of the operands.
+_BOUND = """WITH e AS (SELECT vec_id AS r, unnest(range(len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+    p AS (SELECT a.c AS r, b.c AS c, sum(a.v * b.v ORDER BY a.r) AS up, sum(a.v * b.v ORDER BY a.r DESC) AS down FROM e a JOIN e b ON a.r = b.r GROUP BY 1, 2),
+    u AS (SELECT count(DISTINCT r) * pow(2, -53) AS nu FROM e),
+    bound AS (SELECT 2 * (nu / (1 - nu)) * (SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM e GROUP BY c)) * (SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM e GROUP BY r)) AS bound FROM u),"""
+
+
+@_query(_BOUND + " x AS (SELECT r, sum(abs(up - down)) AS s FROM p GROUP BY r) SELECT max(s) <= any_value(bound) AS good FROM x, bound")
 def approx_ok(spark, d):
     m = tables.embedding(spark, d)
     lhs, rhs = m.transpose(), m
     return spark.createDataFrame([(lhs.multiply(rhs, ordered=True).is_good_product_of(lhs, rhs, n="inner"),)], "good boolean")
 
 
+@_query(
+    _BOUND
+    + """ k AS (SELECT 'as it is' AS what, r, c, up, down FROM p
+        UNION ALL SELECT 'one cell off', r, c, up, down + CASE WHEN r = 0 AND c = 0 THEN 1 ELSE 0 END FROM p
+        UNION ALL SELECT 'a NaN', r, c, up, CASE WHEN r = 1 AND c = 1 THEN 'NaN'::DOUBLE ELSE down END FROM p),
+    x AS (SELECT what, r, sum(abs(up - down)) AS s, bool_or(isnan(down)) AND NOT bool_or(isnan(up)) AS nan FROM k GROUP BY what, r)
+    SELECT what, NOT bool_or(nan) AND max(s) <= any_value(bound) AS good FROM x, bound GROUP BY what"""
+)
+def approx_cases(spark, d):
+    """The error bound tells a product from one with a cell off and from one with a NaN."""
+    m = tables.embedding(spark, d)
+    lhs, rhs = m.transpose(), m
+    got = lhs.multiply(rhs)
+    at = lambda i: (F.col("row") == i) & (F.col("col") == i)
+    off = got.like(got.df.withColumn("val", F.when(at(0), F.col("val") + 1).otherwise(F.col("val"))))
+    nan = got.like(got.df.withColumn("val", F.when(at(1), F.lit(float("nan"))).otherwise(F.col("val"))))
+    cases = (("as it is", got), ("one cell off", off), ("a NaN", nan))
+    return spark.createDataFrame([(what, x.is_good_product_of(lhs, rhs, n="inner")) for what, x in cases], "what string, good boolean")
+
+
 @_query(
     _with("sp")
     + """SELECT bool_and(r >= 0 AND r < (SELECT count(*) FROM supplier) AND c >= 0 AND c < (SELECT count(*) FROM part)) AS in_bounds,
@@ -409,18 +500,77 @@ def invariants(spark, d):
     return checks.entry_invariants(m.df, m.rows(), m.cols(), m.kind, canonical=True)
 
 
-@_query(_with("op") + "SELECT count(*) > 0 AS same_lengths, count(*) > 0 AS cols_in_bounds, count(*) > 0 AS row_order, count(*) > 0 AS rows_in_bounds, count(*) > 0 AS unique_rows FROM op")
+_LISTS = ", g AS (SELECT r, list(c ORDER BY c) AS cs, list(v ORDER BY c) AS vs FROM {m} GROUP BY r)"
+_GROUPED = """bool_and(len(cs) = len(vs)) AS same_lengths, bool_and(list_min(cs) >= 0 AND list_max(cs) < {cols}) AS cols_in_bounds,
+    bool_and(cs = list_sort(list_distinct(cs))) AS row_order, bool_and(r >= 0 AND r < {rows}) AS rows_in_bounds, count(*) = count(DISTINCT r) AS unique_rows"""
+_RUNS = ", n AS (SELECT x.r, count(m.c) AS n FROM {m}_rows x LEFT JOIN {m} m ON x.r = m.r GROUP BY 1), o AS (SELECT 0 AS i, 0 AS o UNION ALL SELECT r + 1, sum(n) OVER (ORDER BY r) FROM n)"
+_OFFSETS = """count(*) = (SELECT count(*) FROM {m}_rows) + 1 AS complete, arg_min(o, i) = 0 AS starts_at_zero,
+    bool_and(o >= before) AS non_decreasing, arg_max(o, i) = (SELECT count(*) FROM {m}) AS ends_at_nnz"""
+_STEPS = "(SELECT i, o, coalesce(lag(o) OVER (ORDER BY i), o) AS before FROM {o})"
+
+
+@_query(_with("op", "op_rows") + _LISTS.format(m="op") + "SELECT " + _GROUPED.format(rows="(SELECT count(*) FROM op_rows)", cols="(SELECT count(*) FROM part)") + " FROM g")
 def invariants_grouped(spark, d, below=FIRST_ORDERS):
     m = tables.order_part(spark, d, below)
     return checks.grouped_invariants(m.grouped(), m.rows(), m.cols(), ordered=True)
 
 
-@_query(_with("op") + "SELECT count(*) > 0 AS complete, count(*) > 0 AS starts_at_zero, count(*) > 0 AS non_decreasing, count(*) > 0 AS ends_at_nnz FROM op")
+@_query(
+    _with("sp")
+    + _LISTS.format(m="sp")
+    + " UNION ALL ".join(
+        f"SELECT '{what}' AS what, {_GROUPED.format(rows=f'(SELECT count(*) FROM supplier) {less}', cols=f'(SELECT count(*) FROM part) {less}')} FROM ({rows})"
+        for what, rows, less in (
+            ("as it is", "SELECT * FROM g", ""),
+            ("a row backwards", "SELECT r, CASE WHEN r = 3 THEN list_reverse(cs) ELSE cs END AS cs, vs FROM g", ""),
+            ("a value short", "SELECT r, cs, CASE WHEN r = 3 THEN vs[2:] ELSE vs END AS vs FROM g", ""),
+            ("a row twice", "SELECT * FROM g UNION ALL SELECT * FROM g WHERE r = 3", ""),
+            ("a smaller shape", "SELECT * FROM g", "- 1"),
+        )
+    )
+)
+def invariants_broken(spark, d):
+    """Each fault of a row-grouped form is told apart from the others."""
+    m = tables.supplier_part(spark, d)
+    g, third = m.grouped(), F.col("row") == 3
+    cases = (
+        ("as it is", g, 0),
+        ("a row backwards", g.withColumn("indices", F.when(third, F.reverse("indices")).otherwise(F.col("indices"))), 0),
+        ("a value short", g.withColumn("vals", F.when(third, F.slice("vals", F.lit(2), F.size("vals"))).otherwise(F.col("vals"))), 0),
+        ("a row twice", g.union(g.where(third)), 0),
+        ("a smaller shape", g, 1),
+    )
+    found = [checks.grouped_invariants(rows, m.rows() - less, m.cols() - less, ordered=True).select(F.lit(what).alias("what"), "*") for what, rows, less in cases]
+    return reduce(DataFrame.union, found)
+
+
+@_query(_with("op", "op_rows") + _RUNS.format(m="op") + "SELECT " + _OFFSETS.format(m="op") + " FROM " + _STEPS.format(o="o"))
 def invariants_offsets(spark, d, below=FIRST_ORDERS):
     m = tables.order_part(spark, d, below)
     return checks.offset_invariants(m.offsets(), m.rows(), m.nnz())
 
 
+@_query(
+    _with("sp", "sp_rows")
+    + _RUNS.format(m="sp")
+    + " UNION ALL ".join(
+        f"SELECT '{what}' AS what, {_OFFSETS.format(m='sp')} FROM {_STEPS.format(o=f'({rows})')}"
+        for what, rows in (
+            ("as it is", "SELECT * FROM o"),
+            ("the first left out", "SELECT * FROM o WHERE i > 0"),
+            ("one too large", "SELECT i, o + CASE WHEN i = 4 THEN 1000000 ELSE 0 END AS o FROM o"),
+            ("the last too large", "SELECT i, o + CASE WHEN i = (SELECT count(*) FROM supplier) THEN 1 ELSE 0 END AS o FROM o"),
+        )
+    )
+)
+def invariants_offsets_broken(spark, d):
+    m = tables.supplier_part(spark, d)
+    o, nnz = m.offsets(), m.nnz()
+    more = lambda at, by: o.withColumn("offset", F.col("offset") + F.when(F.col("i") == at, by).otherwise(0))
+    cases = (("as it is", o), ("the first left out", o.where("i > 0")), ("one too large", more(4, 1_000_000)), ("the last too large", more(m.rows(), 1)))
+    return reduce(DataFrame.union, [checks.offset_invariants(x, m.rows(), nnz).select(F.lit(what).alias("what"), "*") for what, x in cases])
+
+
 # text
 
 
@@ -455,6 +605,124 @@ def parquet_roundtrip(spark, d):
     return cells(storage.load(spark, path).df)
 
 
+def _file(spark, lines: DataFrame, header: str, size: str) -> str:
+    """A Matrix Market file of ``lines(line, o...)``, in the order of the other columns; its path."""
+    path = shared_path(spark, "matrix-market")
+    order = [c for c in lines.columns if c != "line"]
+    head = spark.range(2).select(F.when(F.col("id") == 0, f"%%MatrixMarket matrix coordinate {header}").otherwise(size).alias("line"), *((F.col("id") - 2).alias(c) for c in order))
+    head.unionByName(lines.select("line", *(F.col(c).cast("long") for c in order))).orderBy(*order).select("line").write.text(path)
+    return path
+
+
+def _line(*parts) -> Column:
+    """An entry line of SQL expressions or columns."""
+    return F.concat_ws(" ", *((F.expr(p) if isinstance(p, str) else p).cast("string") for p in parts)).alias("line")
+
+
+_I, _J, _V = "row + 1", "col + 1", "val"
+
+
+@_query(_with("sp") + "SELECT r AS row_id, c AS col_id, v + CASE WHEN (r + c) % 3 = 0 THEN 1 ELSE 0 END AS val FROM sp")
+def mm_repeats(spark, d):
+    """Comments after the header, a size line that tells too much, repeated cells of which the last counts, zeros that do not."""
+    m = tables.supplier_part(spark, d)
+    odd = (F.col("row") + F.col("col")) % 3 == 0
+    first = m.df.select(_line(_I, _J, _V), F.lit(0).alias("o"), F.col("row").alias("p"), F.col("col").alias("q"))
+    again = m.df.where(odd).select(_line(_I, _J, "val + 1"), F.lit(1).alias("o"), F.col("row").alias("p"), F.col("col").alias("q"))
+    zeros = m.df.where(F.col("col") % 5 == 0).select(_line(_I, _J, "0"), F.lit(2).alias("o"), F.col("row").alias("p"), F.col("col").alias("q"))
+    comments = spark.range(3).select(F.lit("% a comment").alias("line"), F.lit(-2).alias("o"), F.lit(-2).alias("p"), (F.col("id") + 5).alias("q"))
+    size = f"{m.rows()} {m.cols()} {m.nnz() + 7}"
+    return cells(matrix_market.read(spark, _file(spark, first.union(again).union(zeros).union(comments), "integer general", size)).df)
+
+
+@_query(_with("nn") + "SELECT r AS row_id, c AS col_id, v AS val FROM nn WHERE r >= c UNION ALL SELECT c, r, v FROM nn WHERE r > c")
+def mm_symmetric(spark, d):
+    m = tables.nation_nation(spark, d)
+    lines = m.df.where("row >= col").select(_line(_I, _J, _V), F.col("row").alias("o"), F.col("col").alias("p"))
+    return cells(matrix_market.read(spark, _file(spark, lines, "integer symmetric", f"{m.rows()} {m.cols()} 1")).df)
+
+
+_REAL = "CASE r % 4 WHEN 0 THEN v || '.5' WHEN 1 THEN v || 'e-2' WHEN 2 THEN '-' || v || '.25E+1' ELSE '.' || v END"
+
+
+@_query(_with("nn") + f"SELECT r AS row_id, c AS col_id, round(CAST({_REAL} AS DOUBLE), 6) AS val FROM nn")
+def mm_real(spark, d):
+    """Points without digits before them, exponents of either sign and case."""
+    m = tables.nation_nation(spark, d)
+    v, r = F.col("val").cast("string"), F.col("row") % 4
+    text = F.when(r == 0, F.concat(v, F.lit(".5"))).when(r == 1, F.concat(v, F.lit("e-2"))).when(r == 2, F.concat(F.lit("-"), v, F.lit(".25E+1"))).otherwise(F.concat(F.lit("."), v))
+    lines = m.df.select(_line(_I, _J, text), F.col("row").alias("o"), F.col("col").alias("p"))
+    return cells(matrix_market.read(spark, _file(spark, lines, "real general", f"{m.rows()} {m.cols()} {m.nnz()}")).df.withColumn("val", F.round("val", 6)))
+
+
+_COMPLEX = _with("nn") + ", z AS (SELECT r, c, v % 5 AS re, v % 3 AS im FROM nn WHERE r >= c AND (v % 5 <> 0 OR v % 3 <> 0)) SELECT r AS row_id, c AS col_id, re, im FROM z"
+
+
+def _complex_file(spark, d) -> str:
+    m = tables.nation_nation(spark, d)
+    lines = m.df.where("row >= col").select(_line(_I, _J, "val % 5", "val % 3"), F.col("row").alias("o"), F.col("col").alias("p"))
+    return _file(spark, lines, "complex symmetric", f"{m.rows()} {m.cols()} {m.nnz()}")
+
+
+def _complex_cells(m: SparseMatrix) -> DataFrame:
+    return m.df.select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), F.col("val.re").cast("long").alias("re"), F.col("val.im").cast("long").alias("im"))
+
+
+@_query(_COMPLEX + " UNION ALL SELECT c, r, re, im FROM z WHERE r > c")
+def mm_complex_symmetric(spark, d):
+    return _complex_cells(matrix_market.read(spark, _complex_file(spark, d)))
+
+
+@_query(_COMPLEX)
+def mm_complex_compat(spark, d):
+    """With ``compat`` a complex file is never mirrored."""
+    return _complex_cells(matrix_market.read(spark, _complex_file(spark, d), compat=True))
+
+
+@_query(_with("nn") + "SELECT r AS row_id, c AS col_id, v AS val FROM nn WHERE r < 11 OR (r = 11 AND c < 7)")
+def mm_malformed_compat(spark, d):
+    """With ``compat`` reading stops at the first line that is no entry."""
+    m = tables.nation_nation(spark, d)
+    lines = m.df.where("row <> 11 or col <> 7").select(_line(_I, _J, _V), F.col("row").alias("o"), F.col("col").alias("p"))
+    lines = lines.union(spark.range(1).select(F.lit("12 eight 5"), F.lit(11), F.lit(7)))
+    return cells(matrix_market.read(spark, _file(spark, lines, "integer general", f"{m.rows()} {m.cols()} {m.nnz()}"), compat=True).df)
+
+
+@_query(
+    _with("nn")
+    + """, s AS (SELECT min(r) AS low, max(r) AS high, count(*) AS n, count(*) FILTER (WHERE v % 2 = 1) AS odd FROM nn)
+    SELECT 'as it is' AS what, low + 1 < 1 OR high + 1 > (SELECT count(*) FROM nation) AS raised FROM s
+    UNION ALL SELECT 'from zero', low < 1 FROM s
+    UNION ALL SELECT 'a shape too small', high + 1 > (SELECT count(*) FROM nation) - 1 FROM s
+    UNION ALL SELECT 'a count too large', n <> n + 1 FROM s
+    UNION ALL SELECT 'halves', odd > 0 FROM s
+    UNION ALL SELECT 'no dimension', (SELECT count(*) FROM nation) * 0 = 0 FROM s"""
+)
+def mm_errors(spark, d):
+    """Which of the files are refused: indexes outside the shape, a wrong count where it is looked at, values of another field."""
+    m = tables.nation_nation(spark, d)
+    n, nnz = m.rows(), m.nnz()
+
+    def raised(i: str, value: str, size: str, strict: bool = False) -> bool:
+        lines = m.df.select(_line(i, _J, value), F.col("row").alias("o"), F.col("col").alias("p"))
+        try:
+            matrix_market.read(spark, _file(spark, lines, "integer general", size), strict=strict)
+        except MatrixError:
+            return True
+        return False
+
+    half = "CASE WHEN val % 2 = 1 THEN CAST(val / 2 AS string) ELSE CAST(val div 2 AS string) END"
+    cases = {
+        "as it is": raised(_I, _V, f"{n} {n} {nnz}", strict=True),
+        "from zero": raised("row", _V, f"{n} {n} {nnz}"),
+        "a shape too small": raised(_I, _V, f"{n - 1} {n} {nnz}"),
+        "a count too large": raised(_I, _V, f"{n} {n} {nnz + 1}", strict=True),
+        "halves": raised(_I, half, f"{n} {n} {nnz}"),
+        "no dimension": raised(_I, _V, f"0 {n} {nnz}"),
+    }
+    return spark.createDataFrame(list(cases.items()), "what string, raised boolean")
+
+
 def _all_orders() -> None:
     """NAME_all_orders beside each query NAME on the first orders: the same on the whole matrix, and its SQL without the bound."""
     short = {n: MATRICES[n] for n in ("op", "op_rows")}
@@ -469,11 +737,24 @@ def _all_orders() -> None:
 _all_orders()
 
 
-@_query()
-def scientific_dump(spark, d):
-    """One string for the nation matrix; SQL has no shortest scientific notation."""
+_E = "left(v::VARCHAR, 1) || CASE WHEN len(rtrim(v::VARCHAR, '0')) > 1 THEN '.' || substr(rtrim(v::VARCHAR, '0'), 2) ELSE '' END || 'e' || (len(v::VARCHAR) - 1)"
+
+
+def _nation_doubles(spark, d) -> SparseMatrix:
     m = tables.nation_nation(spark, d)
-    return checks.scientific_dump(SparseMatrix(m.df.withColumn("val", F.col("val").cast("double")), m.rows(), m.cols(), DOUBLE).df)
+    return SparseMatrix(m.df.withColumn("val", F.col("val").cast("double")), m.rows(), m.cols(), DOUBLE)
+
+
+@_query(_with("nn") + f"SELECT '{{' || string_agg('(' || r || ', ' || c || ', ' || {_E} || ')', ', ' ORDER BY r, c) || '}}' AS dump FROM nn")
+def scientific_dump(spark, d):
+    """One string for the nation matrix, whose values are whole numbers above zero."""
+    return checks.scientific_dump(_nation_doubles(spark, d).df)
+
+
+@_query(_with("sp") + f"SELECT r AS row_id, string_agg('(' || r || ', ' || c || ', ' || {_E} || ')', ', ' ORDER BY c) AS line FROM sp GROUP BY r")
+def scientific_lines(spark, d):
+    m = tables.supplier_part(spark, d)
+    return checks.dump_lines(m.df.withColumn("val", F.col("val").cast("double"))).select(F.col("row").alias("row_id"), "line")
 
 
 # scalars, on account balances (of either sign) and small whole numbers with zero among them
@@ -649,3 +930,30 @@ _scalars(
 def scalar_decode(spark, d):
     rows = _numbers(spark, d).select("id", S.scientific("y").alias("shown"), S.integer_decode("y").alias("x"))
     return rows.select("id", "shown", F.col("x.mantissa").cast("long").alias("mantissa"), F.col("x.exponent").alias("exponent"), F.col("x.sign").alias("sign"))
+
+
+_scalars(
+    "scalar_limits",
+    lambda: {
+        "unsigned": S.to_u64(F.col("x") * 1000).cast("decimal(20,0)").cast("string"),
+        "unsigned_of_small": S.to_u64("y").cast("decimal(20,0)").cast("string"),
+        "below_infinity": F.col("x") < S.constant("infinity"),
+        "above_least": F.col("y") > S.constant("min_value"),
+        "is_like_nan": F.coalesce(S.compare("x", S.constant("nan")) == 0, F.lit(False)),
+        "step": _six((F.lit(1.0) + S.constant("epsilon") - 1) * 2.0**52 * F.col("y")),
+        "tiny": S.classify(S.constant("min_positive_value") / 2 * F.signum(F.col("y"))),
+        "sign_of_negative_zero": S.is_sign_negative(S.constant("neg_zero") * F.abs("y")),
+        "highest": _six(S.minimum(S.constant("max_value"), "x")),
+    },
+    {
+        "unsigned": "CASE WHEN trunc(x * 1000) > -1 THEN CAST(CAST(trunc(x * 1000) AS BIGINT) AS VARCHAR) END",
+        "unsigned_of_small": "CASE WHEN y >= 0 THEN CAST(CAST(y AS BIGINT) AS VARCHAR) END",
+        "below_infinity": "x < 'inf'::DOUBLE",
+        "above_least": "y > -1.7976931348623157e308",
+        "is_like_nan": "FALSE",
+        "step": "round(y, 6) + 0.0",
+        "tiny": "CASE WHEN y = 0 THEN 'zero' ELSE 'subnormal' END",
+        "sign_of_negative_zero": "abs(y) >= 0",
+        "highest": "round(x, 6) + 0.0",
+    },
+)
