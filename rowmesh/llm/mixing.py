@@ -26,23 +26,33 @@ DIGITS = (3, 6)
 MOST_SOURCES = 100_000
 
 
+def ranked(totals: DataFrame) -> DataFrame:
+    """``totals`` with rank, the place of each source by code points from 0, null last. Ranges of sources are ranked apart
+    and shifted by the sizes of those before, so only one number for each range meets in a single task."""
+    ranges = common.stored(totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix-sources")
+    shifts = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    shifts = shifts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return ranges.withColumn("within", within).join(shifts, "part").withColumn("rank", F.col("shift") + F.col("within") - 1).drop("part", "shift", "within")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
     """(source, source_size, target) from ``sizes(source, size)``, one row for each source.
 
-    The windows have no partitions: they are over sources, not documents."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    The water level starts at the asked total over all weights. Sources that it would take beyond their cap are clamped,
+    and what they leave is shared anew among the others by weight, until none is above; each round is one aggregate."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    rows = totals.withColumn("weight", weight).withColumn("cap", max_epochs * F.col("source_size"))
-    rows = rows.withColumn("full_at", F.col("cap") / F.col("weight"))
-    by_level = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    free = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("asked", F.sum("source_size").over(everything) * F.lit(float(share))).withColumn("level", (F.col("asked") - before) / free)
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"]
-    target = F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))
-    return rows.select("source", "source_size", target.alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = common.stored(ranked(totals).select("source", "source_size", weight.alias("weight"), (max_epochs * F.col("source_size")).alias("cap")), "mix-weights")
+    asked, level, clamped = (rows.agg(F.sum("source_size")).first()[0] or 0) * float(share), 0.0, -1
+    while True:
+        above = F.lit(False) if clamped < 0 else F.col("cap") / F.col("weight") < level
+        got = rows.agg(F.count_if(above).alias("n"), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0)).alias("caps"), F.sum(F.when(~above, F.col("weight"))).alias("free")).first()
+        if got["n"] == clamped or not got["free"]:
+            level = level if got["free"] else float("inf")
+            break
+        clamped, level = got["n"], (asked - got["caps"]) / got["free"]
+    return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def plan(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
@@ -70,28 +80,39 @@ def plan(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share:
     return goal.join(cuts, goal.source.eqNullSafe(cuts.s), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("cut_size", F.lit(-1)).alias("cut_size"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED) -> DataFrame:
-    """Each row of ``docs`` as (row, size, source_size, target, copies); row is a struct of all its columns.
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    share: float = 1.0,
+    seed: str = SEED,
+    carry_text: bool = True,
+) -> DataFrame:
+    """Each row of ``docs`` as (row, size, source_size, target, copies); row is a struct of all its columns, or of all but
+    the text without ``carry_text``; then texts are read once and never stored.
 
     Sources in order of code points, null last, take ``weights`` in turn. Sizes count words; a null text has none.
     Rows of one source that share id and size stand or fall together, so repeated rows and reruns agree. A source
     without words has the target 0. Taken words come within half a document (or half a group of such repeated rows) of
     the target. An empty table gives an empty result."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.select(F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key.alias("key"))
-    sizes = common.stored(sized, "mix-sizes")
-    chosen = common.stored(plan(sizes, weights, max_epochs, share), "mix-plan").withColumnRenamed("source", "s")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key")
+    row = F.struct(*([docs[c] for c in docs.columns if carry_text or c != text_col] or [F.lit(0).alias("none")])).alias("row")
+    sized = (F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key)
+    sizes = common.stored(docs.select(*([] if carry_text else [row]), *sized), "mix-sizes")
+    chosen = common.stored(plan(sizes.select("source", "size", "key"), weights, max_epochs, share), "mix-plan").withColumnRenamed("source", "s")
     if chosen.count() <= MOST_SOURCES:
         chosen = F.broadcast(chosen)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key.alias("key"))
-    rows = rows.join(chosen, F.col("source").eqNullSafe(F.col("s")))
+    rows = (docs.select(row, *sized) if carry_text else sizes).join(chosen, F.col("source").eqNullSafe(F.col("s")))
     more = (F.col("key") < F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("size") <= F.col("cut_size")))
     return rows.select("row", "size", "source_size", "target", (F.col("whole") + more.cast("int")).alias("copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: what the mix takes of every document."""
-    found = mix(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    found = mix(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry_text=False)
     return found.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
