@@ -16,6 +16,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 import pyarrow.fs
@@ -135,7 +136,8 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
     A response's payload is digested again and must fit its record. ``payloads=False`` leaves the payload out."""
     kind = index.select("id").schema[0].dataType.simpleString()
     wanted = index.select("id", "url", "file", "offset", "length", "refers_to", F.floor(F.col("offset") / TASK_BYTES).alias("piece"))
-    wanted = wanted.repartition("file", "piece").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0  # the rows are few bytes, so their number alone would make too few tasks
+    wanted = wanted.repartition(max(1, ceil(total / TASK_BYTES)), "file", "piece").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
