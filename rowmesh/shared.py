@@ -3,15 +3,36 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+#: Folders handed out so far, for those who can tell when they are done with them.
+_made: list[str] = []
+
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``. Only where that is missing (local tests) a temporary one is taken."""
+    """A fresh folder below ``spark.checkpoint.dir``. Where that is unset, a temporary one is taken on a local master, whose
+    tasks run in this very process; on a cluster nobody else would see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "rowmesh-shared")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def mark() -> int:
+    """A point in time for ``discard``."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the folders handed out since a ``mark``, but for the last ``keep``; nothing may read them any more."""
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, gone):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rowmesh import queries
+from rowmesh import queries, shared
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,24 @@ def test_imports_without_the_corpus_folders(tmp_path):
         assert "spgemm_supplier_gram" in e.queries() and not [n for n in e.queries() if n.startswith("op1") or n == "pipeline"]
     """)
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_shared_folders(spark, tmp_path, monkeypatch):
+    start = shared.mark()
+    paths = [shared.shared_path(spark, "x") for _ in range(3)]
+    for p in paths:
+        spark.range(1).write.parquet(p)
+    shared.discard(spark, start, keep=1)
+    assert [Path(p.removeprefix("file:")).exists() for p in paths] == [False, False, True] and shared.mark() == start + 1
+    assert all(p.startswith(spark.conf.get("spark.checkpoint.dir")) for p in paths)
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        Session.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared.shared_path(Session, "x")
+    Session.sparkContext.master = "local[8]"
+    assert "rowmesh-shared" in shared.shared_path(Session, "x")
