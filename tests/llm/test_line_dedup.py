@@ -67,7 +67,7 @@ def test_the_anti_join_decides(spark, rows, monkeypatch):
 
 def test_joins_with_runs_have_no_exchange(spark):
     batches = spark.range(400).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"), F.lit(1).cast("long").alias("n"), F.col("id").alias("last"), (F.col("id") % 3).alias("batch"))
-    batches = common.bucketed(batches, ["a", "b"], 5, "batches", partition_by="batch")
+    batches = common.bucketed(batches, ["a", "b"], 5, "batches", [], partition_by="batch")
     runs = line_dedup.LineRuns(spark, fanout=3, buckets=5)
     for i in range(2):
         runs.add(batches.where(F.col("batch") == i))
