@@ -23,8 +23,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Labels of the hosts whose pages make up the listing of the registered query.
+#: Labels of hosts and a pattern of titles whose pages make up the listing of the registered query.
 LISTED_LABELS = ("adult-x", "casino-win", "free-bets", "spam-farm")
+JUNK_TITLE = r"<title>[^<]*(%%%|###|\*\*\*|\$\$\$)"
 #: Query parameters that do not change what a URL shows.
 TRACKING = "^(utm_|ref=|fbclid=|gclid=)"
 
@@ -51,9 +52,10 @@ def canonical(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest fitting rule as a string, and its verdict; null where none fits."""
+    """The longest fitting rule as a string, and its verdict; null where none fits. Of equally long ones that of the longer
+    host counts, then the last."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for action, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
+    for action, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]))):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(action)).otherwise(verdict)
     return rule, verdict
@@ -75,7 +77,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules
 
     ``listed`` has a column ``url`` of canonical URLs; nulls, empty ones and repeats in it do nothing. A fitting rule
     decides; else a page is blocked if its canonical URL is listed and allowed otherwise. Null URLs and those without
-    ``://`` have an empty host and path, fit no rule and are allowed. Empty tables give empty results."""
+    ``://`` have an empty host and path, fit no rule and are allowed. URLs of any length are judged whole, and repeated
+    rows each. Empty tables give empty results."""
     listed = common.stored(listed.where("url is not null and url <> ''").select("url").distinct(), "listed-urls")
     blocks = max(1, ceil(listed.count() * bits_per_url / (64 * WORDS)))
     bloom = bloom_blocks(listed, blocks)
@@ -99,19 +102,20 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules
 
 
 def listing(pages: DataFrame) -> DataFrame:
-    """Canonical URLs of all pages on hosts that carry a listed label."""
-    return pages.where(F.arrays_overlap(F.split(host_of(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_LABELS)))).select(canonical(F.col("url")).alias("url"))
+    """Canonical URLs of all pages on hosts that carry a listed label, and of those with a junk title on any host."""
+    listed = F.arrays_overlap(F.split(host_of(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_LABELS)))
+    return pages.where(listed | F.coalesce(F.col("html").rlike(JUNK_TITLE), F.lit(False))).select(canonical(F.col("url")).alias("url"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: the verdict on every page."""
-    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, listing(pages)).select("row.page_id", "host", "path", "rule", "verdict")
+    pages = common.table(spark, sf_dir, "pages")
+    return filter_urls(pages.select("page_id", "url"), listing(pages)).select("row.page_id", "host", "path", "rule", "verdict")
 
 
 SQL = r"""
 WITH p AS (
-  SELECT page_id, url,
+  SELECT page_id, url, coalesce(regexp_matches(html, '<title>[^<]*(%%%|###|\*\*\*|\$\$\$)'), FALSE) AS junk,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
     coalesce(regexp_extract(url, '://[^/?#]*[^?#]*\?([^#]*)', 1), '') AS query
@@ -124,7 +128,7 @@ u AS (
       || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical FROM c),
 listed AS (
   SELECT DISTINCT canonical FROM u
-  WHERE list_has_any(string_split(host, '.'), ['adult-x', 'casino-win', 'free-bets', 'spam-farm']) AND canonical <> ''),
+  WHERE (junk OR list_has_any(string_split(host, '.'), ['adult-x', 'casino-win', 'free-bets', 'spam-farm'])) AND canonical <> ''),
 r AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
