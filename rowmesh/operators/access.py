@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import Kind
-from ..functions.scans import prefix_sums
+from ..functions.scans import BLOCK, prefix_sums
 
 
 def element(a: DataFrame, i: int, j: int) -> DataFrame:
@@ -39,11 +39,15 @@ def offsets(a: DataFrame, rows: int) -> DataFrame:
 def ranked(a: DataFrame) -> DataFrame:
     """``a`` with pos, the place of each entry in (row, col) order from 0.
 
-    Rows are ranked within themselves and shifted by the sizes of the rows before, so there is no window over all."""
-    counts = a.groupBy("row").agg(F.count("*").alias("n"))
-    shifted = prefix_sums(counts, "row", F.col("n"), "upto").select("row", (F.col("upto") - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("row").orderBy("col"))
-    return a.select("row", "col", "val", within.alias("within")).join(shifted, "row").select("row", "col", "val", (F.col("before") + F.col("within") - 1).alias("pos"))
+    Entries are ranked within ``BLOCK`` neighbouring columns of a row, and shifted by the sizes of the row's blocks and of
+    the rows before. So there is no window over all, nor over a row, however full it is."""
+    a = a.select("row", "col", "val", F.floor(F.col("col") / BLOCK).alias("block"))
+    blocks = a.groupBy("row", "block").agg(F.count("*").alias("n"))
+    rows = prefix_sums(blocks.groupBy("row").agg(F.sum("n").alias("n")), "row", F.col("n"), "upto").select("row", (F.col("upto") - F.col("n")).alias("before"))
+    in_row = F.coalesce(F.sum("n").over(Window.partitionBy("row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("in_row", in_row).join(rows, "row").select("row", "block", (F.col("before") + F.col("in_row")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("row", "block").orderBy("col"))
+    return a.withColumn("within", within).join(starts, ["row", "block"]).select("row", "col", "val", (F.col("start") + F.col("within") - 1).alias("pos"))
 
 
 def compare_positions(row, col, other_row, other_col) -> Column:
@@ -54,17 +58,10 @@ def compare_positions(row, col, other_row, other_col) -> Column:
 
 
 def steps(a: DataFrame) -> DataFrame:
-    """``a`` with next_row and next_col, the position one step on in (row, col) order; null at the end.
-
-    Within a row that is a window; a row's last entry goes on to the first of the next row that has any, found over one
-    line for each row."""
-    within = Window.partitionBy("row").orderBy("col")
-    heads = ranked(a.groupBy("row").agg(F.min("col").alias("val")).select("row", F.lit(0).cast("long").alias("col"), "val"))
-    following = heads.select((F.col("pos") - 1).alias("pos"), F.col("row").alias("head_row"), F.col("val").alias("head_col"))
-    rows = heads.select("row", "pos").join(following, "pos", "left").select("row", "head_row", "head_col")
-    found = a.select("row", "col", "val", F.lead("col").over(within).alias("lead")).join(rows, "row")
-    inside = F.col("lead").isNotNull()
-    return found.select("row", "col", "val", F.when(inside, F.col("row")).otherwise(F.col("head_row")).alias("next_row"), F.when(inside, F.col("lead")).otherwise(F.col("head_col")).alias("next_col"))
+    """``a`` with next_row and next_col, the position one step on in (row, col) order; null at the end."""
+    places = ranked(a)
+    following = places.select((F.col("pos") - 1).alias("pos"), F.col("row").alias("next_row"), F.col("col").alias("next_col"))
+    return places.join(following, "pos", "left").select("row", "col", "val", "next_row", "next_col")
 
 
 def grouped(a: DataFrame, ordered: bool = True) -> DataFrame:

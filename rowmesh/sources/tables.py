@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import COMPLEX, DOUBLE, WRAP8, WRAP64
@@ -47,10 +47,11 @@ def nation_nation(spark: SparkSession, sf_dir: str) -> SparseMatrix:
 def user_event(spark: SparkSession, sf_dir: str) -> SparseMatrix:
     """Events by user and type, types in alphabetical order."""
     events = table(spark, sf_dir, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
+    place = F.row_number().over(Window.orderBy("event_type")) - 1  # one row for each type
+    types = events.groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", place.cast("long").alias("col"))
     users = events.agg(F.max("user_id")).first()[0] + 1
-    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")) - 1
-    return SparseMatrix(events.groupBy(F.col("user_id").alias("row"), place.cast("long").alias("col")).agg(F.count("*").alias("val")), users, len(kinds))
+    counts = events.groupBy(F.col("user_id").alias("row"), "event_type").agg(F.count("*").alias("val"))
+    return SparseMatrix(counts.join(types, "event_type").select("row", "col", "val"), users, types.count())
 
 
 def embedding(spark: SparkSession, sf_dir: str) -> SparseMatrix:
