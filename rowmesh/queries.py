@@ -225,7 +225,7 @@ def add_empty(spark, d):
     return cells((nothing + m + nothing).df)
 
 
-@_query(_with("nn") + "SELECT CAST(count(*) AS BIGINT) - (SELECT count(*) FROM nn) AS nnz, (SELECT count(*) FROM nation) AS n_rows, (SELECT count(*) FROM nation) AS n_cols FROM nn")
+@_query(_with("nn") + "SELECT count(*) AS nnz, (SELECT count(*) FROM nation) AS n_rows, (SELECT count(*) FROM nation) AS n_cols FROM nn a JOIN (SELECT * FROM nn WHERE v IS NULL) b ON a.c = b.r")
 def mul_empty(spark, d):
     """No entry is left of a product with an empty square matrix."""
     m = tables.nation_nation(spark, d)
@@ -686,6 +686,24 @@ def mm_malformed_compat(spark, d):
     return cells(matrix_market.read(spark, _file(spark, lines, "integer general", f"{m.rows()} {m.cols()} {m.nnz()}"), compat=True).df)
 
 
+_FLAGS = ("A", "N", "R")
+
+
+@_query(
+    f"""WITH nn AS (SELECT l_returnflag AS flag, CAST(c_nationkey AS BIGINT) AS r, CAST(s_nationkey AS BIGINT) AS c, {_SUM} AS v FROM lineitem
+        JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)
+    SELECT a.r AS row_id, b.c AS col_id, CAST(sum(a.v * b.v) AS BIGINT) AS val FROM nn a JOIN nn b ON a.flag = b.flag AND a.c = b.r GROUP BY a.flag, 1, 2"""
+)
+def mm_folder_squares(spark, d):
+    """The squares of all files of a folder, which has one for each return flag."""
+    folder = shared_path(spark, "matrix-market")
+    for flag in _FLAGS:
+        m = tables.nation_nation(spark, d, flag)
+        head = spark.createDataFrame([(-2, -1, "%%MatrixMarket matrix coordinate integer general"), (-1, -1, f"{m.rows()} {m.cols()} {m.nnz()}")], "row bigint, col bigint, line string")
+        head.union(matrix_market.entry_lines(m)).coalesce(1).sortWithinPartitions("row", "col").select("line").write.mode("append").text(folder)
+    return reduce(DataFrame.union, [cells(m.squared().df) for _, m in matrix_market.read_folder(spark, folder)])
+
+
 @_query(
     _with("nn")
     + """, s AS (SELECT min(r) AS low, max(r) AS high, count(*) AS n, count(*) FILTER (WHERE v % 2 = 1) AS odd FROM nn)

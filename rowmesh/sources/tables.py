@@ -34,9 +34,10 @@ def order_part(spark: SparkSession, sf_dir: str) -> SparseMatrix:
     return SparseMatrix(_quantities(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"), table(spark, sf_dir, "orders").count(), table(spark, sf_dir, "part").count())
 
 
-def nation_nation(spark: SparkSession, sf_dir: str) -> SparseMatrix:
-    """Quantity by nation of the customer and of the supplier."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+def nation_nation(spark: SparkSession, sf_dir: str, flag: str | None = None) -> SparseMatrix:
+    """Quantity by nation of the customer and of the supplier, of one return flag or of all."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = (lines.where(F.col("l_returnflag") == flag) if flag else lines).select("l_orderkey", "l_suppkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
