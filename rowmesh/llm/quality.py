@@ -39,13 +39,14 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = docs.withColumn("q_words", words_of(F.col(text_col))).withColumn("q_lines", lines)
     df = df.withColumn("n_words", F.size("q_words").cast("long")).withColumn("q_hash", F.transform("q_words", lambda x: F.xxhash64(x)))
     df = df.withColumn("q_bits", F.length(F.bin("n_words")))
-    packed = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("n_words") - 3),
-        lambda i: F.call_function("shiftleft", F.xxhash64(F.get("q_hash", i.cast("int")), F.get("q_hash", i.cast("int") + 1), F.get("q_hash", i.cast("int") + 2)), F.col("q_bits")).bitwiseOR(i),
-    )
+    after = lambda k: F.slice("q_hash", F.lit(k + 1), F.size("q_hash"))
+    windows = F.zip_with(F.zip_with("q_hash", after(1), lambda x, y: F.xxhash64(x, y)), after(2), lambda x, y: F.xxhash64(x, y))
+    windows = F.slice(windows, F.lit(1), F.size("q_hash") - 2)  # beyond there is no third word
+    packed = F.transform(windows, lambda x, i: F.call_function("shiftleft", x, F.col("q_bits")).bitwiseOR(i.cast("long")))
     df = df.withColumn("q_packed", F.when(F.col("n_words") >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
-    head = lambda x: F.call_function("shiftrightunsigned", x, F.col("q_bits"))
-    again = F.filter("q_packed", lambda x, j: (head(x) == head(F.get("q_packed", j - 1))) | (head(x) == head(F.get("q_packed", j + 1))))
+    equal = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("q_bits")) == 0
+    again = F.zip_with("q_packed", F.slice("q_packed", F.lit(2), F.size("q_packed")), lambda x, y: F.when(equal(x, y), F.array(x, y)))
+    again = F.array_distinct(F.flatten(F.array_compact(again)))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q_bits")) - 1
     word = lambda i, j: F.get("q_words", i.cast("int") + j)
     df = df.withColumn("q_same", F.sort_array(F.transform(F.transform(again, lambda x: x.bitwiseAND(mask)), lambda i: F.struct(word(i, 0).alias("a"), word(i, 1).alias("b"), word(i, 2).alias("c"), i.alias("i")))))
