@@ -296,8 +296,13 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
             F.array_join(F.transform("places", lambda p: F.concat(F.when(p["word"] == 0, F.get(gaps, p["at"])).otherwise(" "), p["new"])), ""), F.element_at(gaps, -1)
         ),
     )
-    changed = dirty.join(placed, ["row_a", "row_b"]).select(
-        "row", new.alias("text"), (F.element_at("places", -1)["at"] + 1).cast("long").alias("n_entities"), F.array_sort(F.array_distinct("places.kind")).alias("kinds")
+    # a name that goes on in digits, say, is no place; then the text stays
+    some = lambda value, otherwise: F.when(F.col("places").isNull(), otherwise).otherwise(value)
+    changed = dirty.join(placed, ["row_a", "row_b"], "left").select(
+        "row",
+        some(new, text).alias("text"),
+        some(F.element_at("places", -1)["at"] + 1, F.lit(0)).cast("long").alias("n_entities"),
+        some(F.array_sort(F.array_distinct("places.kind")), none).alias("kinds"),
     )
     return clean.union(changed)
 

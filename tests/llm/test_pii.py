@@ -111,6 +111,12 @@ def test_people_stay_one_person(spark):
     assert got[2].text == texts[2] and got[3].text == "Mr " + f"{smith} " * 30_000 and got[3].n_entities == 1
 
 
+def test_a_mention_that_is_no_place_loses_no_row(spark):
+    texts = ["Mr Smith_1 and Mrs Jones2 are keys", "Mr Smith@x.de", "Mr Brown, Mr Brown1"]
+    got = {r["row"]["doc_id"]: (r["text"], r["n_entities"], r["kinds"]) for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got[0] == (texts[0], 0, []) and got[1][1:] == (1, ["email"]) and got[2][1:] == (1, ["person"]) and got[2][0].endswith(", Mr Brown1")
+
+
 def test_further_layouts(spark):
     long = ".".join(["label" * 4] * 127)
     texts = [
