@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import discard, mark, shared_path
+from ..shared import Scope, shared_path, shared_table
 
 #: The six ASCII blanks, as a regular-expression class and as characters.
 BLANK = r"[\x20\x09-\x0D]"
@@ -34,18 +34,17 @@ def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: list[str], buckets: int, tag: str, tables: list[str], partition_by: str | None = None) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], buckets: int, tag: str, partition_by: str | None = None) -> DataFrame:
     """``df`` as a table in shared storage, bucketed and sorted by ``keys``: joins on them with another table of as many
     buckets have no exchange. A frame that is dealt out so already stays as it is; else it is dealt out first, so that
-    each bucket is one file. The table's name is added to ``tables``, for the caller to drop."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    tables.append(path.rpartition("/")[2].replace("-", "_"))
+    each bucket is one file. The table goes with the scope that it is made in."""
+    path = shared_path(df.sparkSession, tag)
     writer = df.repartition(buckets, *keys).coalesce(buckets).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path)
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.saveAsTable(tables[-1])
-    return spark.table(tables[-1])
+    name = shared_table(path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -64,30 +63,28 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*parts).alias("row_a"), F.xxhash64(F.lit("row"), *parts).alias("row_b")]
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: (node, component), component being the smallest node of each.
 
-    Alternates the large-star and small-star steps (Kiveris et al., 2014) until the edges no longer change.
-    Every step is a keyed minimum and a join with it; the minima are stored, so that both sides of the join are plain
-    shuffles and the partition of a group's hub can be split. Edges go to shared storage between rounds, so the plan
-    stays short. Nodes without a link are not returned; loops and repeated links do no harm."""
-    start = mark()
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = _state(edges)
-    for _ in range(rounds):
-        n = state[0]  # a step moves edges and merges some, but makes none
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", 2 * n)
-        large = stored(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", n)
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least", n)
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "links", n)
-        discard(edges.sparkSession, start, keep=1)
-        now = _state(edges)
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    Alternates the large-star and small-star steps (Kiveris et al., 2014) until the edges no longer change, which takes a
+    logarithmic number of rounds as a rule and always ends: each round that changes edges brings some end nearer to the
+    smallest node. Every step is a keyed minimum and a join with it; the minima are stored, so that both sides of the join
+    are plain shuffles and the partition of a group's hub can be split. Edges go to shared storage between rounds, so the
+    plan stays short. Nodes without a link are not returned; loops and repeated links do no harm."""
+    with Scope(links.sparkSession) as scope:
+        edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        state, before = _state(edges), None
+        while state != before:
+            n = state[0]  # a step moves edges and merges some, but makes none
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", 2 * n)
+            large = stored(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", n)
+            low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least", n)
+            small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+            edges = stored(small, "links", n)
+            scope.discard(keep=1)
+            state, before = _state(edges), state
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _state(edges: DataFrame) -> tuple:

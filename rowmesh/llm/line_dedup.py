@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import discard, mark
+from ..shared import Scope
 from . import common
 
 MIN_CHARS = 40
@@ -39,7 +39,6 @@ class LineRuns:
         self.spark, self.fanout, self.buckets = spark, fanout, buckets
         self.levels: list[list[DataFrame]] = []
         self.again: list[DataFrame] = []
-        self.tables: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -57,7 +56,7 @@ class LineRuns:
     def _put(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(common.bucketed(rows, ["a", "b"], self.buckets, f"run_{level}", self.tables))
+        self.levels[level].append(common.bucketed(rows, ["a", "b"], self.buckets, f"run_{level}"))
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
             self._put(level + 1, reduce(DataFrame.union, runs))  # no key is in two of them
@@ -94,19 +93,19 @@ def dedup_lines(
     Null and empty texts are one empty line. Rows that repeat an id are one document for counting, each keeps its own
     text; rows with a null id are together one document below all others. An empty table gives an empty result."""
     spark = docs.sparkSession
-    keys = common.stored(line_keys(docs, id_col, text_col, min_chars), "line-keys")
-    rows, start = keys.count(), mark()
-    buckets = min(100_000, max(1, min(spark.sparkContext.defaultParallelism, ceil(rows / LEAST_BUCKET_ROWS)), ceil(rows / BUCKET_ROWS)))
-    dealt = keys.select("id", "a", "b").distinct().withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
-    dealt, runs = dealt.groupBy("a", "b", "batch").agg(F.count("*").alias("n"), F.max("id").alias("last")), LineRuns(spark, fanout, buckets)
-    dealt = common.bucketed(dealt, ["a", "b"], buckets, "line_batches", runs.tables, partition_by="batch")
-    for i in range(batches):
-        runs.add(dealt.where(F.col("batch") == i))
-    # stored, so that both sides of the next join are plain shuffles and the partition of a very common line can be split
-    crowded = common.stored(runs.crowded(min_docs).select("a", "b", "last"), "crowded-lines")
-    for table in runs.tables:
-        spark.sql(f"DROP TABLE {table}")
-    discard(spark, start, keep=1)
+    with Scope(spark):
+        keys = common.stored(line_keys(docs, id_col, text_col, min_chars), "line-keys")
+        rows = keys.count()
+        buckets = min(100_000, max(1, min(spark.sparkContext.defaultParallelism, ceil(rows / LEAST_BUCKET_ROWS)), ceil(rows / BUCKET_ROWS)))
+        dealt = keys.select("id", "a", "b").distinct().withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+        dealt = dealt.groupBy("a", "b", "batch").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+        with Scope(spark) as scope:
+            dealt, runs = common.bucketed(dealt, ["a", "b"], buckets, "line_batches", partition_by="batch"), LineRuns(spark, fanout, buckets)
+            for i in range(batches):
+                runs.add(dealt.where(F.col("batch") == i))
+            # stored, so that both sides of the next join are plain shuffles and the partition of a very common line can be split
+            crowded = common.stored(runs.crowded(min_docs).select("a", "b", "last"), "crowded-lines")
+            scope.discard(keep=1)
     drops = keys.join(crowded, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
     drops = drops.select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "gone").hint("shuffle_hash")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -1,9 +1,11 @@
 import hashlib
+import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from rowmesh.llm import common, line_dedup
+from rowmesh.llm import common, line_dedup, simhash
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.001"
@@ -67,7 +69,7 @@ def test_the_anti_join_decides(spark, rows, monkeypatch):
 
 def test_joins_with_runs_have_no_exchange(spark):
     batches = spark.range(400).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"), F.lit(1).cast("long").alias("n"), F.col("id").alias("last"), (F.col("id") % 3).alias("batch"))
-    batches = common.bucketed(batches, ["a", "b"], 5, "batches", [], partition_by="batch")
+    batches = common.bucketed(batches, ["a", "b"], 5, "batches", partition_by="batch")
     runs = line_dedup.LineRuns(spark, fanout=3, buckets=5)
     for i in range(2):
         runs.add(batches.where(F.col("batch") == i))
@@ -75,6 +77,33 @@ def test_joins_with_runs_have_no_exchange(spark):
     assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
 
 
+def test_threads_and_failures_leave_each_other_alone(spark, tmp_path, monkeypatch):
+    """Line dedup and near-duplicates side by side, and a line dedup that fails: right results, and no folder or table left
+    of the failed one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {"lines": got(docs), "near": sorted(tuple(r) for r in simhash.near_duplicates(docs).collect())}
+    found: dict = {}
+
+    def lines():
+        found["lines"] = got(docs)
+
+    def near():
+        found["near"] = sorted(tuple(r) for r in simhash.near_duplicates(docs).collect())
+
+    threads = [threading.Thread(target=f) for f in (lines, near)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert found == want
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before, tables = set(shared.iterdir()), {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(line_dedup.LineRuns, "crowded", lambda self, n: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup.dedup_lines(docs)
+    assert set(shared.iterdir()) == before and {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
