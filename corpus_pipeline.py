@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmesh import shared
 from rowmesh.llm import common, decontaminate, line_dedup, mixing, quality, simhash
+from rowmesh.shared import Scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,8 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, start = common.table(spark, sf_dir, "documents").select(*COLUMNS), shared.mark()
-    for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
-        shared.discard(spark, start, keep=1)  # all that led to this stage's rows
+    docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
+    with Scope(spark) as scope:
+        for name, stage in STAGES:
+            docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            scope.discard(keep=1)  # all that led to this stage's rows
     return docs

@@ -6,33 +6,63 @@ import os
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
-#: Folders handed out so far, for those who can tell when they are done with them.
-_made: list[str] = []
+_current: ContextVar[Scope | None] = ContextVar("rowmesh_scope", default=None)
+
+
+class Scope:
+    """The shared folders and tables of one run of an operator: what is handed out inside ``with Scope(spark)``, in this
+    thread. No other run's are ever touched.
+
+    A scope that ends well hands what it still has to the scope around it, as a lazy result may read it; without one it
+    stays for the reader of the result. A scope that ends with an error deletes all of it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def __enter__(self) -> Scope:
+        self._token = _current.set(self)
+        return self
+
+    def __exit__(self, failed, error, trace) -> None:
+        _current.reset(self._token)
+        if failed:
+            self.discard()
+        elif outer := _current.get():
+            outer.paths += self.paths
+            outer.tables += self.tables
+
+    def discard(self, keep: int = 0) -> None:
+        """Drop the tables and delete the folders, but for the last ``keep`` of these; nothing may read them any more."""
+        while self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
+        gone = self.paths[: len(self.paths) - keep]
+        del self.paths[: len(self.paths) - keep]
+        for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, gone):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``. Where that is unset, a temporary one is taken on a local master, whose
-    tasks run in this very process; on a cluster nobody else would see it."""
+    """A fresh folder below ``spark.checkpoint.dir``, in the scope of the thread if there is one. Where that setting is
+    missing, a temporary one is taken on a local master, whose tasks run in this very process; on a cluster nobody else
+    would see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "rowmesh-shared")
-    _made.append(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def mark() -> int:
-    """A point in time for ``discard``."""
-    return len(_made)
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if scope := _current.get():
+        scope.paths.append(path)
+    return path
 
 
-def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Delete the folders handed out since a ``mark``, but for the last ``keep``; nothing may read them any more."""
-    gone = _made[since : len(_made) - keep]
-    del _made[since : len(_made) - keep]
-    for path in map(spark._jvm.org.apache.hadoop.fs.Path, gone):
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def shared_table(path: str) -> str:
+    """The name of a table that is stored at ``path``, in the scope of the thread if there is one."""
+    name = path.rpartition("/")[2].replace("-", "_")
+    if scope := _current.get():
+        scope.tables.append(name)
+    return name

@@ -3,6 +3,7 @@
 import subprocess
 import sys
 import textwrap
+import threading
 from pathlib import Path
 
 import duckdb
@@ -55,14 +56,53 @@ def test_imports_without_the_corpus_folders(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
-def test_shared_folders(spark, tmp_path, monkeypatch):
-    start = shared.mark()
-    paths = [shared.shared_path(spark, "x") for _ in range(3)]
-    for p in paths:
-        spark.range(1).write.parquet(p)
-    shared.discard(spark, start, keep=1)
-    assert [Path(p.removeprefix("file:")).exists() for p in paths] == [False, False, True] and shared.mark() == start + 1
-    assert all(p.startswith(spark.conf.get("spark.checkpoint.dir")) for p in paths)
+def test_scopes(spark):
+    there = lambda paths: [Path(p.removeprefix("file:")).exists() for p in paths]
+
+    def folder():
+        path = shared.shared_path(spark, "x")
+        spark.range(1).write.parquet(path)
+        return path
+
+    with shared.Scope(spark) as outer:
+        first = folder()
+        with shared.Scope(spark) as inner:
+            paths = [folder() for _ in range(3)]
+            inner.discard(keep=1)
+            assert there(paths) == [False, False, True]
+        assert outer.paths == [first, paths[2]]
+        with pytest.raises(ValueError), shared.Scope(spark):
+            lost, name = folder(), shared.shared_table(shared.shared_path(spark, "t"))
+            spark.range(3).write.saveAsTable(name)
+            raise ValueError
+        assert there([lost, first]) == [False, True] and not spark.catalog.tableExists(name)
+    assert there([first, paths[2]]) == [True, True]
+
+
+def test_scopes_of_threads_are_apart(spark):
+    """One thread's clearing up leaves the other's folders alone, however they interleave."""
+    gate, left = threading.Barrier(2), {}
+
+    def work(name):
+        with shared.Scope(spark) as scope:
+            path = shared.shared_path(spark, name)
+            spark.range(5).write.parquet(path)
+            gate.wait(60)
+            if name == "a":
+                scope.discard()
+            gate.wait(60)
+            left[name] = Path(path.removeprefix("file:")).exists(), len(scope.paths)
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert left == {"a": (False, 0), "b": (True, 1)}
+
+
+def test_shared_folders(spark):
+    assert shared.shared_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
     class Session:
         conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
