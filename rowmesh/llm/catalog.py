@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, pii, quality, simhash, toxicity, url_filter, warc
+from . import decontaminate, licenses, line_dedup, manifest, mixing, pii, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_license_scan": licenses.query,
     "op10_simhash_near_dedup": simhash.query,
+    "op12_merkle_manifest": manifest.query,
 }
 
 SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ SQL: dict[str, str] = {
     "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
     "op9_license_scan": licenses.SQL,
+    "op12_merkle_manifest": manifest.SQL,
 }

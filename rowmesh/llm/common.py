@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import Scope, shared_path, shared_table
 
@@ -89,3 +95,72 @@ def components(links: DataFrame) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+
+
+def changes(columns: list[pa.Array]) -> np.ndarray:
+    """For each row but the first, whether it differs from the one before in some column; null equals null."""
+    new = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        a, b = c[1:], c[:-1]
+        new |= (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False)) | pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return new
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """One table for each run of neighbouring rows that agree in their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and changes([pa.concat_arrays([held[-1].column(i)[-1:], b.column(i)[:1]]) for i in range(keys)])[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        starts = [0, *(np.flatnonzero(changes([b.column(i) for i in range(keys)])) + 1).tolist(), b.num_rows]
+        for start, end in zip(starts, starts[1:], strict=False):
+            held.append(b.slice(start, end - start))
+            if end < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbered(df: DataFrame, group: str, order: list[str], tag: str, name: str = "pos") -> DataFrame:
+    """``df``, stored, with the place of each row within its ``group`` by ``order`` (nulls first), counted from 0.
+
+    Rows are sorted by ranges of (group, order), so that a group of any size, and rows that tie, spread over tasks. A task
+    numbers its rows group by group; only the first group of a task can go on from an earlier one, so one row for each
+    task says how far it had come."""
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(*keys, F.col("_tie")).sortWithinPartitions(*keys, "_tie").drop("_tie")
+    columns, at = df.columns, df.columns.index(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen, before, head, last = TaskContext.get().partitionId(), 0, 0, True, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            new = np.r_[last is not None and bool(changes([pa.concat_arrays([last, b.column(at)[:1]])])[0]), changes([b.column(at)])]
+            place = np.arange(n)
+            starts = np.maximum.accumulate(np.where(new, place, -1))
+            number = np.where(starts < 0, place + before, place - starts)
+            heads = (starts < 0) & head
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number), pa.array(np.full(n, task)), pa.array(place + seen), pa.array(heads)], [*columns, name, "_task", "_row", "_head"])
+            seen, before, head, last = seen + n, int(number[-1]) + 1, bool(heads[-1]), b.column(at)[-1:]
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType()), T.StructField("_task", T.LongType()), T.StructField("_row", T.LongType()), T.StructField("_head", T.BooleanType())])
+    rows = stored(dealt.mapInArrow(run, schema), tag)
+    ends = rows.groupBy("_task").agg(F.min_by(F.struct(group), "_row").alias("first"), F.max_by(F.struct(group), "_row").alias("last"), F.max_by(name, "_row").alias("n"))
+    carried, tail, last = [], 0, None
+    for r in ends.orderBy("_task").collect():  # one row for each task
+        carry = tail if last is not None and r["first"] == last else 0
+        tail = r["n"] + 1 + (carry if r["first"] == r["last"] else 0)
+        last = r["last"]
+        if carry:
+            carried.append((r["_task"], carry))
+    if carried:
+        more = df.sparkSession.createDataFrame(carried, "_task bigint, _carry bigint")
+        rows = rows.join(F.broadcast(more), "_task", "left").withColumn(name, F.col(name) + F.when(F.col("_head"), F.coalesce("_carry", F.lit(0))).otherwise(0))
+    return rows.select(*columns, name)
