@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, manifest, mixing, pii, quality, simhash, toxicity, url_filter, warc
+from . import decontaminate, licenses, line_dedup, manifest, mixing, pii, quality, simhash, toxicity, trie, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_license_scan": licenses.query,
     "op10_simhash_near_dedup": simhash.query,
+    "op11_conversation_trie": trie.query,
     "op12_merkle_manifest": manifest.query,
 }
 
@@ -25,5 +26,6 @@ SQL: dict[str, str] = {
     "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
     "op9_license_scan": licenses.SQL,
+    "op11_conversation_trie": trie.SQL,
     "op12_merkle_manifest": manifest.SQL,
 }

@@ -201,14 +201,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-def crc_sql(number: str) -> str:
-    """Unsigned CRC-32 of a decimal number, in SQL: byte by byte, bit by bit."""
-    shift = "lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384::BIGINT) ELSE d // 2 END"
-    byte = f"lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), {shift})"
-    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
-    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), {byte}), 4294967295::BIGINT)"
-
-
 def _field_sql(c: str, value: str | None = None) -> str:
     value = value or f"{c}::VARCHAR"
     return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
@@ -221,7 +213,7 @@ def _leaf_sql(text: str) -> str:
 SQL = f"""
 WITH RECURSIVE
 d AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
-             CASE WHEN {crc_sql("doc_id")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS tampered FROM documents),
+             CASE WHEN {common.crc_sql("doc_id")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS tampered FROM documents),
 low AS (
   SELECT source, 0 AS lvl, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM d
   UNION ALL
