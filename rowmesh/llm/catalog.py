@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, manifest, mixing, pii, quality, simhash, toxicity, trie, url_filter, warc
+from . import decontaminate, licenses, line_dedup, manifest, mixing, pii, quality, simhash, suffixes, toxicity, trie, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.query,
     "op11_conversation_trie": trie.query,
     "op12_merkle_manifest": manifest.query,
+    "op13_suffix_dedup": suffixes.query,
 }
 
 SQL: dict[str, str] = {
