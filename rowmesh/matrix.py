@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .errors import DimensionError, MatrixIndexError, NanNormError, ProductMismatch, ShapeMismatch
 from .functions.kinds import COMPLEX, DOUBLE, INT64, Kind, entry_schema
-from .operators import access, algebra, checks
-from .plans import work
+from .operators import access, algebra, checks, verify
+from .plans import deal, fill, work
 
 
 class SparseMatrix:
@@ -150,6 +150,18 @@ class SparseMatrix:
             factor, hot = (measured.salt if salt == "auto" else int(salt)), measured.hot
         return self.like(algebra.multiply(self.df, other.df, self.kind, factor, hot, ordered, by_rows), self._rows, other._cols)
 
+    def multiply_balanced(self, other: SparseMatrix, parts: int | None = None) -> SparseMatrix:
+        """The product on ``parts`` partitions of equal flops, or as many as flops and estimated fill are worth."""
+        if self._cols != other._rows:
+            raise ProductMismatch
+        return self.like(deal.balanced(self.df, other.df, self.kind, parts), self._rows, other._cols)
+
+    def multiply_on_grid(self, other: SparseMatrix, grid: tuple[int, int] | None = None) -> SparseMatrix:
+        """The product by a grid of row strips times column strips; no sums are shuffled, entries are copied instead."""
+        if self._cols != other._rows:
+            raise ProductMismatch
+        return self.like(deal.on_grid(self.df, other.df, self.kind, grid), self._rows, other._cols)
+
     def __matmul__(self, other: SparseMatrix) -> SparseMatrix:
         return self.multiply(other)
 
@@ -215,6 +227,30 @@ class SparseMatrix:
             raise NanNormError
         return got["norm"] <= bound
 
+    def passes_as_product_of(self, lhs: SparseMatrix, rhs: SparseMatrix, n: str = "cols", trials: int = 20, seed: int = 0) -> bool:
+        """As ``is_good_product_of``, and for whole numbers whether this equals the product, but by random vectors instead of
+        a second product. A good product always passes.
+
+        Of doubles, a matrix that is off by more than the tolerance in some cell is found with a probability of at least
+        1 - 2^-trials, in rings one with any wrong cell. Of 64-bit integers, two vectors of residues miss a wrong cell once
+        in about 2^62, whatever ``trials`` says, and always if all differences are multiples of both moduli. The tolerance is
+        the error bound and what rounding adds to the three products with vectors."""
+        if lhs._cols != rhs._rows:
+            raise ProductMismatch
+        if self.shape != (lhs._rows, rhs._cols):
+            raise ShapeMismatch
+        if not 1 <= trials <= 64:
+            raise ValueError("from 1 to 64 vectors")
+        got = verify.disagreement(self.df, lhs.df, rhs.df, self.kind, trials, seed).first()
+        if got["nan_c"] and not got["nan_product"]:
+            return False
+        if self.kind.name not in ("double", "complex"):
+            return got["apart"] == 0
+        norms = lhs.inf_norm(), rhs.inf_norm()
+        if got["nan_c"] or got["nan_product"]:
+            raise NanNormError
+        return got["apart"] <= sum(checks.error_bound(k, *norms) for k in (self._cols if n == "cols" else lhs._cols, lhs._cols + self._cols))
+
     def dump(self) -> str:
         return checks.scientific_dump(self.df).first()["dump"]
 
@@ -226,6 +262,10 @@ class SparseMatrix:
     def fill_by_row(self, other: SparseMatrix) -> DataFrame:
         return work.fill_by_row(self.df, other.df, self._rows)
 
+    def estimated_fill(self, other: SparseMatrix) -> DataFrame:
+        """(row, estimate): about as many entries as each row of the product has, from sketches."""
+        return fill.by_row(self.df, other.df, self._rows)
+
     def row_ranges(self, other: SparseMatrix, workers: int) -> DataFrame:
         return work.row_ranges(self.df, other.df, self._rows, workers)
 

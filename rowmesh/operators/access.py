@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import Kind
-from ..functions.scans import BLOCK, prefix_sums
+from ..functions.scans import entry_prefix, prefix_sums
 
 
 def element(a: DataFrame, i: int, j: int) -> DataFrame:
@@ -37,17 +37,9 @@ def offsets(a: DataFrame, rows: int) -> DataFrame:
 
 
 def ranked(a: DataFrame) -> DataFrame:
-    """``a`` with pos, the place of each entry in (row, col) order from 0.
-
-    Entries are ranked within ``BLOCK`` neighbouring columns of a row, and shifted by the sizes of the row's blocks and of
-    the rows before. So there is no window over all, nor over a row, however full it is."""
-    a = a.select("row", "col", "val", F.floor(F.col("col") / BLOCK).alias("block"))
-    blocks = a.groupBy("row", "block").agg(F.count("*").alias("n"))
-    rows = prefix_sums(blocks.groupBy("row").agg(F.sum("n").alias("n")), "row", F.col("n"), "upto").select("row", (F.col("upto") - F.col("n")).alias("before"))
-    in_row = F.coalesce(F.sum("n").over(Window.partitionBy("row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.withColumn("in_row", in_row).join(rows, "row").select("row", "block", (F.col("before") + F.col("in_row")).alias("start"))
-    within = F.row_number().over(Window.partitionBy("row", "block").orderBy("col"))
-    return a.withColumn("within", within).join(starts, ["row", "block"]).select("row", "col", "val", (F.col("start") + F.col("within") - 1).alias("pos"))
+    """``a`` with pos, the place of each entry in (row, col) order from 0."""
+    places = entry_prefix(a.select("row", "col", "val"), F.lit(1), "pos")
+    return places.select("row", "col", "val", (F.col("pos") - 1).alias("pos"))
 
 
 def compare_positions(row, col, other_row, other_col) -> Column:

@@ -13,7 +13,7 @@ from .functions import scalar as S
 from .functions.kinds import DOUBLE, INT64
 from .matrix import SparseMatrix, chain_product
 from .operators import access, checks
-from .plans import work
+from .plans import deal, fill, work
 from .shared import shared_path
 from .sources import matrix_market, storage, tables, tuples
 
@@ -37,6 +37,9 @@ MATRICES = {
 }
 
 
+_FLOPS = ", n AS (SELECT c AS k, count(*) AS n FROM {m} GROUP BY 1), f AS (SELECT {m}.r, sum(n) AS f FROM {m} JOIN n ON {m}.c = n.k GROUP BY 1), g AS (SELECT x.r, CAST(coalesce(f, 0) AS BIGINT) AS flops FROM {m}_rows x LEFT JOIN f ON x.r = f.r)"
+
+
 def _with(*names: str) -> str:
     return "WITH " + ", ".join(MATRICES[n] for n in names) + " "
 
@@ -75,12 +78,36 @@ def spgemm_by_rows(spark, d):
     return cells(m.multiply(m.transpose(), broadcast_entries=2_000_000).df)
 
 
-@_query(_gram("sp"))
+@_query(_with("ue") + "SELECT a.r AS row_id, b.r AS col_id, CAST(sum(a.v * b.v) AS BIGINT) AS val FROM ue a JOIN ue b ON a.c = b.c GROUP BY 1, 2")
 def spgemm_salted(spark, d):
-    m = tables.supplier_part(spark, d)
+    """Users by the types of their events: the inner indexes are the few types, each of them hot."""
+    m = tables.user_event(spark, d)
     return cells(m.multiply(m.transpose(), salt=4).df)
 
 
+@_query(_gram("op"))
+def spgemm_balanced(spark, d):
+    """The product of orders on partitions of equal flops."""
+    m = tables.order_part(spark, d)
+    return cells(m.multiply_balanced(m.transpose(), parts=8).df)
+
+
+@_query(_with("op", "op_rows") + _FLOPS.format(m="op") + " SELECT CAST(8 AS INT) AS parts, CAST(sum(flops) AS BIGINT) AS products, TRUE AS within FROM g")
+def balanced_parts(spark, d):
+    """Whether no part of the balanced product has more than 1.5 times the mean of its scalar products."""
+    m = tables.order_part(spark, d)
+    found = deal.plan(m.df, m.transpose().df, parts=8)
+    loads = found.items.groupBy("part").agg(F.sum("flops").alias("n"))
+    return loads.agg(F.lit(found.parts).alias("parts"), F.sum("n").alias("products"), (F.max("n") <= 1.5 * F.sum("n") / found.parts).alias("within"))
+
+
+@_query(_gram("op"))
+def spgemm_on_grid(spark, d):
+    """The product of orders by a grid of three row strips and three column strips."""
+    m = tables.order_part(spark, d)
+    return cells(m.multiply_on_grid(m.transpose(), (3, 3)).df)
+
+
 @_query(_with("nn") + "SELECT a.r AS row_id, b.c AS col_id, CAST(sum(a.v * b.v) AS BIGINT) AS val FROM nn a JOIN nn b ON a.c = b.r GROUP BY 1, 2")
 def spgemm_nation_square(spark, d):
     return cells(tables.nation_nation(spark, d).squared().df)
@@ -404,15 +431,46 @@ def csr_offsets(spark, d):
     return tables.order_part(spark, d).offsets()
 
 
-_FLOPS = ", n AS (SELECT c AS k, count(*) AS n FROM {m} GROUP BY 1), f AS (SELECT {m}.r, sum(n) AS f FROM {m} JOIN n ON {m}.c = n.k GROUP BY 1), g AS (SELECT x.r, CAST(coalesce(f, 0) AS BIGINT) AS flops FROM {m}_rows x LEFT JOIN f ON x.r = f.r)"
-
-
 @_query(_with("op", "op_rows") + _FLOPS.format(m="op") + " SELECT r AS row_id, flops FROM g")
 def flops_per_row(spark, d):
     m = tables.order_part(spark, d)
     return m.flops_by_row(m.transpose()).select(F.col("row").alias("row_id"), "flops")
 
 
+_DRAWN = "[-ln((('0x' || substr(md5({t} || ':' || c), {i}, 8))::BIGINT + 0.5) / 4294967296.0)]"
+_NUMBERS = "flatten([" + ", ".join(_DRAWN.format(t=t, i=8 * i + 1) for t in range(0, fill.ROUNDS, 4) for i in range(4)) + "])"
+_ESTIMATE = f""", num AS (SELECT c, {_NUMBERS} AS x FROM (SELECT DISTINCT r AS c FROM op)),
+    low AS (SELECT k, t, min(x) AS x FROM (SELECT op.c AS k, unnest(x) AS x, unnest(range({fill.ROUNDS})) AS t FROM op JOIN num ON op.r = num.c) GROUP BY 1, 2),
+    sk AS (SELECT op.r, t, min(x) AS x FROM op JOIN low ON op.c = low.k GROUP BY 1, 2),
+    est AS (SELECT op_rows.r, coalesce({fill.ROUNDS - 1} / sum(x), 0) AS estimate FROM op_rows LEFT JOIN sk ON op_rows.r = sk.r GROUP BY 1)"""
+
+
+@_query(_with("op", "op_rows") + _ESTIMATE + " SELECT r AS row_id, round(estimate, 6) AS estimate FROM est")
+def fill_estimate(spark, d):
+    """Entries of each row of a product, estimated from sketches."""
+    m = tables.order_part(spark, d)
+    return m.estimated_fill(m.transpose()).select(F.col("row").alias("row_id"), F.round("estimate", 6).alias("estimate"))
+
+
+@_query(
+    _with("op", "op_rows")
+    + _ESTIMATE
+    + f""", exact AS (SELECT a.r, count(DISTINCT b.r) AS n FROM op a JOIN op b ON a.c = b.c GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS nnz, abs(sum(estimate) - sum(n)) <= {3 * fill.DEVIATION} * sum(n) AS total_within,
+    count(*) FILTER (WHERE abs(estimate - n) > {3 * fill.DEVIATION} * n) * 100 <= count(*) AS rows_within FROM est JOIN exact ON est.r = exact.r"""
+)
+def fill_estimate_error(spark, d):
+    """The estimates against the exact symbolic fill: the total, and all but one row of a hundred, within three deviations."""
+    m = tables.order_part(spark, d)
+    both = m.estimated_fill(m.transpose()).join(m.fill_by_row(m.transpose()), "row").where("nnz > 0")
+    off = F.abs(F.col("estimate") - F.col("nnz")) > 3 * fill.DEVIATION * F.col("nnz")
+    return both.agg(
+        F.sum("nnz").alias("nnz"),
+        (F.abs(F.sum("estimate") - F.sum("nnz")) <= 3 * fill.DEVIATION * F.sum("nnz")).alias("total_within"),
+        (F.count_if(off) * 100 <= F.count("*")).alias("rows_within"),
+    )
+
+
 @_query(
     _with("sp", "sp_rows")
     + _FLOPS.format(m="sp")
@@ -465,7 +523,7 @@ _BOUND = """WITH e AS (SELECT vec_id AS r, unnest(range(len(embedding))) AS c, C
 def approx_ok(spark, d):
     m = tables.embedding(spark, d)
     lhs, rhs = m.transpose(), m
-    return spark.createDataFrame([(lhs.multiply(rhs, ordered=True).is_good_product_of(lhs, rhs, n="inner"),)], "good boolean")
+    return spark.createDataFrame([(lhs.multiply(rhs, ordered=True).passes_as_product_of(lhs, rhs, n="inner"),)], "good boolean")
 
 
 @_query(
@@ -488,6 +546,44 @@ def approx_cases(spark, d):
     return spark.createDataFrame([(what, x.is_good_product_of(lhs, rhs, n="inner")) for what, x in cases], "what string, good boolean")
 
 
+@_query(SQL["approx_cases"])
+def vector_cases(spark, d):
+    """The cases of ``approx_cases``, told apart by random vectors."""
+    m = tables.embedding(spark, d)
+    lhs, rhs = m.transpose(), m
+    got = lhs.multiply(rhs)
+    at = lambda i: (F.col("row") == i) & (F.col("col") == i)
+    off = got.like(got.df.withColumn("val", F.when(at(0), F.col("val") + 1).otherwise(F.col("val"))))
+    nan = got.like(got.df.withColumn("val", F.when(at(1), F.lit(float("nan"))).otherwise(F.col("val"))))
+    cases = (("as it is", got), ("one cell off", off), ("a NaN", nan))
+    return spark.createDataFrame([(what, x.passes_as_product_of(lhs, rhs, n="inner")) for what, x in cases], "what string, good boolean")
+
+
+@_query(
+    _with("op")
+    + """, p AS (SELECT a.r AS r, b.r AS c, sum(a.v * b.v) AS v FROM op a JOIN op b ON a.c = b.c GROUP BY 1, 2), first AS (SELECT min(r) AS r FROM p),
+    k AS (SELECT 'as it is' AS what, p.r, c, v FROM p
+        UNION ALL SELECT 'one more', p.r, c, v + CASE WHEN p.r = first.r AND c = first.r THEN 1 ELSE 0 END FROM p, first
+        UNION ALL SELECT 'one gone', p.r, c, v FROM p, first WHERE p.r <> first.r OR c <> first.r
+        UNION ALL SELECT 'rows and columns', c, p.r, v FROM p)
+    SELECT what, count(*) = (SELECT count(*) FROM p) AND bool_and(EXISTS (SELECT 1 FROM p WHERE p.r = k.r AND p.c = k.c AND p.v = k.v)) AS equal FROM k GROUP BY what"""
+)
+def vector_cases_whole(spark, d):
+    """The product of orders with itself, exact in 64 bits, against random vectors: as it is, off by one, short of a cell,
+    and transposed, which is the same as it is symmetric."""
+    m = tables.order_part(spark, d)
+    got = m @ m.transpose()
+    first = got.df.agg(F.min("row")).first()[0]
+    here = (F.col("row") == first) & (F.col("col") == first)
+    cases = {
+        "as it is": got,
+        "one more": got.like(got.df.withColumn("val", F.when(here, F.col("val") + 1).otherwise(F.col("val")))),
+        "one gone": got.like(got.df.where(~here)),
+        "rows and columns": got.transpose(),
+    }
+    return spark.createDataFrame([(what, x.passes_as_product_of(m, m.transpose())) for what, x in cases.items()], "what string, equal boolean")
+
+
 @_query(
     _with("sp")
     + """SELECT bool_and(r >= 0 AND r < (SELECT count(*) FROM supplier) AND c >= 0 AND c < (SELECT count(*) FROM part)) AS in_bounds,
