@@ -3,7 +3,8 @@
 The counts are one narrow pass of column expressions. For line frequency, normalised lines are hashed, distinct
 documents (by text, so that exact copies count once) are counted for each host and line, and lines above the limit are
 removed from all documents of the host but the largest id that holds them, so that no text leaves the corpus
-altogether. A document of whose words too few remain is depleted and rejected.
+altogether. A document of which too little remains is depleted and rejected: less than a share of its words, or fewer words
+than the base rule asks for.
 """
 
 from __future__ import annotations
@@ -81,7 +82,8 @@ def line_losses(docs: DataFrame, id_col: str, text_col: str, host_col: str, line
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_kept: float = LEAST_KEPT, carry_text: bool = False) -> DataFrame:
-    """Each row of ``docs`` as (row, the counts, words_lost, base_failed, kept); row is a struct of its columns.
+    """Each row of ``docs`` as (row, the counts, words_lost, lines_lost, base_failed, kept); row is a struct of its columns and
+    lines_lost an array of the places of the lines that the host's limit removes, counted from 0.
 
     With ``carry_text`` row holds the text, and cleaned is the text without the lines that it loses; without it there is
     neither, so that plain verdicts never shuffle texts. Null and empty texts have
@@ -93,11 +95,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     losses = line_losses(docs, id_col, text_col, host_col).hint("shuffle_hash")
     joined = counted.join(losses, F.col("q_id").eqNullSafe(F.col("id")) & (F.col("q_t") == F.col("t")), "left").withColumn("words_lost", F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    enough = F.col("n_words") - F.col("words_lost") >= least_kept * F.col("n_words")
+    left = F.col("n_words") - F.col("words_lost")
+    enough = (left >= least_kept * F.col("n_words")) & (left >= MIN_WORDS)
     # one comparison instead of a conjunction: a filter on it stays above the join, where the counts are made already
     kept = F.least((~failed).cast("int"), enough.cast("int")) == 1
-    found = joined.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_lost", failed.alias("base_failed"), kept.alias("kept"), *(["gone"] if carry_text else []))
-    return found.withColumn("cleaned", F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(without(F.col("row")[text_col], F.col("gone")))).drop("gone") if carry_text else found
+    found = joined.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_lost", F.coalesce(F.sort_array("gone"), F.array().cast("array<int>")).alias("lines_lost"), failed.alias("base_failed"), kept.alias("kept"))
+    text = lambda: F.col("row")[text_col]
+    return found.withColumn("cleaned", F.when(F.size("lines_lost") == 0, text()).otherwise(without(text(), F.col("lines_lost")))) if carry_text else found
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -106,9 +110,9 @@ def without(text: Column, gone: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op3: counts and verdict of every document."""
+    """op3: counts and verdict of every document, and which lines its host's limit removes."""
     found = judge(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_lost", F.sha2(F.array_join("lines_lost", ",").cast("binary"), 256).alias("lines_lost_sha256"))
 
 
 SQL = r"""
@@ -120,24 +124,24 @@ g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >=
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
       FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, host, text, raw, line,
+l AS (SELECT doc_id, host, text, raw, line, pos,
              translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
       FROM (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
-            FROM (SELECT doc_id, host, text, unnest(ls) AS raw FROM d)) WHERE line <> ''),
+            FROM (SELECT doc_id, host, text, unnest(ls) AS raw, unnest(range(len(ls))) AS pos FROM d)) WHERE line <> ''),
 u AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM l GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
 often AS (SELECT host, key, max(doc_id) AS last FROM l JOIN hosts USING (host) GROUP BY host, key, docs
           HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.02::DOUBLE * docs),
-lost AS (SELECT doc_id, sum(words) AS lost FROM l JOIN often USING (host, key) WHERE doc_id <> last GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(words) AS lost, string_agg(pos, ',' ORDER BY pos) AS places FROM l JOIN often USING (host, key) WHERE doc_id <> last GROUP BY doc_id),
 b AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    coalesce(lost, 0)::BIGINT AS lost
+    coalesce(lost, 0)::BIGINT AS lost, sha256(coalesce(places, '')) AS lines_lost_sha256
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN lost USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words - lost >= 0.3::DOUBLE * n_words AS kept
+       NOT base_failed AND n_words - lost >= 0.3::DOUBLE * n_words AND n_words - lost >= 50 AS kept, lost AS words_lost, lines_lost_sha256
 FROM f
 """
