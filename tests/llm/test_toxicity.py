@@ -53,8 +53,9 @@ def test_scores_in_memory(spark, model):
             evidence = sum(fitted.weights.get(f, 0.0) for w in words for f in {w[:n] for n in (4, 5, 6, 7, 8) if n < len(w)} | {w + "$"})
             p = 1 / (1 + math.exp(-fitted.bias - evidence))
             clean *= 1 - p
-            offending += [sentence] if p >= 0.5 else []
-        assert got[i].score == pytest.approx(1 - clean, abs=1e-9) and [text[s["start"] : s["end"]] for s in got[i].offending] == offending
+            offending += [sentence] if p >= 0.3 else []
+        odds = (1 - clean) / clean * (0.7 / 0.3) ** 2
+        assert got[i].score == pytest.approx(odds / (1 + odds), abs=1e-9) and [text[s["start"] : s["end"]] for s in got[i].offending] == offending
 
 
 def test_the_fit_lowers_the_loss_of_the_noisy_or(model):
@@ -94,7 +95,7 @@ def test_odd_texts(spark, model):
 def test_without_labels_or_with_one_label(spark, model):
     docs = model[1]
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
-    assert all(r.score < 0.05 for r in T.score(docs.limit(5), T.train(docs, none)).collect())
+    assert all(r.score < 0.1 for r in T.score(docs.limit(5), T.train(docs, none)).collect())
     assert T.train(docs.where("false"), none).weights == {}
 
 
@@ -106,7 +107,7 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in got)
     test = [(r.score, r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
     hits, wrong = sum(p and y for _, p, y in test), sum(p and not y for _, p, y in test)
-    assert wrong <= 0.01 * len(test) and hits >= 0.75 * sum(y for *_, y in test)
+    assert wrong <= 0.01 * len(test) and hits >= 0.9 * sum(y for *_, y in test)
     order = sorted(test)
     ranks = [k for k, (_, _, y) in enumerate(order) if y]
     n1, n0 = len(ranks), len(test) - len(ranks)
