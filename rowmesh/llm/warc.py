@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -63,6 +64,11 @@ def parse(raw: bytes) -> tuple[dict[str, str], int, bytes]:
     return headers, size, payload
 
 
+def store_of(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder and the path there. Hadoop's names of S3, ``s3a`` and ``s3n``, are ``s3`` to Arrow."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 def _packed(raw: bytes) -> bytes:
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
@@ -92,7 +98,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.select("id", "url", "payload", "sha", F.col("revisit_sha").isNotNull().alias("repeats"), "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = store_of(folder)
         out, name, at = None, "", 0
         for b in batches:
             found = []
@@ -140,7 +146,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
     wanted = wanted.repartition(max(1, ceil(total / TASK_BYTES)), "file", "piece").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = store_of(folder)
         source, opened = None, ""
         for b in batches:
             rows = b.select(["id", "url", "file", "offset", "length"]).to_pylist()

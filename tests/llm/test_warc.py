@@ -65,3 +65,17 @@ def test_smallest_payload_and_empty_table(spark):
     assert {r.id: r.refers_to for r in index.collect()} == {1: None, 2: None, 3: 4, 4: None}
     folder = common.shared_path(spark, "warc-test")
     assert warc.read_records(warc.write_archives(df.where(F.lit(False)), folder), folder).count() == 0
+
+
+def test_folders_are_named_as_spark_names_them(monkeypatch):
+    """Spark's names of S3 reach Arrow's file system of that kind; others go as they are."""
+    asked = []
+    monkeypatch.setattr(warc.pyarrow.fs, "FileSystem", type("Fake", (), {"from_uri": staticmethod(lambda uri: asked.append(uri) or (None, uri))}))
+    for name in ("s3a://bucket/x", "s3n://bucket/x", "s3://bucket/x", "hdfs://host/x", "file:///x/s3a://y"):
+        warc.store_of(name)
+    assert asked == ["s3://bucket/x"] * 3 + ["hdfs://host/x", "file:///x/s3a://y"]
+
+
+def test_the_file_system_of_s3a_is_that_of_s3():
+    fs, path = warc.store_of("s3a://key:secret@bucket/folder?region=us-east-1")
+    assert fs.type_name == "s3" and path == "bucket/folder"
