@@ -3,9 +3,10 @@
 All rolling word k-grams of all texts are joined on their hashes with the positions of the license templates' k-grams.
 A match votes for the diagonal (text position minus template position); votes are summed for each text, template and
 diagonal, neighbouring diagonals (a few words inserted or left out) are merged, and a merged span is verified by the
-share of the template's k-grams that it holds and by its length. The templates are few and fixed, so their side of the
-join is broadcast, and k-grams of no template are dropped before they become rows; nothing but matches is ever shuffled.
-Texts are split into words once; what the labels need of them is stored.
+share of the template's k-grams that it holds and by its length. Templates of up to ``MOST_TEMPLATE_WORDS`` words, such as
+the fixed ones, are broadcast, and k-grams of no template are dropped before they become rows, so that nothing but matches
+is ever shuffled. Larger sets, whole license bodies say, are a stored table, and the k-grams of the texts are shuffled to
+it. Texts are split into words once; what the labels need of them is stored.
 """
 
 from __future__ import annotations
@@ -91,15 +92,22 @@ def grams_of(words: Column, k: int) -> Column:
 
 def template_places(spark: SparkSession, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
     """(template, label, place, gram, grams): each k-gram of each template, and how many the template has."""
-    if sum(len(text.split()) for _, text in templates) > MOST_TEMPLATE_WORDS:
-        raise ValueError("too many template words to broadcast")
-    rows_of = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)))
-    known = spark.range(1).select(F.inline(rows_of)).select("template", "label", grams_of(words_of(F.col("text")), k).alias("grams"))
-    return known.select("template", "label", F.size("grams").alias("grams"), F.posexplode("grams").alias("place", "gram"))
+    if few_words(templates):
+        rows_of = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)))
+        known = spark.range(1).select(F.inline(rows_of))
+    else:
+        known = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
+    known = known.select("template", "label", grams_of(words_of(F.col("text")), k).alias("grams"))
+    known = known.select("template", "label", F.size("grams").alias("grams"), F.posexplode("grams").alias("place", "gram"))
+    return known if few_words(templates) else common.stored(known, "template-grams")
+
+
+def few_words(templates) -> bool:
+    return sum(len(text.split()) for _, text in templates) <= MOST_TEMPLATE_WORDS
 
 
 def with_votes(rows: DataFrame, places: DataFrame, k: int = GRAM) -> DataFrame:
-    """``rows(..., words)`` with hits, the (at, gram) of the k-grams that some template has."""
+    """``rows(..., words)`` with hits, the (at, gram) of the k-grams that some template has; for few templates."""
     known = [r.gram for r in places.select("gram").distinct().collect()]  # as bounded as what is broadcast
     hits = F.filter(F.transform(grams_of(F.col("words"), k), lambda g, i: F.when(g.isin(known), F.struct(i.alias("at"), g.alias("gram")))), lambda x: x.isNotNull())
     return rows.select("*", hits.alias("hits"))
@@ -131,9 +139,9 @@ def with_phrases(rows: DataFrame, phrases=PHRASES) -> DataFrame:
     )
 
 
-def template_spans(rows: DataFrame, places: DataFrame, k: int = GRAM, drift: int = DRIFT, least: float = LEAST_COVERAGE, stretch: float = MOST_STRETCH) -> DataFrame:
-    """(id, t, label, first, last, coverage) of the verified spans in ``rows(id, t, hits)``; positions count words."""
-    votes = rows.where(F.size("hits") > 0).select("id", "t", F.inline("hits")).join(F.broadcast(places), "gram").withColumn("diagonal", F.col("at") - F.col("place"))
+def template_spans(hits: DataFrame, places: DataFrame, k: int = GRAM, drift: int = DRIFT, least: float = LEAST_COVERAGE, stretch: float = MOST_STRETCH) -> DataFrame:
+    """(id, t, label, first, last, coverage) of the verified spans of ``hits(id, t, at, gram)``; positions count words."""
+    votes = hits.join(places, "gram").withColumn("diagonal", F.col("at") - F.col("place"))
     lines = votes.groupBy("id", "t", "template", "label", "grams", "diagonal").agg(
         F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places")
     )
@@ -148,16 +156,21 @@ def template_spans(rows: DataFrame, places: DataFrame, k: int = GRAM, drift: int
     return spans.where(fits).select("id", "t", "label", "first", "last", "coverage")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of each row.
 
     Labels are those of the base phrases and of the verified template spans; spans lists the latter. The score is the
-    best coverage of a template, or 1 where a base phrase stands. Null and empty texts have no words, no labels and the
+    best coverage of a template, or 1 where a base phrase stands. ``templates`` are (label, text), as many and as long as may
+    be; those of fewer than four words have no k-gram and are never found. Null and empty texts have no words, no labels and the
     score 0. Rows that repeat an id are scanned each by its own text; further columns are ignored."""
-    places = template_places(docs.sparkSession)
+    places = template_places(docs.sparkSession, templates)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), words_of(F.col(text_col)).alias("words"))
-    based = common.stored(with_phrases(with_votes(rows, places)).drop("words"), "license-votes")
-    spans = template_spans(based, places)
+    if few_words(templates):
+        based = common.stored(with_phrases(with_votes(rows, places)).drop("words"), "license-votes")
+        spans = template_spans(based.where(F.size("hits") > 0).select("id", "t", F.inline("hits")), F.broadcast(places))
+    else:
+        based = common.stored(with_phrases(rows.withColumn("grams", grams_of(F.col("words"), GRAM))).drop("words"), "license-grams")
+        spans = template_spans(based.select("id", "t", F.posexplode("grams").alias("at", "gram")), places)
     spans = spans.groupBy("id", "t").agg(
         F.collect_set("label").alias("more"), F.max("coverage").alias("best"), F.sort_array(F.collect_set(F.struct("first", "last", "label", "coverage"))).alias("spans")
     )

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -67,3 +68,41 @@ def test_spans(scanned):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_more_template_words_than_are_broadcast(spark):
+    """Five hundred whole bodies, some alike, against voting in memory."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 6)))
+    bodies = [[word() for _ in range(430)] for _ in range(490)]
+    bodies += [b[:200] + [word()] + b[200:] for b in bodies[:10]]
+    templates = [(f"label-{i}", " ".join(b)) for i, b in enumerate(bodies)]
+    assert sum(len(t.split()) for _, t in templates) > licenses.MOST_TEMPLATE_WORDS and not licenses.few_words(templates)
+    filler = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{filler(20)} {templates[i][1]} {filler(9)}" for i in (0, 17, 489)] + [" ".join(bodies[40][:300]), " ".join(bodies[41][:150]), filler(900), None]
+    texts += [" ".join(x for j, x in enumerate(bodies[60]) if j % 40), f"{templates[70][1]}. {templates[71][1].upper()}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.id: r for r in licenses.scan(df, templates=templates).collect()}
+    places = {}
+    for i, b in enumerate(bodies):
+        for j in range(len(b) - 3):
+            places.setdefault(tuple(b[j : j + 4]), []).append((i, j))
+    for i, text in enumerate(texts):
+        w, votes = words(text), {}
+        for at in range(len(w) - 3):
+            for t, place in places.get(tuple(w[at : at + 4]), []):
+                votes.setdefault(t, {}).setdefault(at - place, []).append((at, place))
+        want = set()
+        for t, lines in votes.items():
+            spans, last = [], None
+            for d in sorted(lines):
+                spans = [*spans, []] if last is None or d - last > 8 else spans
+                spans[-1] += lines[d]
+                last = d
+            for span in spans:
+                grams = len(bodies[t]) - 3
+                first, end = min(a for a, _ in span), max(a for a, _ in span) + 3
+                if len({p for _, p in span}) / grams >= 0.6 and end - first + 1 <= 1.5 * (grams + 3):
+                    want.add((first, end, f"label-{t}"))
+        assert {(s["first"], s["last"], s["label"]) for s in found[i].spans or []} == want
+    assert [bool(found[i].spans) for i in range(9)] == [True, True, True, True, False, False, False, True, True] and len(found[8].spans) == 2
