@@ -15,7 +15,7 @@ from .matrix import SparseMatrix, chain_product
 from .operators import access, checks
 from .plans import deal, fill, work
 from .shared import shared_path
-from .sources import matrix_market, storage, tables, tuples
+from .sources import clustered, log, matrix_market, storage, tables, tuples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -347,6 +347,34 @@ def set_elements_bulk(spark, d):
     return cells(a.set_many(b.df).df)
 
 
+@_query(
+    _with("sp", "spr", "spn")
+    + """SELECT sp.r AS row_id, sp.c AS col_id, coalesce(spn.v, spr.v * 2, sp.v) AS val FROM sp
+    LEFT JOIN spr ON sp.r = spr.r AND sp.c = spr.c LEFT JOIN spn ON sp.r = spn.r AND sp.c = spn.c WHERE coalesce(spn.v, spr.v * 2, sp.v) % 7 <> 0"""
+)
+def set_elements_logged(spark, d):
+    """Three batches of writes to a log, the last of which deletes; runs are compacted two to one."""
+    m, (r, n) = tables.supplier_part(spark, d), _sides(spark, d)
+    kept = log.MatrixLog.create(m, shared_path(spark, "matrix-log"), fanout=2)
+    kept = kept.append(r.df.withColumn("val", F.col("val") * 2)).append(n.df)
+    gone = kept.matrix().df.where("val % 7 = 0").withColumn("val", F.lit(0).cast("long"))
+    return cells(kept.append(gone, drop_zeros=True).matrix().df)
+
+
+@_query(
+    _with("sp", "spr")
+    + """SELECT 0 AS version, r AS row_id, c AS col_id, v AS val FROM sp WHERE r = 3
+    UNION ALL SELECT 1, sp.r, sp.c, coalesce(-spr.v, sp.v) FROM sp LEFT JOIN spr ON sp.r = spr.r AND sp.c = spr.c WHERE sp.r = 3"""
+)
+def log_versions(spark, d):
+    """A row of the matrix before and after a batch of writes."""
+    m, (r, _) = tables.supplier_part(spark, d), _sides(spark, d)
+    path = shared_path(spark, "matrix-log")
+    log.MatrixLog.create(m, path).append(r.df.withColumn("val", -F.col("val")))
+    rows = [cells(log.MatrixLog.open(spark, path, v).matrix().df.where("row = 3")).select(F.lit(v).alias("version"), "*") for v in (0, 1)]
+    return rows[0].union(rows[1])
+
+
 @_query(_with("nn") + "SELECT 1 AS row_id, 2 AS col_id, (SELECT v FROM nn WHERE r = 1 AND c = 2) AS previous")
 def set_element_previous(spark, d):
     before = tables.nation_nation(spark, d).set(1, 2, 77)[1]
@@ -369,6 +397,20 @@ def iter_nth(spark, d):
     return spark.createDataFrame([tables.order_part(spark, d).nth(100)], "row_id bigint, col_id bigint, val bigint")
 
 
+@_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val, pos FROM (SELECT *, row_number() OVER (ORDER BY r, c) - 1 AS pos FROM op) WHERE pos >= 1000 AND pos < 1500")
+def iter_slice(spark, d):
+    """Entries by their positions, from the files that hold them."""
+    stored = clustered.Clustered.save(tables.order_part(spark, d), shared_path(spark, "clustered"), file_entries=20_000)
+    return stored.slice(1000, 1500).select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), "val", "pos")
+
+
+@_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val FROM op WHERE r >= 200 AND r < 1100 AND c >= 30 AND c < 150")
+def get_rectangle(spark, d):
+    """A rectangle of a matrix that is stored in z-order."""
+    stored = clustered.Clustered.save(tables.order_part(spark, d), shared_path(spark, "clustered"), order="z", file_entries=20_000)
+    return cells(stored.rectangle((200, 1100), (30, 150)))
+
+
 @_query(_with("sp") + "SELECT (SELECT count(*) FROM supplier) AS n_rows, (SELECT count(*) FROM part) AS n_cols, (SELECT count(*) FROM sp) AS nnz")
 def nnz_shape(spark, d):
     m = tables.supplier_part(spark, d)
