@@ -386,6 +386,20 @@ def iter_order(spark, d):
     return tables.supplier_part(spark, d).ranked().select(F.col("row").alias("row_id"), F.col("col").alias("col_id"), "val", "pos")
 
 
+@_query(_with("nn") + "SELECT row_number() OVER (ORDER BY r, c) - 1 AS step, r AS row_id, c AS col_id, v AS val FROM nn")
+def iter_consuming(spark, d):
+    """The entries as an iterator hands them out, one after the other; the matrix has a cell for each pair of nations."""
+    found = [(n, *entry) for n, entry in enumerate(tables.nation_nation(spark, d))]
+    return spark.createDataFrame(found, "step bigint, row_id bigint, col_id bigint, val bigint")
+
+
+@_query(_with("nn") + "SELECT row_number() OVER (ORDER BY r DESC, c DESC) - 1 AS step, r AS row_id, c AS col_id, v AS val FROM nn")
+def iter_consuming_reverse(spark, d):
+    """The same from the end."""
+    found = [(n, *entry) for n, entry in enumerate(reversed(tables.nation_nation(spark, d)))]
+    return spark.createDataFrame(found, "step bigint, row_id bigint, col_id bigint, val bigint")
+
+
 @_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val, row_number() OVER (ORDER BY r DESC, c DESC) - 1 AS pos FROM op")
 def iter_reverse(spark, d):
     m = tables.order_part(spark, d)
@@ -833,13 +847,13 @@ _FLAGS = ("A", "N", "R")
     SELECT a.r AS row_id, b.c AS col_id, CAST(sum(a.v * b.v) AS BIGINT) AS val FROM nn a JOIN nn b ON a.flag = b.flag AND a.c = b.r GROUP BY a.flag, 1, 2"""
 )
 def mm_folder_squares(spark, d):
-    """The squares of all files of a folder, which has one for each return flag."""
+    """The squares of all files of a folder, which has one for each return flag, by one scan and one product for all."""
     folder = shared_path(spark, "matrix-market")
     for flag in _FLAGS:
         m = tables.nation_nation(spark, d, flag)
         head = spark.createDataFrame([(-2, -1, "%%MatrixMarket matrix coordinate integer general"), (-1, -1, f"{m.rows()} {m.cols()} {m.nnz()}")], "row bigint, col bigint, line string")
         head.union(matrix_market.entry_lines(m)).coalesce(1).sortWithinPartitions("row", "col").select("line").write.mode("append").text(folder)
-    return reduce(DataFrame.union, [cells(m.squared().df) for _, m in matrix_market.read_folder(spark, folder)])
+    return cells(matrix_market.read_corpus(spark, folder)["integer"].squares())
 
 
 @_query(
@@ -877,6 +891,27 @@ def mm_errors(spark, d):
     return spark.createDataFrame(list(cases.items()), "what string, raised boolean")
 
 
+@_query(
+    _with("nn")
+    + """SELECT kind, kind <> 'integer general' AND kind <> 'integer symmetric' AS refused FROM (SELECT unnest(['integer general', 'integer symmetric',
+    'pattern general', 'integer skew-symmetric', 'complex hermitian']) AS kind) WHERE (SELECT count(*) FROM nn) > 0"""
+)
+def mm_unsupported(spark, d):
+    """Which kinds of files are refused, by their headers: those without values, and the symmetries that change signs."""
+    m = tables.nation_nation(spark, d)
+
+    def refused(kind: str) -> bool:
+        lines = m.df.select(_line(_I, _J, _V), F.col("row").alias("o"), F.col("col").alias("p"))
+        try:
+            matrix_market.read(spark, _file(spark, lines, kind, f"{m.rows()} {m.cols()} {m.nnz()}"))
+        except MatrixError:
+            return True
+        return False
+
+    kinds = ("integer general", "integer symmetric", "pattern general", "integer skew-symmetric", "complex hermitian")
+    return spark.createDataFrame([(k, refused(k)) for k in kinds], "kind string, refused boolean")
+
+
 _E = "left(v::VARCHAR, 1) || CASE WHEN len(rtrim(v::VARCHAR, '0')) > 1 THEN '.' || substr(rtrim(v::VARCHAR, '0'), 2) ELSE '' END || 'e' || (len(v::VARCHAR) - 1)"
 
 

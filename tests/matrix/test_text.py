@@ -1,5 +1,6 @@
 import pytest
 
+from rowmesh import errors
 from rowmesh.errors import MatrixMarketError, TupleTextError, ZeroDimensionError
 from rowmesh.functions.kinds import COMPLEX, DOUBLE, INT64
 from rowmesh.sources import generate, matrix_market, tuples
@@ -90,3 +91,44 @@ def test_folder_of_files(spark, tmp_path):
     (tmp_path / "a.mtx").write_text(TOP + "real symmetric\n2 2 2\n1 1 .5\n2 1 2\n")
     found = [(p.rsplit("/", 1)[1], m.kind, list(m.squared())) for p, m in matrix_market.read_folder(spark, str(tmp_path))]
     assert found == [("a.mtx", DOUBLE, [(0, 0, 4.25), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 4.0)]), ("b.mtx", INT64, [(0, 0, 12), (1, 1, 12)])]
+
+
+def test_a_folder_is_read_by_one_scan_like_file_by_file(spark, tmp_path):
+    head = "%%MatrixMarket matrix coordinate"
+    files = {
+        "a.mtx": f"{head} integer general\n% note\n3 3 4\n1 1 5\n2 3 -7\n2 3 0\n3 1 9\n3 1 8\n",
+        "b.mtx": f"{head} integer symmetric\n2 2 2\n2 1 4\n2 2 1\n",
+        "c.mtx": f"{head} real general\n2 4 2\n1 4 .5e1\n2 1 -inf\n",
+        "d.mtx": f"{head} complex symmetric\n3 3 2\n3 1 1 -2\n2 2 0 1e0\n",
+        "e.mtx": f"{head} integer general\n5 5 0\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    found = matrix_market.read_corpus(spark, str(tmp_path))
+    assert [found[f].shapes.count() for f in ("integer", "real", "complex")] == [3, 1, 1]
+    for path, alone in matrix_market.read_folder(spark, str(tmp_path)):
+        field = {"c.mtx": "real", "d.mtx": "complex"}.get(path.rsplit("/", 1)[1], "integer")
+        file = next(r["file"] for r in found[field].shapes.collect() if r["file"].rsplit("/", 1)[1] == path.rsplit("/", 1)[1])
+        assert found[field].matrix(file).same_structure(alone)
+    squares = found["integer"].squares().collect()
+    for path, alone in matrix_market.read_folder(spark, str(tmp_path)):
+        if path.rsplit("/", 1)[1] in ("a.mtx", "b.mtx", "e.mtx"):
+            assert {(r["row"], r["col"]): r["val"] for r in squares if r["file"].endswith(path.rsplit("/", 1)[1])} == {(i, j): v for i, j, v in alone.squared()}
+    with pytest.raises(errors.ProductMismatch):
+        found["real"].squares()
+
+
+@pytest.mark.parametrize("text,error", [("nothing", "header"), ("pattern", "unsupported"), ("size", "size line"), ("zero", "at least one"), ("line", "malformed line: 1 x 3"), ("bounds", "outside"), ("square", "square")])
+def test_a_bad_file_in_a_folder_is_named(spark, tmp_path, text, error):
+    head = "%%MatrixMarket matrix coordinate"
+    bad = {
+        "nothing": "1 1 1\n", "pattern": f"{head} pattern general\n1 1 1\n1 1\n", "size": f"{head} integer general\n% only\n", "zero": f"{head} integer general\n0 2 0\n",
+        "line": f"{head} integer general\n2 2 2\n1 1 3\n1 x 3\n2 2 2\n", "bounds": f"{head} integer general\n2 2 1\n3 1 3\n", "square": f"{head} integer symmetric\n2 3 1\n1 1 3\n",
+    }
+    (tmp_path / "good.mtx").write_text(f"{head} integer general\n2 2 1\n1 1 3\n")
+    (tmp_path / "other.mtx").write_text(bad[text])
+    with pytest.raises(errors.MatrixMarketError, match=error):
+        matrix_market.read_corpus(spark, str(tmp_path))
+    if text == "line":
+        found = matrix_market.read_corpus(spark, str(tmp_path), compat=True)["integer"]
+        assert sorted(r["val"] for r in found.entries.collect()) == [3, 3]
