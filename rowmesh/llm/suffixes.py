@@ -1,23 +1,24 @@
 """Repeated byte strings by a suffix array of the collection, built column by column.
 
 Spark brings together what can be equal. Every string of ``LEAST`` bytes, a *window*, picks the smallest hash among its
-``GRAM``-byte substrings as its anchor (the rightmost of equals), so equal windows pick equal anchors. Neighbouring windows
-with one anchor are a *piece* of text; pieces whose anchor stands once in the corpus hold no repeat and go no further.
-Equal pieces are counted and kept once, and all pieces of one anchor meet in one task.
-
-There the Burrows-Wheeler transform and the common prefixes of a collection of pieces are built from the right: each round
-inserts one symbol of every piece, in front of the suffix inserted before. The columns (preceding symbol, common prefix with
-the suffix above, suffix) are sequential files, read once for the ranks and written once for the merge in each round, block
-by block. At the end, suffixes that share ``LEAST`` bytes are neighbours, and their windows are repeated.
-
-Equal texts are kept once with their number of copies; of these, every window is repeated. An anchor with very many
-different pieces is not left to one task: its windows are counted by their hashes, spread over all tasks.
+``GRAM``-byte substrings as its anchor (the rightmost of equals), so equal windows pick equal anchors at equal places.
+Neighbouring windows with one anchor are a *piece* of text; pieces whose anchor stands once in the corpus hold no repeat and
+go no further. Equal pieces are counted and kept once, and all pieces of one anchor meet in one task.
+
+There they are aligned at the anchor and sorted column by column, from the right: each round puts one symbol of every piece
+in front of its suffix, and one stable sort by that symbol turns the order of the suffixes, which is the column of the
+collection's Burrows-Wheeler transform, and their common prefixes into those of the next column. Suffixes that share
+``LEAST`` bytes are neighbours then, and their windows are repeated. As equal windows stand in one column, suffixes of other
+columns need not stay in the order: a round takes time for the pieces, not for all suffixes so far.
+
+Texts that have copies are kept once with their number; of these, every window is repeated. An anchor with very many
+different pieces is not left to one task: its windows are counted by their hashes, spread over all tasks. Whole texts are
+never stored again, only the pieces whose anchor is repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
@@ -31,25 +32,25 @@ from . import common
 
 LEAST = 200
 GRAM = 64
-#: Bytes that are hashed together, at most 2 ** 21 with what overlaps.
-BUFFER = 1 << 20
+#: Bytes that are hashed together; with what overlaps, less than 2 ** 21.
+BUFFER = 1 << 17
 #: Different pieces of one anchor that may meet in a task.
-PIECES = 4096
-#: Bytes of a collection, of the pieces of a task, and entries of a file's block.
+PIECES = 20_000
+#: Bytes of the pieces that are sorted together, and of those of a task.
 COLLECTION_BYTES = 1 << 20
-TASK_BYTES = 4 << 20
-BLOCK = 1 << 18
-#: A table of at most so many bytes is broadcast to the texts; a larger one is joined by a shuffle.
+TASK_BYTES = 8 << 20
+#: A table of keys of at most so many bytes is broadcast; a larger one is joined by a shuffle, as texts always are.
 BROADCAST_BYTES = 64 << 20
+#: Of a row of it, as a broadcast holds it.
+KEY_BYTES = 48
 ROOT = 0x9E3779B97F4A7C15
 LOW = (1 << 21) - 1
-FAR = np.uint16(65535)
 
 
 @lru_cache(1)
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64, and a random number for each byte."""
-    n = LOW + 1
+    n = 4 * BUFFER
     up, down = np.full(n, ROOT, np.uint64), np.full(n, pow(ROOT, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down), np.random.default_rng(0).integers(0, 1 << 64, 256, np.uint64)
@@ -78,8 +79,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def pieces_of(data: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, anchor hash) of the pieces of texts that stand one behind the other and end at ``ends``."""
+def pieces_of(data: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, place of the anchor in the piece, its hash) of the pieces of texts that stand one behind the other and end at ``ends``."""
     n = len(data) - least + 1
     h = gram_hashes(data, gram)
     order = (h & np.uint64(~LOW & 0xFFFFFFFFFFFFFFFF)) | (np.uint64(LOW) - np.arange(len(h), dtype=np.uint64))
@@ -90,7 +91,7 @@ def pieces_of(data: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tupl
     new = np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])]
     first = start[inside & np.r_[True, new[1:] | ~inside[:-1]]]
     count = np.diff(np.r_[np.flatnonzero(new[inside] | np.r_[True, np.diff(start[inside]) > 1]), inside.sum()])
-    return first, count, h[at[first]].view(np.int64)
+    return first, count, at[first].astype(np.int64) - first, h[at[first]].view(np.int64)
 
 
 def _anchors(least: int, gram: int):
@@ -98,19 +99,20 @@ def _anchors(least: int, gram: int):
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
-            ends = np.cumsum([len(x) for _, _, x in held])
-            first, count, anchor = pieces_of(data, ends, least, gram)
+            data = np.frombuffer(b"".join(x for *_, x in held), np.uint8)
+            ends = np.cumsum([len(x) for *_, x in held])
+            first, count, place, anchor = pieces_of(data, ends, least, gram)
             text = np.searchsorted(ends, first, "right")
-            uid, base, starts = np.array([u for u, _, _ in held]), np.array([b for _, b, _ in held]), np.r_[0, ends]
-            return pa.RecordBatch.from_arrays([pa.array(uid[text]), pa.array((base[text] + first - starts[text]) << 8 | (count - 1)), pa.array(anchor)], ["uid", "at", "anchor"])
+            ta, tb, base = (np.array(column)[text] for column in list(zip(*held, strict=True))[:3])
+            at = (base + first - np.r_[0, ends][text]) << 16 | place << 8 | (count - 1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ta, tb, at, anchor)], ["ta", "tb", "at", "anchor"])
 
         for batch in batches:
-            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for ta, tb, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = memoryview(text.as_buffer())
                 for base in range(0, len(text) - least + 1, BUFFER):  # windows that start in this stretch
-                    held.append((uid, base, text[base : base + BUFFER + least - 1]))
-                    size += len(held[-1][2])
+                    held.append((ta, tb, base, text[base : base + BUFFER + least - 1]))
+                    size += len(held[-1][3])
                     if size >= BUFFER // 2:
                         yield out()
                         held, size = [], 0
@@ -120,159 +122,52 @@ def _anchors(least: int, gram: int):
     return run
 
 
-class Column:
-    """A sequence of numbers in an anonymous file of the task, read and written from its start to its end."""
-
-    def __init__(self, kind: str):
-        self.kind, self.file, self.length = np.dtype(kind), tempfile.TemporaryFile(), 0
-
-    def append(self, values: np.ndarray) -> None:
-        self.file.write(np.ascontiguousarray(values, self.kind))
-        self.length += len(values)
-
-    def blocks(self, size: int) -> Iterator[np.ndarray]:
-        self.file.seek(0)
-        for start in range(0, self.length, size):
-            n = min(size, self.length - start)
-            yield np.frombuffer(self.file.read(n * self.kind.itemsize), self.kind)
-
-    def close(self) -> None:
-        self.file.close()
-
-
-class Collection:
-    """The transform of a collection of strings: ``before`` (symbol in front of each suffix, 0 for none), ``common`` (bytes
-    shared with the suffix above, ``cap`` at most) and ``suffix`` (string and length), in the order of suffixes."""
-
-    def __init__(self, strings: list[bytes], cap: int, block: int = BLOCK):
-        self.cap, self.block, self.m = cap, block, len(strings)
-        self.length = np.array([len(s) for s in strings], np.int64)
-        self.end = np.cumsum(self.length)
-        data = np.frombuffer(b"".join(strings), np.uint8)
-        used = np.flatnonzero(np.bincount(data, minlength=256))
-        code = np.zeros(256, np.uint16)
-        code[used] = np.arange(1, len(used) + 1)
-        self.text, self.symbols = code[data], len(used) + 1
-        self.kind = "u1" if self.symbols <= 256 else "u2"
-        self.wide = int(self.length.max(initial=0)) + 1
-        self.total = np.zeros(self.symbols, np.int64)
-        first = self._symbol(np.arange(self.m), 0)
-        self.columns = self._columns()
-        for column, values in zip(self.columns, (first, np.zeros(self.m), np.arange(self.m) * self.wide), strict=True):
-            column.append(values)
-        self.total += np.bincount(first, minlength=self.symbols)
-        going = np.flatnonzero(first)
-        self.at, self.string = going, going
-
-    def _columns(self) -> tuple[Column, Column, Column]:
-        return Column(self.kind), Column("u2"), Column("u8")
-
-    def _symbol(self, string: np.ndarray, done: int) -> np.ndarray:
-        """The symbol in front of each string's suffix of ``done`` bytes."""
-        left = self.length[string] > done
-        return np.where(left, self.text[np.where(left, self.end[string] - done - 1, 0)] if len(self.text) else 0, 0)
-
-    def build(self) -> Collection:
-        for done in range(1, self.wide):
-            self._insert(done)
-        return self
-
-    def _ranks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the suffixes that come next: place among all, bytes shared with the one above, and with the one below (or
-        FAR, where none starts with the same symbol). One pass over the files."""
-        base = self.m + np.r_[0, 0, np.cumsum(self.total[1:])[:-1]] if self.symbols > 1 else np.zeros(1, np.int64)
-        seen, running = np.zeros(self.symbols, np.int64), np.full(self.symbols, FAR)
-        waiting, so_far = np.full(self.symbols, -1), np.full(self.symbols, FAR)
-        place, above, below = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.uint16), np.full(len(self.at), FAR)
-        some, start = np.zeros(len(self.at), bool), 0
-        for b, shared in zip(self.columns[0].blocks(self.block), self.columns[1].blocks(self.block), strict=True):
-            lo, hi = np.searchsorted(self.at, (start, start + len(b)))
-            p, each = self.at[lo:hi] - start, np.arange(lo, hi)
-            order = np.argsort(b, kind="stable")
-            count = np.bincount(b, minlength=self.symbols)
-            first = np.cumsum(count) - count
-            rank = np.empty(len(b), np.int64)
-            rank[order] = np.arange(len(b))
-            c, r = b[p], rank[p]
-            place[lo:hi] = base[c] + seen[c] + r - first[c]
-            padded = np.append(shared, FAR)
-            ahead, behind = np.minimum.accumulate(shared), np.append(np.minimum.accumulate(shared[::-1])[::-1], FAR)
-
-            def least(i: np.ndarray, j: np.ndarray, padded=padded) -> np.ndarray:
-                """The smallest of the entries behind i up to j."""
-                return np.minimum.reduceat(padded, np.stack([i + 1, j + 1], 1).ravel())[::2] if len(i) else padded[:0]
-
-            near = r > first[c]
-            some[lo:hi] = near | (seen[c] > 0)
-            above[each[near]] = least(order[r[near] - 1], p[near])
-            above[each[~near]] = np.minimum(running[c[~near]], ahead[p[~near]])
-            # suffixes of earlier blocks that wait for the next of their symbol
-            met = np.flatnonzero((waiting >= 0) & (count > 0))
-            below[waiting[met]] = np.minimum(so_far[met], ahead[order[first[met]]])
-            waiting[met] = -1
-            so_far = np.minimum(so_far, ahead[-1])
-            follows = r + 1 < first[c] + count[c]
-            below[each[follows]] = least(p[follows], order[r[follows] + 1])
-            waiting[c[~follows]] = each[~follows]
-            so_far[c[~follows]] = behind[p[~follows] + 1]
-            held = np.flatnonzero(count)
-            running = np.minimum(running, ahead[-1])
-            running[held] = behind[order[first[held] + count[held] - 1] + 1]
-            seen += count
-            start += len(b)
-        more = lambda x: np.where(x == FAR, FAR, np.minimum(x.astype(np.int64) + 1, self.cap))
-        return place, np.where(some, more(above), 0), more(below)
-
-    def _insert(self, done: int) -> None:
-        """Insert the suffixes of ``done`` bytes, by one more pass over the files."""
-        place, above, below = self._ranks()
-        order = np.argsort(place)
-        place, string, above, below = place[order], self.string[order], above[order], below[order]
-        symbol = self._symbol(string, done)
-        fresh = (symbol, above, string * self.wide + done)
-        into = place - np.arange(len(place))  # the entry before which each is put
-        last = np.r_[into[1:] != into[:-1], True] & (below != FAR)
-        written, start = self._columns(), 0
-        sizes = [min(self.block, self.columns[0].length - i) for i in range(0, self.columns[0].length, self.block)]
-        for k, blocks in enumerate(zip(*(c.blocks(self.block) for c in self.columns), strict=True)):
-            n = sizes[k]
-            lo, hi = np.searchsorted(into, (start, start + n))
-            hi = len(into) if k == len(sizes) - 1 else hi
-            new = np.zeros(n + hi - lo, bool)
-            new[into[lo:hi] - start + np.arange(hi - lo)] = True
-            for i, (old, column, values) in enumerate(zip(blocks, written, fresh, strict=True)):
-                if i == 1:
-                    old = old.copy()
-                    changed = lo + np.flatnonzero(last[lo:hi] & (into[lo:hi] < start + n))
-                    old[into[changed] - start] = below[changed]
-                out = np.empty(len(new), column.kind)
-                out[new], out[~new] = values[lo:hi], old
-                column.append(out)
-            start += n
-        for column in self.columns:
-            column.close()
-        self.columns = written
-        self.total += np.bincount(symbol, minlength=self.symbols)
-        self.at, self.string = place[symbol > 0], string[symbol > 0]
-
-    def repeated(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(string, start) of every suffix that shares ``least`` bytes with a neighbour, and so with some other suffix."""
-        found, carry = [], (np.zeros(0, np.uint64), False)
-        for shared, suffix in zip(self.columns[1].blocks(self.block), self.columns[2].blocks(self.block), strict=True):
-            up = shared >= least
-            mine = up.copy()
-            mine[:-1] |= up[1:]
-            if up[0] and not carry[1]:
-                found.append(carry[0])
-            found.append(suffix[mine])
-            carry = (suffix[-1:], bool(mine[-1]))
-        code = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
-        string, length = code // self.wide, code % self.wide
-        return string, self.length[string] - length
-
-    def close(self) -> None:
-        for column in self.columns:
-            column.close()
+def columns(pieces: list[bytes], place: np.ndarray) -> tuple[np.ndarray, int]:
+    """The symbols of all pieces column by column, 0 for none, aligned so that place ``place[i]`` of piece i is in the
+    column that is returned too."""
+    length = np.array([len(s) for s in pieces])
+    left = int(place.max())
+    wide = left + int((length - place).max())
+    out = np.zeros((len(pieces), wide), np.uint16)
+    start = np.cumsum(length) - length
+    where = np.repeat(np.arange(len(pieces)) * wide + left - place - start, length) + np.arange(length.sum())
+    out.ravel()[where] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16) + 1
+    return np.ascontiguousarray(out.T), left
+
+
+def insert(symbols: np.ndarray, group: np.ndarray, order: np.ndarray, common_bytes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round: the order of the suffixes that start one column further left, and the bytes that each shares with the one
+    above it (``cap`` at most), from those of the suffixes behind.
+
+    ``symbols`` has one symbol for each piece, and ``group`` the ascending group of each place of the order; suffixes of
+    different groups share nothing, and those that have not begun or are over share nothing with any."""
+    symbol = symbols[order]
+    key = group * 257 + symbol
+    moved = np.argsort(key, kind="stable")
+    key, symbol = key[moved], symbol[moved]
+    shared = np.zeros(len(order), np.int32)
+    same = np.flatnonzero((key[1:] == key[:-1]) & (symbol[1:] > 0)) + 1
+    old, above = moved[same], moved[same - 1]
+    near = old == above + 1
+    shared[same[near]] = common_bytes[old[near]] + 1
+    if not near.all():  # of what lay between, all have other symbols; they share the least of it
+        ranges = np.stack([above[~near] + 1, old[~near] + 1], 1).ravel()
+        shared[same[~near]] = np.minimum.reduceat(np.append(common_bytes, 0), ranges)[::2] + 1
+    return order[moved], np.minimum(shared, cap)
+
+
+def repeated(pieces: list[bytes], place: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, start) of the windows of ``least`` bytes that another piece of the same group holds in the same column;
+    ``group`` ascends."""
+    symbols, left = columns(pieces, place)
+    order, shared = np.arange(len(pieces)), np.zeros(len(pieces), np.int32)
+    found = np.zeros((len(pieces), len(symbols)), bool)
+    for column in range(len(symbols) - 1, -1, -1):
+        order, shared = insert(symbols[column], group, order, shared, least)
+        hit = np.flatnonzero(shared >= least)
+        found[order[hit], column] = found[order[hit - 1], column] = True
+    piece, column = np.nonzero(found)
+    return piece, column - (left - place[piece])
 
 
 def stretches(places: np.ndarray) -> list[tuple[int, int]]:
@@ -288,60 +183,41 @@ RANGES = "array<struct<first:bigint,n:bigint>>"
 RANGES_ARROW = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
 
 
-def _compared(least: int, collection_bytes: int, block: int):
+def _compared(least: int, collection_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, anchor = [], 0, None
 
         def out() -> pa.RecordBatch:
-            built = Collection([s for _, _, s, _ in held], least, block).build()
-            string, start = built.repeated(least)
-            built.close()
-            order = np.lexsort((start, string))
-            string, start = string[order], start[order]
-            bounds = np.searchsorted(string, np.arange(len(held) + 1))
-            found = []
-            for i, (a, b, s, copies) in enumerate(held):
-                ranges = [(0, len(s) - least + 1)] if copies > 1 else stretches(start[bounds[i] : bounds[i + 1]])
-                if ranges:
-                    found.append((a, b, [{"first": x, "n": n} for x, n in ranges]))
-            sa, sb, ranges = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(ranges, RANGES_ARROW)], ["sa", "sb", "ranges"])
+            _, sa, sb, place, pieces, copies = zip(*held, strict=True)
+            group = np.cumsum([i > 0 and held[i][0] != held[i - 1][0] for i in range(len(held))])
+            piece, start = repeated(pieces, np.array(place), group, least)
+            bounds = np.searchsorted(piece, np.arange(len(held) + 1))
+            ranges = [[(0, len(s) - least + 1)] if n > 1 else stretches(start[bounds[i] : bounds[i + 1]]) for i, (s, n) in enumerate(zip(pieces, copies, strict=True))]
+            some = [i for i, r in enumerate(ranges) if r]
+            listed = [[{"first": x, "n": n} for x, n in ranges[i]] for i in some]
+            return pa.RecordBatch.from_arrays([pa.array([sa[i] for i in some], pa.int64()), pa.array([sb[i] for i in some], pa.int64()), pa.array(listed, RANGES_ARROW)], ["sa", "sb", "ranges"])
 
         for batch in batches:
-            for key, a, b, s, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= collection_bytes and key != anchor:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= collection_bytes and row[0] != anchor:
                     yield out()
                     held, size = [], 0
-                held.append((a, b, s, copies))
-                size, anchor = size + len(s), key
+                held.append(row)
+                size, anchor = size + len(row[4]), row[0]
         if held:
             yield out()
 
     return run
 
 
-def _cut_out(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uid, text, copies, pieces in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("copies").to_pylist(), batch.column("pieces"), strict=True):
-                text = memoryview(text.as_buffer())
-                at, anchor = (pieces.values.field(i) for i in (0, 1))
-                first = at.to_numpy() >> 8
-                ends = first + (at.to_numpy() & 255) + least
-                n = len(first)
-                cut = pa.array([text[i:j] for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, uid)), pa.array(first), anchor, cut, pa.array(np.full(n, copies))], ["uid", "first", "anchor", "s", "copies"])
-
-    return run
-
-
 def _settled(least: int):
     """What is left of each text without the bytes of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ta, tb, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb", "text", "windows")), strict=True):
+            for ta, tb, text, ranges in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), batch.column("text"), batch.column("windows"), strict=True):
+                text, ranges = memoryview(text.as_buffer()), ranges.as_py()
                 spans: list[list[int]] = []
                 for r in ranges:
                     end = r["first"] + r["n"] - 1 + least
@@ -361,51 +237,57 @@ def _settled(least: int):
     return run
 
 
-def _sized(small: DataFrame, row_bytes: int, rows: int) -> DataFrame:
-    """``small``, marked for a broadcast if its ``rows`` of so many bytes are few enough."""
-    return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
+def _sized(small: DataFrame) -> DataFrame:
+    """``small``, marked for a broadcast if its rows are few enough; needs a count."""
+    return F.broadcast(small) if small.count() * KEY_BYTES <= BROADCAST_BYTES else small
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, pieces: int = PIECES, collection_bytes: int = COLLECTION_BYTES, block: int = BLOCK) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, pieces: int = PIECES, collection_bytes: int = COLLECTION_BYTES) -> DataFrame:
     """(id, n_bytes, spans, kept_sha256) of each row: spans (first, n) are the runs of bytes that lie in a string of
     ``least`` bytes which also starts anywhere else in the table, and kept_sha256 is the digest of the others.
 
     Strings are judged on the table as it is, in bytes of UTF-8, and never cross rows. Null texts are empty; texts of fewer
     bytes than ``least`` keep all. Equal texts lose everything if they are long enough; rows that repeat are equal texts,
     whatever their ids. An empty table gives an empty result; further columns are ignored."""
-    if not (1 <= gram <= least and least - gram < 255 and least < FAR):
+    if not (1 <= gram <= least and least - gram < 255):
         raise ValueError("windows pick their anchors from 1 to 255 substrings")
+    key = ["ta", "tb"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("ta"), F.xxhash64(F.lit("text"), "text").alias("tb"), F.octet_length("text").cast("long").alias("n_bytes"))
-    facts = common.stored(rows.select("id", "ta", "tb", "n_bytes", F.sha2("text", 256).alias("whole")), "text-digests")
-    texts = rows.where(F.col("n_bytes") >= least).groupBy("ta", "tb").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts = common.stored(texts.withColumn("uid", F.monotonically_increasing_id()), "distinct-texts")
-    anchors = common.stored(texts.select("uid", "text").mapInArrow(_anchors(least, gram), "uid bigint, at bigint, anchor bigint"), "anchors")
+    facts = common.stored(rows.select("id", *key, "n_bytes", F.sha2("text", 256).alias("whole")), "text-digests")
+    rows = rows.where(F.col("n_bytes") >= least)
+    copied = facts.where(F.col("n_bytes") >= least).groupBy(*key).agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).where("copies > 1")
+    copied = common.stored(copied, "copied-texts")
+    some = _sized(copied.select(*key, "copies"))
+    once = rows.join(some, key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")).join(some, key)
+    once = common.stored(once.select(*key, "text", "copies"), "copied-once")
+    texts = rows.join(some, key, "left_anti").select(*key, "text", F.lit(1).cast("long").alias("copies")).union(once)
+    anchors = common.stored(texts.select(*key, "text").mapInArrow(_anchors(least, gram), "ta bigint, tb bigint, at bigint, anchor bigint"), "anchors")
     again = common.stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
-    wanted = common.stored(anchors.join(again, "anchor"), "candidate-pieces")
-    lists = wanted.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "anchor"))).alias("pieces"))
-    lists = _sized(common.stored(lists, "pieces-by-text"), 24, wanted.count())
-    cut = texts.select("uid", "text", "copies").join(lists, "uid").mapInArrow(_cut_out(least), "uid bigint, first bigint, anchor bigint, s binary, copies bigint")
+    wanted = anchors.join(_sized(again), "anchor")
+    lists = common.stored(wanted.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "anchor"))).alias("pieces")), "pieces-by-text")
+    cut = texts.join(lists.hint("merge"), key).select(*key, "copies", "text", F.inline("pieces"))
+    base, windows = F.shiftright("at", 16).alias("base"), F.col("at").bitwiseAND(255) + least
+    cut = cut.select(*key, "copies", base, F.shiftright("at", 8).bitwiseAND(255).alias("place"), "anchor", F.substring("text", (base + 1).cast("int"), windows.cast("int")).alias("s"))
     cut = common.stored(cut.select("*", F.xxhash64("s").alias("sa"), F.xxhash64(F.lit("piece"), "s").alias("sb")), "pieces")
-    strings = cut.groupBy("sa", "sb").agg(F.first("anchor").alias("anchor"), F.first("s").alias("s"), F.sum("copies").alias("copies"))
-    strings = common.stored(strings, "distinct-pieces")
-    crowded = common.stored(strings.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > pieces).select("anchor"), "crowded-anchors")
-    few = strings.join(crowded, "anchor", "left_anti").select("anchor", "sa", "sb", "s", "copies")
-    size = strings.agg(F.sum(F.octet_length("s"))).first()[0] or 0
-    few = few.repartition(max(1, ceil(size / TASK_BYTES)), "anchor").sortWithinPartitions("anchor", "sa", "sb")
-    found = few.mapInArrow(_compared(least, collection_bytes, block), f"sa bigint, sb bigint, ranges {RANGES}")
-    if not crowded.isEmpty():
-        found = found.union(_by_hash(strings.join(crowded, "anchor"), least))
-    found = common.stored(found, "repeated-windows")
-    hits = cut.select("uid", F.col("first").alias("base"), "sa", "sb").join(found, ["sa", "sb"]).select("uid", "base", F.inline("ranges"))
-    hits = hits.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct((F.col("base") + F.col("first")).alias("first"), "n"))).alias("windows"))
-    hits = common.stored(hits, "windows-by-text")
-    total = hits.agg(F.sum(F.size("windows"))).first()[0] or 0
-    left = texts.where("copies = 1").select("uid", "ta", "tb", "text").join(_sized(hits, 24, total), "uid").mapInArrow(_settled(least), f"ta bigint, tb bigint, spans {RANGES}, kept_sha256 string")
-    gone = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.octet_length("text").cast("long").alias("n")))
-    left = left.union(texts.where("copies > 1").select("ta", "tb", gone.alias("spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256")))
+    kinds = cut.groupBy("anchor", "sa", "sb").agg(F.first(F.octet_length("s")).alias("bytes")).groupBy("anchor").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    kinds = common.stored(kinds, "pieces-by-anchor")
+    size = kinds.agg(F.sum("bytes")).first()[0] or 0
+    crowded = common.stored(kinds.where(F.col("n") > pieces).select("anchor"), "crowded-anchors")
+    strings = cut.groupBy("sa", "sb").agg(F.first("anchor").alias("anchor"), F.first("place").alias("place"), F.first("s").alias("s"), F.sum("copies").alias("copies"))
+    none = crowded.isEmpty()
+    few = strings if none else strings.join(crowded, "anchor", "left_anti")
+    few = few.select("anchor", "sa", "sb", "place", "s", "copies").repartition(max(1, ceil(size / TASK_BYTES)), "anchor").sortWithinPartitions("anchor", "sa", "sb")
+    found = few.mapInArrow(_compared(least, collection_bytes), f"sa bigint, sb bigint, ranges {RANGES}")
+    found = common.stored(found if none else found.union(_by_hash(strings.join(crowded, "anchor"), least)), "repeated-windows")
+    hits = cut.select(*key, "base", "sa", "sb").join(found.hint("merge"), ["sa", "sb"]).select(*key, "base", F.inline("ranges"))
+    hits = hits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((F.col("base") + F.col("first")).alias("first"), "n"))).alias("windows"))
+    hits = common.stored(hits.join(some, key, "left_anti"), "windows-by-text")
+    left = rows.select(*key, "text").join(hits.hint("merge"), key).mapInArrow(_settled(least), f"ta bigint, tb bigint, spans {RANGES}, kept_sha256 string")
+    gone = F.array(F.struct(F.lit(0).cast("long").alias("first"), "n_bytes").cast("struct<first:bigint,n:bigint>"))
+    left = left.union(copied.select(*key, gone.alias("spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256")))
     left = common.stored(left, "texts-left")
-    return facts.join(left, ["ta", "tb"], "left").select("id", "n_bytes", F.coalesce("spans", F.array().cast(RANGES)).alias("spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return facts.join(left, key, "left").select("id", "n_bytes", F.coalesce("spans", F.array().cast(RANGES)).alias("spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def _by_hash(strings: DataFrame, least: int) -> DataFrame:

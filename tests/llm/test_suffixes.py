@@ -47,9 +47,9 @@ def rows():
     return made
 
 
-@pytest.mark.parametrize("how", [{"gram": 6}, {"gram": 1}, {"gram": 20}, {"gram": 5, "pieces": 3}, {"gram": 5, "pieces": 0}, {"gram": 8, "collection_bytes": 100, "block": 7}])
+@pytest.mark.parametrize("how", [{"gram": 6}, {"gram": 1}, {"gram": 20}, {"gram": 5, "pieces": 3}, {"gram": 5, "pieces": 0}, {"gram": 8, "collection_bytes": 100}])
 def test_like_counting_windows_in_memory(spark, rows, how):
-    """Whatever the anchors, the size of collections and file blocks, and with crowded anchors counted by hashes."""
+    """Whatever the anchors, the size of collections, and with crowded anchors counted by hashes."""
     assert got(spark.createDataFrame(rows, DOC), least=20, **how) == plain(rows, 20)
 
 
@@ -78,18 +78,34 @@ def test_clashing_columns_and_empty_tables(spark, rows):
         suffixes.repeats(df, least=300, gram=4)
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_collection_is_sorted_and_knows_its_common_prefixes(block):
-    """The column-wise construction against sorting all suffixes."""
-    rng = random.Random(block)
-    for _ in range(60):
+def test_columns_are_sorted_and_know_their_common_prefixes():
+    """Each round against sorting the suffixes of a column, group by group."""
+    rng = random.Random(5)
+    for _ in range(80):
         letters = rng.choice([b"ab", b"abc", bytes(range(256))])
-        base = bytes(rng.choice(letters) for _ in range(60))
-        strings = [base[i : i + rng.randrange(30)] + bytes(rng.choice(letters) for _ in range(rng.randrange(8))) for i in (rng.randrange(50) for _ in range(rng.randrange(1, 12)))]
-        built = suffixes.Collection(strings, 5, block).build()
-        code = np.concatenate(list(built.columns[2].blocks(10_000))).astype(int)
-        found = [strings[x // built.wide][len(strings[x // built.wide]) - x % built.wide :] for x in code]
-        assert found == sorted(s[i:] for s in strings for i in range(len(s) + 1))
-        shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        assert np.concatenate(list(built.columns[1].blocks(10_000))).tolist() == [0] + [min(5, shared(a, b)) for a, b in zip(found, found[1:], strict=False)]
-        built.close()
+        base = bytes(rng.choice(letters) for _ in range(40))
+        group = np.sort([rng.randrange(3) for _ in range(rng.randrange(1, 14))])
+        cuts = [(rng.randrange(20), rng.randrange(20, 40)) for _ in group]
+        pieces = [base[i:20] + bytes(rng.choice(letters) if rng.random() < 0.1 else x for x in base[20:j]) or b"x" for i, j in cuts]
+        place = np.array([min(20 - i, len(p) - 1) for (i, _), p in zip(cuts, pieces, strict=True)])
+        symbols, left = suffixes.columns(pieces, place)
+        order, shared = np.arange(len(pieces)), np.zeros(len(pieces), np.int32)
+        for column in range(len(symbols) - 1, -1, -1):
+            order, shared = suffixes.insert(symbols[column], group, order, shared, 6)
+            start = column - left + place  # of the suffix of each piece
+            there = [0 <= start[i] < len(pieces[i]) for i in order]
+            text = [pieces[i][start[i] :] if t else None for i, t in zip(order, there, strict=True)]
+            assert group[order].tolist() == group.tolist()
+            for k in range(1, len(order)):
+                x, y = text[k - 1], text[k]
+                if group[k] != group[k - 1] or x is None or y is None:
+                    assert shared[k] == 0
+                    continue
+                n = next((i for i, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
+                assert shared[k] == min(n, 6) and x[: n + 1] <= y[: n + 1]
+        found = set(zip(*(x.tolist() for x in suffixes.repeated(pieces, place, group, 6)), strict=True))
+        count = {}
+        for i, p in enumerate(pieces):
+            for j in range(len(p) - 5):
+                count.setdefault((group[i], j - place[i], p[j : j + 6]), []).append((i, j))
+        assert found == {w for ws in count.values() if len(ws) > 1 for w in ws}
