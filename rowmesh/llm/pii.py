@@ -10,7 +10,8 @@ however densely its type is filled. One entity has one surrogate everywhere, and
 A person is found by a title. Its name is replaced word by word, each word being an entity, so that ``Mr John Smith``,
 ``Dr Smith`` and ``John Smith`` stay one person. Words known from a titled mention are replaced wherever they stand in
 the same text. Words that lead names oftener than not get given names of the gender that their titles tell, others
-made-up family names, of the same script; titles stay.
+made-up family names, of the same script (Latin, Cyrillic or Greek; others become Latin); titles and small words such as
+``van der`` stay. Forms that differ in case alone, ``Weiß`` and ``WEISS``, are one.
 
 One scan finds what each text holds and stores it beside the text; all further steps read the few columns they need of
 that table. Only entities, and texts that hold some, are shuffled.
@@ -35,7 +36,9 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Mlle", "Madame", "Г-жа"),
     "n": ("Dr", "Prof"),
 }
-#: Given names by gender and script (latin, cyrillic).
+#: Small words within names, which stay.
+PARTICLES = ("van", "von", "der", "den", "de", "la", "las", "los", "del", "della", "di", "da", "dos", "das", "du", "le", "ten", "ter", "zu", "zum", "af", "av", "y", "e")
+#: Given names by gender and script (latin, cyrillic, greek).
 GIVEN = {
     ("m", "latin"): ("Adrian", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marco", "Nils", "Oscar", "Paul", "Simon"),
     ("f", "latin"): ("Alice", "Bianca", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Irene", "Julia", "Klara", "Laura", "Maria", "Nora", "Paula", "Sofia"),
@@ -43,19 +46,24 @@ GIVEN = {
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Григорий", "Денис", "Егор", "Иван", "Павел"),
     ("f", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Ольга"),
     ("n", "cyrillic"): ("Саша", "Женя", "Валя", "Слава"),
+    ("m", "greek"): ("Νίκος", "Γιώργος", "Πέτρος", "Ανδρέας", "Στέφανος", "Μάριος"),
+    ("f", "greek"): ("Σοφία", "Μαρία", "Άννα", "Ειρήνη", "Δήμητρα", "Χριστίνα"),
+    ("n", "greek"): ("Αλέξης", "Χάρις"),
 }
 #: Syllables of made-up family names.
 SYLLABLES = {
     "latin": ("ba", "be", "bo", "da", "del", "fa", "gar", "ha", "ka", "lan", "ma", "mer", "na", "nor", "pa", "ra", "sen", "ta", "ver", "zo"),
+    "greek": ("βα", "γε", "δη", "ζω", "θε", "κα", "λα", "μο", "να", "ξε", "πα", "ρη", "σα", "τι", "φο", "χα", "ψα", "λε", "μα", "νι"),
     "cyrillic": ("ба", "бо", "ва", "го", "да", "ка", "ла", "лен", "ма", "мо", "на", "но", "па", "ро", "са", "сен", "та", "то", "фа", "ша"),
 }
 
 _TITLE = "(?:" + "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True)) + ")"
+_SMALL = "(?:(?:" + "|".join(PARTICLES) + ") )*+"
 _NAME = rf"(?!{_TITLE}(?!\w))\p{{Lu}}(?:\p{{L}}+|['’]\p{{Lu}}\p{{L}}+)(?:['’-]\p{{L}}{{2,}})*+"
 #: Type and pattern, in order of precedence. What repeats without bound is a class of characters, on which no stack grows.
 PATTERNS = (
-    ("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"),
-    ("key", r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[opsu]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|[prs]k[_-](?:live_|test_|proj-)?[0-9A-Za-z]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![\w-])"),
+    ("email", r"(?<![\p{L}\w.%+-])[\p{L}\w.%+-]+@[\p{L}0-9-][\p{L}0-9.-]*\.\p{L}{2,}"),
+    ("key", r"(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|AIza[\w-]{35}|gh[opsu]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|hf_[0-9A-Za-z]{30,}|[prs]k[_-](?:live_|test_|proj-)?[0-9A-Za-z]{20,}|[prs]k[_-](?=[a-z_-]*[0-9A-Z])(?=[A-Za-z_-]*\d)[0-9A-Za-z][0-9A-Za-z_-]{23,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![\w-])"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<![\w+.-])(?:\(\d{3}\) ?\d{3}[ .-]|\d{3}-\d{3}-|\d{3}\.\d{3}\.)\d{4}(?![\w-]|\.\d)"),
     ("secret", r"(?<![\w])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"),
@@ -65,12 +73,12 @@ PATTERNS = (
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
 )
 NUMBERS = "|".join(p for _, p in PATTERNS)
-TITLED = rf"(?<!\w){_TITLE}\.? {_NAME}(?: {_NAME})?"
+TITLED = rf"(?<!\w){_TITLE}\.? {_SMALL}{_NAME}(?: {_SMALL}{_NAME})?"
 ANY = f"{NUMBERS}|{TITLED}"
 #: A text without any of this holds no entity; one quick look.
-HINT = rf"[0-9@]|(?:[prs]k|gh[opsu])[_-]|xox|eyJ|AKIA|AIza|{_TITLE}\.? "
+HINT = rf"[0-9@]|(?:[prs]k|gh[opsu])[_-]|xox|eyJ|hf_|A[KS]IA|AIza|{_TITLE}\.? "
 #: What a key starts with, which its surrogate keeps.
-KEY_START = r"^(AKIA|AIza|gh[opsu]_|xox[abprs]-|[prs]k[_-](?:live_|test_|proj-)?|eyJ)"
+KEY_START = r"^(A[KS]IA|AIza|hf_|gh[opsu]_|xox[abprs]-|[prs]k[_-](?:live_|test_|proj-|ant-(?:api\d\d-)?)?|eyJ)"
 
 
 def type_of(raw: Column) -> Column:
@@ -79,8 +87,9 @@ def type_of(raw: Column) -> Column:
 
 
 def canonical(kind: Column, raw: Column) -> Column:
-    """Equal for texts that mean the same entity. A bar ends what a surrogate keeps: country code, issuer, start or script."""
-    script = F.when(raw.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    """Equal for texts that mean the same entity; names are folded by way of upper case (in an array, as Spark would simplify
+    the lower case of an upper case to the former alone). A bar ends what a surrogate keeps: country code, issuer, start or script."""
+    script = F.when(raw.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(raw.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     code = F.when(raw.startswith("+"), F.regexp_extract(raw, r"^\+(\d{1,3}?)(?=[ .(-]|\d{8,})", 1)).otherwise("1")
     digits = F.regexp_replace(raw, "[^0-9]", "")
     issuer = F.when(F.length(digits) >= 15, 6).otherwise(4)
@@ -93,7 +102,7 @@ def canonical(kind: Column, raw: Column) -> Column:
         .when(kind == "iban", F.concat(F.substring(plain, 1, 2), F.lit("|"), F.substring(plain, 3, 40)))
         .when(kind == "key", F.concat(start, F.lit("|"), rest(raw, F.length(start))))
         .when(kind == "ssn", digits)
-        .when(kind == "person", F.concat(script, F.lit("|"), F.lower(raw)))
+        .when(kind == "person", F.concat(script, F.lit("|"), F.lower(F.array_join(F.array(F.upper(raw)), ""))))
         .otherwise(F.lower(raw))
     )
 
@@ -175,12 +184,12 @@ def surrogate(kind: Column, canon: Column, style: Column, attempt: int, key: str
 
     def word(s: Column) -> Column:
         """A given name of the list at first, then made-up ones with an ending of the gender; else a made-up family name."""
-        made = []
-        for script, endings in (("latin", {"m": "n", "f": "a", "n": "e"}), ("cyrillic", {"m": "н", "f": "а", "n": "е"})):
+        made = {}
+        for script, endings in (("latin", {"m": "n", "f": "a", "n": "e"}), ("cyrillic", {"m": "н", "f": "а", "n": "е"}), ("greek", {"m": "ς", "f": "α", "n": "ε"})):
             family = F.concat(*(_pick(SYLLABLES[script], _bytes(s, F.lit(i))) for i in range(1, 4 + attempt)))
             given = reduce(lambda rest, g: F.when(style == f"given-{g}", F.concat(family, F.lit(endings[g])) if attempt else F.lower(_pick(GIVEN[g, script], _bytes(s, F.lit(0))))).otherwise(rest), "mfn", family)
-            made.append(given)
-        return F.when(kept == "cyrillic", made[1]).otherwise(made[0])
+            made[script] = given
+        return F.when(kept == "cyrillic", made["cyrillic"]).when(kept == "greek", made["greek"]).otherwise(made["latin"])
 
     makers = {"email": email, "card": card, "iban": iban, "ip": address, "ip6": hextets, "person": word}
     return common.let(stream, lambda s: reduce(lambda rest, x: F.when(kind == x[0], x[1](s)).otherwise(rest), makers.items(), digits(s)))
@@ -209,6 +218,7 @@ def laid_out(kind: Column, raw: Column, made: Column) -> Column:
     upper = (F.length(raw) > 1) & (raw == F.upper(raw))
     return (
         F.when(kind == "ip", made)
+        .when((kind == "person") & raw.isin(*PARTICLES), raw)
         .when(kind == "person", F.when(upper, F.upper(made)).otherwise(F.initcap(made)))
         .when(kind == "key", F.concat(F.substring(raw, F.lit(1), kept), made))
         .when(kind.isin("phone", "iban"), F.concat(F.substring(raw, F.lit(1), kept), refill(after(kept), bare)))
@@ -245,11 +255,12 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _names(raws: Column) -> Column:
-    """The titled mentions among ``raws`` as structs: gender of the title and the words of the name."""
+    """The titled mentions among ``raws`` as structs: gender of the title and the words of the name but for the small ones."""
     title = lambda r: F.regexp_extract(r, f"^({_TITLE})", 1)
     gender = lambda r: F.when(title(r).isin(*TITLES["m"]), "m").when(title(r).isin(*TITLES["f"]), "f").otherwise("n")
-    titled = F.filter(raws, lambda r: r.rlike(rf"^{_TITLE}\.? \p{{Lu}}"))
-    return F.transform(titled, lambda r: F.struct(gender(r).alias("gender"), F.split(F.regexp_replace(r, rf"^{_TITLE}\.? ", ""), " ").alias("words")))
+    titled = F.filter(raws, lambda r: r.rlike(rf"^{_TITLE}\.? {_SMALL}\p{{Lu}}"))
+    words = lambda r: F.filter(F.split(F.regexp_replace(r, rf"^{_TITLE}\.? ", ""), " "), lambda w: ~w.isin(*PARTICLES))
+    return F.transform(titled, lambda r: F.struct(gender(r).alias("gender"), words(r).alias("words")))
 
 
 def _pattern(names: Column) -> Column:
@@ -257,7 +268,7 @@ def _pattern(names: Column) -> Column:
     words = F.array_distinct(F.flatten(F.transform(names, lambda n: n["words"])))
     words = F.array_distinct(F.flatten(F.array(words, F.transform(words, F.upper), F.transform(words, F.initcap))))
     known = F.concat(F.lit("(?:"), F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\d_])(?!['’-]\p{L}{2})"))
-    runs = F.concat(F.lit(NUMBERS + r"|(?<![\p{L}\d_'’-])(?=\p{Lu})"), known, F.lit("(?: "), known, F.lit(")*+"))
+    runs = F.concat(F.lit(NUMBERS + r"|(?<![\p{L}\d_'’-])(?=\p{Lu})"), known, F.lit(f"(?: {_SMALL}"), known, F.lit(")*+"))
     return F.when(F.size(words) > 0, runs).otherwise(F.lit(NUMBERS))
 
 

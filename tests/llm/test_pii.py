@@ -142,6 +142,27 @@ def test_further_layouts(spark):
         assert luhn(x) == luhn(y) == 0 and x != y and x[:7] == y[:7]
 
 
+def test_scripts_case_particles_keys_and_addresses(spark):
+    texts = [
+        "Dr Παπαδόπουλος and Mrs Ελένη Παππά. Later Παπαδόπουλος wrote.",
+        "Herr Weiß; the sign said WEISS, and Weiß agreed.",
+        "Mr. van der Berg met Mrs. de la Cruz and Mr Jan van der Berg; Berg left.",
+        "sk-ant-api03-aB3dE5fG7hI9jK1lM3nO5-xyz ASIAIOSFODNN7EXAMPLE hf_abcdefghijklmnopqrstuvwxyz012345 but sk-learn-style-names-without-numbers stay",
+        "mail name@münchen.de, иван@почта.рф.",
+    ]
+    got = [r["text"] for r in sorted(pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect(), key=lambda r: r["row"]["doc_id"])]
+    m = regex.fullmatch(r"Dr (\p{Greek}+) and Mrs (\p{Greek}+) (\p{Greek}+)\. Later (\p{Greek}+) wrote\.", got[0])
+    assert m and m[1] == m[4] != "Παπαδόπουλος" and m[2] in pii.GIVEN["f", "greek"] and m[3] != "Παππά"
+    m = regex.fullmatch(r"Herr (\w+); the sign said (\w+), and (\w+) agreed\.", got[1])
+    assert m and m[1] == m[3] and m[2] == m[1].upper() and m[1] != "Weiß"
+    m = regex.fullmatch(r"Mr\. van der (\w+) met Mrs\. de la (\w+) and Mr (\w+) van der (\w+); (\w+) left\.", got[2])
+    assert m and m[1] == m[4] == m[5] and len({*m.groups(), "Berg", "Cruz", "Jan"}) == 6
+    m = regex.fullmatch(r"sk-ant-api03-([a-zA-Z0-9-]{25}) ASIA([A-Z0-9]{16}) hf_(\w{32}) but sk-learn-style-names-without-numbers stay", got[3])
+    assert m and not {"aB3dE5fG7hI9jK1lM3nO5-xyz", "IOSFODNN7EXAMPLE", "abcdefghijklmnopqrstuvwxyz012345"} & set(m.groups())
+    m = regex.fullmatch(r"mail (\S+)@(\S+)\.de, (\S+)@(\S+)\.рф\.", got[4])
+    assert m and m.group(1, 2) != ("name", "münchen") and m.group(3, 4) != ("иван", "почта")
+
+
 def test_surrogates_in_memory(spark):
     """All places of the table by the patterns in memory: one surrogate for each entity, distinct and none of them real,
     character classes kept, and nothing else changed."""
