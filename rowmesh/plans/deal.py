@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import Kind
 from ..functions.scans import entry_prefix, prefix_sums
-from . import fill, work
+from . import fill
 
 #: Scalar products and cells of the result that one part is worth, and the most parts.
 PART_FLOPS = 20_000_000

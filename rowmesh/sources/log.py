@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MatrixError, MatrixIndexError
-from ..functions.kinds import COMPLEX, DOUBLE, KINDS, Kind
+from ..functions.kinds import COMPLEX, DOUBLE, KINDS
 from ..matrix import SparseMatrix
 
 FANOUT = 4
