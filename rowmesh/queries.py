@@ -15,7 +15,7 @@ from .matrix import SparseMatrix, chain_product
 from .operators import access, checks
 from .plans import deal, fill, work
 from .shared import shared_path
-from .sources import clustered, log, matrix_market, storage, tables, tuples
+from .sources import clustered, generate, log, matrix_market, storage, tables, tuples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -447,20 +447,69 @@ def equality_false(spark, d):
     return spark.createDataFrame([(a.equals(b),)], "equal boolean")
 
 
-@_query(
+_EQUALITY_CASES = (
     _with("nn")
     + """, off AS (SELECT r, c, v + CASE WHEN row_number() OVER (ORDER BY r, c) = 1 THEN 1 ELSE 0 END AS v FROM nn), turned AS (SELECT c AS r, r AS c, v FROM nn),
     zeros AS (SELECT r, c, CASE WHEN (r + c) % 2 = 0 THEN 0 ELSE v END AS v FROM nn), few AS (SELECT * FROM zeros WHERE v <> 0) """
     + " UNION ALL ".join(f"SELECT '{a} and {b}' AS sides, {_SAME.format(a=a, b=b)} AS equal, NOT {_SAME.format(a=a, b=b)} AS different" for a, b in (("nn", "nn"), ("nn", "off"), ("nn", "turned"), ("zeros", "few"), ("zeros", "nn")))
 )
-def equality_cases(spark, d):
-    """The operators == and != on equal and different matrices; absence is zero."""
+_EQUALITY_PAIRS = (("nn", "nn"), ("nn", "off"), ("nn", "turned"), ("zeros", "few"), ("zeros", "nn"))
+
+
+def _equality_sides(spark, d) -> dict[str, SparseMatrix]:
     m = tables.nation_nation(spark, d)
     zeros = m.like(m.df.withColumn("val", F.when((F.col("row") + F.col("col")) % 2 == 0, 0).otherwise(F.col("val")).cast("long")))
     i, j, v = m.nth(0)
-    sides = {"nn": m, "off": m.set(i, j, v + 1)[0], "turned": m.transpose(), "zeros": zeros, "few": zeros.canonical()}
-    pairs = (("nn", "nn"), ("nn", "off"), ("nn", "turned"), ("zeros", "few"), ("zeros", "nn"))
-    return spark.createDataFrame([(f"{a} and {b}", sides[a] == sides[b], sides[a] != sides[b]) for a, b in pairs], "sides string, equal boolean, different boolean")
+    return {"nn": m, "off": m.set(i, j, v + 1)[0], "turned": m.transpose(), "zeros": zeros, "few": zeros.canonical()}
+
+
+@_query(_EQUALITY_CASES)
+def equality_cases(spark, d):
+    """The operators == and != on equal and different matrices; absence is zero."""
+    sides = _equality_sides(spark, d)
+    return spark.createDataFrame([(f"{a} and {b}", sides[a] == sides[b], sides[a] != sides[b]) for a, b in _EQUALITY_PAIRS], "sides string, equal boolean, different boolean")
+
+
+@_query(_EQUALITY_CASES)
+def equality_fingerprints(spark, d):
+    """The same cases, with the matrices and their fingerprints stored: only equal fingerprints lead to a join."""
+    sides = {}
+    for name, m in _equality_sides(spark, d).items():
+        path = shared_path(spark, "matrix")
+        storage.save(m, path, with_fingerprint=True)
+        sides[name] = storage.load(spark, path)
+    found = [(f"{a} and {b}", sides[a].matches(sides[b])) for a, b in _EQUALITY_PAIRS]
+    return spark.createDataFrame([(pair, equal, not equal) for pair, equal in found], "sides string, equal boolean, different boolean")
+
+
+def _random_by_degrees(spark, d) -> SparseMatrix:
+    """A random matrix of suppliers and line numbers with the degrees of ``lineitem``; the few columns are all hot."""
+    lines = tables.table(spark, d, "lineitem")
+    sides = [lines.groupBy(F.expr(c).alias("id")).agg(F.count("*").alias("degree")) for c in ("l_suppkey", "l_linenumber - 1")]
+    cols = lines.agg(F.max("l_linenumber")).first()[0]
+    return generate.with_degrees(*sides, tables.table(spark, d, "supplier").count(), cols, seed=7)
+
+
+@_query("SELECT 'row' AS side, CAST(l_suppkey AS BIGINT) AS id, count(*) AS degree FROM lineitem GROUP BY 2 UNION ALL SELECT 'col', CAST(l_linenumber - 1 AS BIGINT), count(*) FROM lineitem GROUP BY 2")
+def random_degrees(spark, d):
+    """The sums of rows and columns of a random matrix that was drawn to given degrees."""
+    m = _random_by_degrees(spark, d)
+    sums = lambda side: m.df.groupBy(F.lit(side).alias("side"), F.col(side).alias("id")).agg(F.sum("val").alias("degree"))
+    return sums("row").union(sums("col"))
+
+
+@_query(
+    """WITH n AS (SELECT l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT CAST(sum(n * n) AS BIGINT) AS total, max(n * n) > 0.02 * sum(n * n) AS salted FROM n"""
+)
+def spgemm_random_salted(spark, d):
+    """The sum of the gram of such a matrix, which is that of the squared sums of its columns, with salt as measured."""
+    m = _random_by_degrees(spark, d)
+    path = shared_path(spark, "matrix")
+    storage.save(m, path)
+    m = storage.load(spark, path)
+    salted = work.estimate(m.df, m.transpose().df).salt > 1
+    return m.multiply(m.transpose(), salt="auto").df.agg(F.sum("val").alias("total"), F.lit(salted).alias("salted"))
 
 
 # forms, invariants and work
