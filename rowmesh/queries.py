@@ -15,7 +15,7 @@ from .matrix import SparseMatrix, chain_product
 from .operators import access, checks
 from .plans import deal, fill, work
 from .shared import shared_path
-from .sources import clustered, generate, log, matrix_market, storage, tables, tuples
+from .sources import clustered, generate, log, matrix_market, matrix_market_source, storage, tables, tuples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -785,6 +785,14 @@ def mm_roundtrip(spark, d):
     return cells(matrix_market.read(spark, path, strict=True).df)
 
 
+@_query(_with("op") + "SELECT r AS row_id, c AS col_id, v AS val FROM op")
+def mm_source_roundtrip(spark, d):
+    """The same file through the data source, by ranges of bytes."""
+    path = shared_path(spark, "matrix-market")
+    matrix_market.write(tables.order_part(spark, d), path)
+    return cells(matrix_market_source.read(spark, path).df)
+
+
 @_query(_with("op") + "SELECT r AS row_id, string_agg('(' || r || ',' || c || ',' || v || ')', ' ' ORDER BY c) AS line FROM op GROUP BY 1")
 def tuple_lines(spark, d):
     return tuples.row_lines(tables.order_part(spark, d)).select(F.col("row").alias("row_id"), "line")
@@ -888,21 +896,31 @@ def mm_malformed_compat(spark, d):
 
 
 _FLAGS = ("A", "N", "R")
-
-
-@_query(
-    f"""WITH nn AS (SELECT l_returnflag AS flag, CAST(c_nationkey AS BIGINT) AS r, CAST(s_nationkey AS BIGINT) AS c, {_SUM} AS v FROM lineitem
+_FLAG_SQUARES = f"""WITH nn AS (SELECT l_returnflag AS flag, CAST(c_nationkey AS BIGINT) AS r, CAST(s_nationkey AS BIGINT) AS c, {_SUM} AS v FROM lineitem
         JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)
     SELECT a.r AS row_id, b.c AS col_id, CAST(sum(a.v * b.v) AS BIGINT) AS val FROM nn a JOIN nn b ON a.flag = b.flag AND a.c = b.r GROUP BY a.flag, 1, 2"""
-)
+
+
+@_query(_FLAG_SQUARES)
 def mm_folder_squares(spark, d):
     """The squares of all files of a folder, which has one for each return flag, by one scan and one product for all."""
+    return cells(matrix_market.read_corpus(spark, _flag_folder(spark, d))["integer"].squares())
+
+
+@_query(_FLAG_SQUARES)
+def mm_source_squares(spark, d):
+    """The same squares, the folder read by the data source."""
+    return cells(matrix_market_source.read_corpus(spark, _flag_folder(spark, d)).squares())
+
+
+def _flag_folder(spark, d) -> str:
+    """A folder of Matrix Market files, one for each return flag."""
     folder = shared_path(spark, "matrix-market")
     for flag in _FLAGS:
         m = tables.nation_nation(spark, d, flag)
         head = spark.createDataFrame([(-2, -1, "%%MatrixMarket matrix coordinate integer general"), (-1, -1, f"{m.rows()} {m.cols()} {m.nnz()}")], "row bigint, col bigint, line string")
         head.union(matrix_market.entry_lines(m)).coalesce(1).sortWithinPartitions("row", "col").select("line").write.mode("append").text(folder)
-    return cells(matrix_market.read_corpus(spark, folder)["integer"].squares())
+    return folder
 
 
 @_query(
