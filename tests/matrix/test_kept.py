@@ -2,7 +2,7 @@
 
 import pytest
 
-from rowmesh.sources import tables
+from rowmesh.sources import generate, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +12,16 @@ def test_the_nations_are_joined_once(spark, flag):
     m = tables.nation_nation(spark, SF, flag)
     assert "lineitem" not in m.df._jdf.queryExecution().toString()
     assert m.nnz() == m.df.select("row", "col").distinct().count() > 0
+
+
+def test_stubs_are_never_broadcast(spark):
+    """However few degrees there are, their stubs are sorted and merged; only the starts of buckets are broadcast."""
+    sides = [spark.createDataFrame([(i, 400_000 // n) for i in range(n)], "id bigint, degree bigint") for n in (100, 4)]
+    m = generate.with_degrees(*sides, 100, 4, seed=1)
+    sums = m.df.groupBy("col").agg({"val": "sum"})
+    assert sorted(map(tuple, sums.collect())) == [(j, 100_000) for j in range(4)]
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert [line for line in joins if "[place" in line and "SortMergeJoin" in line]
+    assert not [line for line in joins if "[place" in line and "SortMergeJoin" not in line]
+    assert not [line for line in joins if "[id" in line]
