@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import MatrixMarketError, ProductMismatch, ZeroDimensionError
 from ..functions.kinds import COMPLEX, DOUBLE, INT64, Kind
 from ..matrix import SparseMatrix
+from ..plans import sized
 from ..shared import shared_path
 
 HEADER = re.compile(r"%%MatrixMarket matrix coordinate (integer|real|complex|pattern) (general|symmetric|skew-symmetric|hermitian)")
@@ -76,6 +77,7 @@ def read(spark: SparkSession, path: str, compat: bool = False, strict: bool = Fa
         if rows != cols:
             raise MatrixMarketError("a symmetric matrix must be square")
         kept = kept.union(kept.where("row <> col").select("col", "row", "val", "at"))
+    kept = sized.spread(kept, facts["n"] * (2 if symmetry == "symmetric" else 1), "row", "col")
     return SparseMatrix(kept.groupBy("row", "col").agg(F.max_by("val", "at").alias("val")), rows, cols, kind)
 
 
@@ -190,5 +192,6 @@ def write(m: SparseMatrix, path: str) -> None:
     """A folder of part files that read in order of their names are one general file, row by row; needs one count."""
     field = {"double": "real", "complex": "complex"}.get(m.kind.name, "integer")
     spark = m.df.sparkSession
-    head = spark.createDataFrame([(-2, -1, f"%%MatrixMarket matrix coordinate {field} general"), (-1, -1, f"{m.rows()} {m.cols()} {m.nnz()}")], "row bigint, col bigint, line string")
-    head.union(entry_lines(m)).orderBy("row", "col").select("line").write.text(path)
+    nnz = m.nnz()
+    head = spark.createDataFrame([(-2, -1, f"%%MatrixMarket matrix coordinate {field} general"), (-1, -1, f"{m.rows()} {m.cols()} {nnz}")], "row bigint, col bigint, line string")
+    sized.in_order(head.union(entry_lines(m)), nnz, "row", "col").select("line").write.text(path)
