@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import MatrixError, MatrixIndexError
 from ..functions.kinds import KINDS, Kind
 from ..matrix import SparseMatrix
+from ..plans import sized
 
 #: Entries of a file.
 FILE_ENTRIES = 2_000_000
@@ -50,18 +51,23 @@ class Clustered:
 
     @staticmethod
     def save(m: SparseMatrix, path: str, order: str = "rows", file_entries: int = FILE_ENTRIES) -> Clustered:
-        """Store ``m`` below ``path``; needs a count. Files are cut where about ``file_entries`` are full."""
+        """Store ``m`` below ``path``; needs a count. Files are cut where about ``file_entries`` are full.
+
+        A task sorts the entries of several small files and writes these one after the other."""
         if order not in ("rows", "z"):
             raise ValueError("the order is rows or z")
         spark, nnz = m.df.sparkSession, m.nnz()
         files = max(1, ceil(nnz / file_entries))
+        at_once = max(1, min(sized.PART_ROWS // file_entries, files // spark.sparkContext.defaultParallelism))
+        tasks = ceil(files / at_once)
         if order == "rows":
-            keyed = m.ranked().withColumn("file", F.floor(F.col("pos") / file_entries).cast("int"))
-            keyed.repartitionById(files, F.col("file")).drop("file").sortWithinPartitions("pos").write.parquet(f"{path}/entries")
+            keyed = m.ranked().withColumn("task", F.floor(F.col("pos") / (at_once * file_entries)).cast("int"))
+            dealt = keyed.repartitionById(tasks, F.col("task")).drop("task").sortWithinPartitions("pos")
         else:
             a, b = z_order(F.col("row"), F.col("col"))
             keyed = m.df.withColumns({"za": a, "zb": b, "pos": F.lit(None).cast("long")})
-            keyed.repartitionByRange(files, "za", "zb").sortWithinPartitions("za", "zb").drop("za", "zb").write.parquet(f"{path}/entries")
+            dealt = keyed.repartitionByRange(tasks, "za", "zb").sortWithinPartitions("za", "zb").drop("za", "zb")
+        (dealt.write.option("maxRecordsPerFile", file_entries) if at_once > 1 else dealt.write).parquet(f"{path}/entries")
         stored = spark.read.parquet(f"{path}/entries").withColumn("file", F.col("_metadata.file_path"))
         bounds = [f(c).alias(f"{name}_{c}") for c in ("pos", "row", "col") for name, f in (("first", F.min), ("last", F.max))]
         place = F.struct("row", "col") if order == "rows" else F.struct(*z_order(F.col("row"), F.col("col")))
